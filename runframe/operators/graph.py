@@ -22,59 +22,63 @@ def successors(tasks: DataFrame, run: str = "run", name: str = "task", deps: str
             .select(run, F.col("dep").alias(name), F.col("child").alias("successor"), "n_successors"))
 
 
-def _peel(nodes: DataFrame, edges: DataFrame, run: str, blocked: str, blocker: str):
-    """Yield (level, nodes whose blockers are all gone, remaining edges into the rest)."""
-    nodes, edges, level = cut(nodes), cut(edges), 0
-    while not nodes.isEmpty():
-        waiting = edges.select(run, F.col(blocked).alias("_name")).distinct()
-        free = cut(nodes.join(waiting, [run, "_name"], "left_anti"))
-        if free.isEmpty():
-            raise ValueError("task dependencies contain a cycle")
-        yield level, free, edges
-        gone = free.select(run, F.col("_name").alias(blocker))
-        nodes = cut(nodes.join(free.select(run, "_name"), [run, "_name"], "left_anti"))
-        edges = cut(edges.join(gone, [run, blocker], "left_anti"))
-        level += 1
+def _longest_possible(edges: DataFrame, run: str) -> int:
+    """No path of a run has more edges than the run has; a longer one means a cycle."""
+    return edges.groupBy(run).count().agg(F.max("count")).first()[0] or 0
+
+
+def _cycle(level: int, limit: int) -> None:
+    if level > limit:
+        raise ValueError("task dependencies contain a cycle")
 
 
 def dag_layers(tasks: DataFrame, run: str = "run", name: str = "task", deps: str = "deps") -> DataFrame:
-    """Longest distance from a root. A dependency that is no task counts as a root."""
-    edges = edges_of(tasks, run, name, deps)
-    known = tasks.select(run, F.col(name).alias("_name")).distinct()
-    nodes = known.unionByName(edges.select(run, F.col("dep").alias("_name"))).distinct()
-    levels = [free.withColumn("layer", F.lit(level)) for level, free, _ in _peel(nodes, edges, run, "child", "dep")]
-    merged = reduce(DataFrame.unionByName, levels)
-    return merged.join(known, [run, "_name"], "left_semi").withColumnRenamed("_name", name)
+    """Longest distance from a root. A dependency that is no task counts as a root.
+
+    Round k keeps the edges that end a path of k edges; a task's layer is the number of rounds it
+    is still the end of an edge. The edges shrink every round and are written out once per round.
+    """
+    edges = cut(edges_of(tasks, run, name, deps))
+    limit, rounds = _longest_possible(edges, run), []
+    while not edges.isEmpty():
+        _cycle(len(rounds) + 1, limit)
+        reached = edges.select(run, F.col("child").alias(name)).distinct()
+        rounds.append(reached)
+        edges = cut(edges.join(reached.withColumnRenamed(name, "dep"), [run, "dep"], "left_semi"))
+    known = tasks.select(run, name).distinct()
+    if not rounds:
+        return known.withColumn("layer", F.lit(0))
+    layers = reduce(DataFrame.unionByName, rounds).groupBy(run, name).agg(F.count(F.lit(1)).cast("int").alias("layer"))
+    return known.join(layers, [run, name], "left").na.fill(0, ["layer"])
 
 
 def upward_rank(tasks: DataFrame, bandwidth: float, run: str = "run", name: str = "task", deps: str = "deps",
                 runtime: str = "runtime", bytes: str = "bytes", comm_factor: float = 1.0) -> DataFrame:
-    """rank = runtime + largest (transfer + rank) over successors, with the successor that gives it."""
+    """rank = runtime + largest (transfer + rank) over successors, with the successor that gives it.
+
+    Round k holds the costliest path of exactly k edges from each task that has one, made from
+    round k-1 by one join and one aggregate; the rank is the best over all rounds. Runtimes and sizes
+    are not negative, so a shorter path never wins wrongly.
+    """
     comm = F.when(F.col(bytes) > 0, F.col(bytes) / F.lit(float(bandwidth)) * comm_factor).otherwise(0.0)
-    known = tasks.select(run, F.col(name).alias("_name"), F.col(runtime).cast("double").alias("_runtime"),
+    known = tasks.select(run, F.col(name).cast("string").alias("_name"), F.col(runtime).cast("double").alias("_runtime"),
                          comm.alias("_comm"))
-    inside = known.select(run, F.col("_name").alias("dep"))
-    edges = cut(edges_of(tasks, run, name, deps).join(inside, [run, "dep"], "left_semi"))
-    ranked: list[DataFrame] = []
-    best: DataFrame | None = None
-    for _, free, _ in _peel(known, edges, run, "dep", "child"):
-        here = free
-        if best is not None:
-            here = free.join(best, [run, "_name"], "left")
-        else:
-            here = free.withColumns({"_best": F.lit(None).cast("double"), "_next": F.lit(None).cast("string")})
-        here = cut(here.withColumn("rank", F.col("_runtime") + F.coalesce("_best", F.lit(0.0))))
-        ranked.append(here)
-        known_comm = known.select(run, F.col("_name").alias("dep"), "_comm")
-        child = here.select(run, F.col("_name").alias("child"), "rank")
-        offered = (edges.join(child, [run, "child"]).join(known_comm, [run, "dep"])
-                   .select(run, F.col("dep").alias("_name"), (F.col("_comm") + F.col("rank")).alias("_best"),
-                           F.col("child").cast("string").alias("_next")))
-        merged = offered if best is None else offered.unionByName(best.select(run, "_name", "_best", "_next"))
-        pick = F.min_by(F.struct("_best", "_next"), F.struct(-F.col("_best"), F.col("_next")))
-        best = cut(merged.groupBy(run, "_name").agg(pick.alias("_p")).select(run, "_name", "_p.*"))
-    out = reduce(DataFrame.unionByName, ranked)
-    return out.select(run, F.col("_name").alias(name), "rank", F.col("_next").alias("next_task"))
+    cost = known.select(run, F.col("_name").alias("dep"), (F.col("_runtime") + F.col("_comm")).alias("_step"))
+    edges = cut(edges_of(tasks, run, name, deps).withColumn("child", F.col("child").cast("string"))
+                .join(cost, [run, "dep"]))
+    limit = _longest_possible(edges, run)
+    front = cut(known.select(run, "_name", F.col("_runtime").alias("rank"), F.lit(None).cast("string").alias("next_task")))
+    rounds = []
+    while not front.isEmpty():
+        _cycle(len(rounds), limit)
+        rounds.append(front)
+        offered = edges.join(front.select(run, F.col("_name").alias("child"), "rank"), [run, "child"])
+        total = F.col("rank") + F.col("_step")
+        best = F.min_by(F.struct(total.alias("rank"), F.col("child").alias("next_task")), F.struct(-total, F.col("child")))
+        front = cut(offered.groupBy(run, F.col("dep").alias("_name")).agg(best.alias("_b")).select(run, "_name", "_b.*"))
+    pick = F.min_by(F.struct("rank", "next_task"), F.struct(-F.col("rank"), F.col("next_task")))
+    return (reduce(DataFrame.unionByName, rounds).groupBy(run, "_name").agg(pick.alias("_p"))
+            .select(run, F.col("_name").alias(name), "_p.*"))
 
 
 def critical_path(tasks: DataFrame, bandwidth: float, run: str = "run", name: str = "task", deps: str = "deps",

@@ -241,7 +241,7 @@ def pick_flows(actual: DataFrame, predicted: DataFrame, run: str = "run") -> Dat
 def owned_by(pods: DataFrame, runs: DataFrame) -> DataFrame:
     """Pods one of whose owners is the run itself, by uid rather than by name."""
     owners = pods.withColumn("uid", F.explode(F.array_distinct("owner_uids")))
-    return owners.join(runs.select("uid", "run"), ["uid", "run"]).select("run", "uid", "pod")
+    return owners.join(runs.select("uid", "run"), "uid").select("run", "uid", "pod")
 
 
 def flow_contention(flows: DataFrame, bandwidth: DataFrame, tol: float = 0.01, id: str = "flow_id") -> DataFrame:

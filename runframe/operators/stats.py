@@ -193,10 +193,23 @@ def paired_bootstrap(deltas: DataFrame, baseline: DataFrame, by: str | Sequence[
                             "ci_hi_pct": share("ci_hi")})
 
 
-def _draw(seed: int, keys: Sequence[str], r: Column, i: Column, n: Column) -> Column:
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], r.cast("string"),
-                       i.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
+# fixed value: prime modulus of the draw arithmetic (2^31 - 1)
+PRIME = 2_147_483_647
+
+
+def _seeds(seed: int, keys: Sequence[str], r: Column) -> tuple[Column, Column]:
+    """Two numbers below ``PRIME`` per (cell, resample)."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], r.cast("string")))
+    first = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % PRIME
+    second = F.conv(F.substring(digest, 9, 8), 16, 10).cast("long") % PRIME
+    return first, second
+
+
+def _draw(a: Column, b: Column, i: Column, n: Column) -> Column:
+    """Position (from 0) of draw ``i``: two squaring steps modulo a prime, then modulo ``n``."""
+    x = (a + i.cast("long") * 69_621) % PRIME
+    x = (x * x + b) % PRIME
+    return (x * x + a) % PRIME % n
 
 
 def _means_by_array(deltas: DataFrame, keys: list[str], order, resamples: int, seed: int) -> DataFrame:
@@ -205,20 +218,23 @@ def _means_by_array(deltas: DataFrame, keys: list[str], order, resamples: int, s
     sample = F.transform(F.array_sort(F.collect_list(F.struct(*order, "delta"))), lambda s: s["delta"])
     cells = deltas.groupBy(*keys).agg(sample.alias("_d"))
     blocks = (cells.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // block))))
-              .repartition(*keys, "_b"))
+              .repartition(-(-resamples // block), *keys, "_b"))
     rows = (blocks.withColumn("r", F.explode(F.sequence(F.col("_b") * block, (F.col("_b") + 1) * block - 1)))
             .where(F.col("r") < resamples))
+    a, b = _seeds(seed, keys, F.col("r"))
+    rows = rows.withColumns({"_s1": a, "_s2": b})
     n = F.size("_d")
     total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(
-        F.col("_d"), (_draw(seed, keys, F.col("r"), i, n) + 1).cast("int")))
+        F.col("_d"), (_draw(F.col("_s1"), F.col("_s2"), i, n) + 1).cast("int")))
     return rows.select(*keys, F.col("r").cast("long").alias("r"), (total / n).alias("mean"))
 
 
 def _means_by_join(deltas: DataFrame, keys: list[str], order, resamples: int, seed: int) -> DataFrame:
     numbered = scan(deltas, keys, order, {"_i": ("row_number",), "_n": ("total", F.lit(1).cast("long"))})
     sample = numbered.select(*keys, (F.col("_i") - 1).alias("_j"), "delta")
+    a, b = _seeds(seed, keys, F.col("r"))
     draws = (numbered.select(*keys, "_n", (F.col("_i") - 1).alias("_i"))
              .withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-             .withColumn("_j", _draw(seed, keys, F.col("r"), F.col("_i"), F.col("_n"))))
+             .withColumn("_j", _draw(a, b, F.col("_i"), F.col("_n"))))
     drawn = draws.join(sample, [*keys, "_j"])
     return drawn.groupBy(*keys, "r").agg(F.avg("delta").alias("mean")).withColumn("r", F.col("r").cast("long"))

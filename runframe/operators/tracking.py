@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from runframe.functions.assignment import cheapest_allowed, min_cost_assignment
 from runframe.functions.geometry import BOX, center_to_corners, in_cells, iou, links
-from runframe.functions.runtime import cut, names, order_columns
+from runframe.functions.runtime import cut, names
+from runframe.functions.streams import map_sorted, whole_runs
 from runframe.functions.vectors import normalize_vectors
 from runframe.operators.aggregates import majority_class
 from runframe.operators.graph import connected_components
@@ -56,17 +57,17 @@ def nms(dets: DataFrame, by: str | Sequence[str], iou_max: float = 0.5, score: s
     if has_hot_group(dets, keys, frame_rows):
         return dets.join(_nms_rounds(dets, keys, iou_max, score, id), [*keys, id], "left_semi")
 
-    def keep(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values([score, id], ascending=[False, True])
-        boxes = ordered[list(BOX)].to_numpy(float)
-        alive, chosen = np.ones(len(boxes), bool), []
-        for n in range(len(boxes)):
-            if alive[n]:
-                chosen.append(n)
-                alive[n:] &= ~(_iou_many(boxes[n], boxes[n:]) > iou_max)
-        return ordered.iloc[chosen]
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, begins in whole_runs(batches, keys):
+            boxes = rows[list(BOX)].to_numpy(float)
+            alive = np.ones(len(rows), bool)
+            for begin, end in zip(begins, [*begins[1:], len(rows)]):
+                for n in range(begin, end):
+                    if alive[n]:
+                        alive[n + 1:end] &= _iou_many(boxes[n], boxes[n + 1:end]) <= iou_max
+            yield rows[alive]
 
-    return dets.groupBy(*keys).applyInPandas(keep, dets.schema)
+    return map_sorted(dets, keys, [f"-{score}", id], keep, dets.schema)
 
 
 def _iou_many(box: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -142,28 +143,6 @@ class TrackState:
         return out
 
 
-def track_batches(batches: Iterator[pd.DataFrame], state: TrackState, id: str, embedding: str) -> Iterator[pd.DataFrame]:
-    """Run a sorted stream of detections through ``state`` frame by frame."""
-    held: pd.DataFrame | None = None
-
-    def frames(part: pd.DataFrame) -> pd.DataFrame:
-        tracks = pd.Series(0, index=part.index, dtype="int64")
-        for index, group in part.groupby("frame_index", sort=True):
-            tracks.loc[group.index] = state.step(int(index), group[list(BOX)].to_numpy(float),
-                                                 np.stack(group[embedding].to_numpy()).astype(float),
-                                                 group[id].tolist())
-        return part.assign(track_id=tracks)
-
-    for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        last = rows["frame_index"] == rows["frame_index"].iloc[-1]
-        held = rows[last].reset_index(drop=True)
-        if not last.all():
-            yield frames(rows[~last].reset_index(drop=True))
-    if held is not None:
-        yield frames(held)
-
-
 def track(dets: DataFrame, by: str | Sequence[str] = "camera", iou_min: float = 0.3, w: float = 0.3,
           max_age: int = 5, id: str = "det_id", embedding: str = "embedding", cell: float = 64.0,
           hot_rows: int | None = None) -> DataFrame:
@@ -183,16 +162,23 @@ def track(dets: DataFrame, by: str | Sequence[str] = "camera", iou_min: float =
                                     near.select(F.col(f"a_{id}").alias("a"), F.col(f"b_{id}").alias("b")))
         rows = dets.join(part.select(F.col("id").alias(id), F.col("component").alias("_part")), id)
         group = [*keys, "_part"]
-    schema = T.StructType([*dets.schema.fields, T.StructField("track_id", T.LongType())])
+    schema = T.StructType([*dets.schema.fields, T.StructField("track_id", dets.schema[id].dataType)])
     columns = dets.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = TrackState(iou_min, w, max_age)
-        for out in track_batches(batches, state, id, embedding):
-            yield out[[*columns, "track_id"]]
+        state, previous = TrackState(iou_min, w, max_age), None
+        for rows, begins in whole_runs(batches, [*group, "frame_index"]):
+            boxes, ids = rows[list(BOX)].to_numpy(float), rows[id].tolist()
+            vectors = np.stack(rows[embedding].to_numpy()).astype(float)
+            frames, owners = rows["frame_index"].to_numpy(), list(zip(*[rows[c] for c in group]))
+            tracks: list = []
+            for begin, end in zip(begins, [*begins[1:], len(rows)]):
+                if owners[begin] != previous:
+                    state, previous = TrackState(iou_min, w, max_age), owners[begin]
+                tracks += state.step(int(frames[begin]), boxes[begin:end], vectors[begin:end], ids[begin:end])
+            yield rows[columns].assign(track_id=tracks)
 
-    ordered = rows.repartition(*group).sortWithinPartitions(*group, *order_columns(["frame_index", id]))
-    return ordered.groupBy(*group).applyInPandas(run, schema)
+    return map_sorted(rows, group, ["frame_index", id], run, schema)
 
 
 def summarize_tracks(assigned: DataFrame, embs: DataFrame | None = None, min_hits: int = 2,
@@ -267,7 +253,10 @@ def _match_dense(tracklets, pairs, keys, camera, id, embedding) -> DataFrame:
             out[name] = value
         return out[columns]
 
-    return side("cam_i").groupBy(*on).cogroup(side("cam_j").groupBy(*on)).applyInPandas(solve, schema)
+    # a fixed partition count keeps small inputs with long solves from being merged into one task
+    n = int(tracklets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = side("cam_i").repartition(n, *on), side("cam_j").repartition(n, *on)
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(solve, schema)
 
 
 def identities(tracklets: DataFrame, pairs: DataFrame, camera: str = "camera", id: str = "tracklet_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runframe.functions.runtime import names, order_columns, reverse, same
+from runframe.functions.streams import map_sorted, starts
 from runframe.operators.scan import scan
 
 
@@ -102,16 +103,21 @@ def assign_lanes(intervals: DataFrame, by: str | Sequence[str], start: str = "st
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         free_at: list[float] = []
+        previous = None
         for batch in batches:
+            if not len(batch):
+                continue
             lanes = []
-            for s, e in zip(batch[start], batch[end]):
+            for fresh, s, e in zip(starts(batch, group, previous), batch[start], batch[end]):
+                if fresh:
+                    free_at = []
                 lane = next((i for i, t in enumerate(free_at) if s >= t), len(free_at))
                 free_at[lane:lane + 1] = [e]
                 lanes.append(lane)
+            previous = tuple(batch[c].iloc[-1] for c in group)
             yield batch.drop(columns="_part").assign(lane=lanes)
 
-    ordered = data.repartition(*group).sortWithinPartitions(*group, *order_columns([start, id]))
-    return ordered.groupBy(*group).applyInPandas(place, schema)
+    return map_sorted(data, group, [start, id], place, schema)
 
 
 COMPLETED = ("Succeeded", "Failed")
