@@ -1,3 +1,4 @@
 """Imports every catalogue so that its queries are registered."""
 
-from checks import catalog_aggregates, catalog_data, catalog_joins, catalog_values, catalog_windows  # noqa: F401
+from checks import (  # noqa: F401
+    catalog_aggregates, catalog_data, catalog_joins, catalog_streams, catalog_values, catalog_windows)

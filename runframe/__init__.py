@@ -27,3 +27,6 @@ from runframe.plans.stages import Stages
 from runframe.plans.timelines import rebase, run_report
 from runframe.sources.readers import *  # noqa: F403
 from runframe.sources.sinks import append_flows, append_history, size_shards, write_report, write_shards
+from runframe.streaming.operators import (
+    append_once, ema_stream, fold_batches, latest_state, on, on_batch, phase_changes, publish, ready_stream,
+    rolling_metrics, subscribe, track_stream)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,11 @@ BROADCAST_ROWS = 100_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Runtime settings the operators are written for (all can be set on a live session)."""
+    """Runtime settings the operators are written for (all can be set on a live session).
+
+    Functions of this package travel to the workers by value, so the cluster needs no installed copy.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["runframe"])
     for key, value in {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -70,6 +77,12 @@ def prepare_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder next to the checkpoints, shared by all executors."""
+    prepare_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4()}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage so that loops and reuse see one fixed result."""
     prepare_checkpoints(df.sparkSession)

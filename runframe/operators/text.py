@@ -30,27 +30,20 @@ def chunk(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5
                     id, "chunk_no", F.col("chunk_text").alias("text")))
 
 
-def _token_codes(text: str, dim: int):
-    """Per token: dimension (first four digest bytes) times two plus the sign bit (fifth byte)."""
-    def code(token):
-        digest = F.sha2(token, 256)
-        idx = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim
-        bit = F.conv(F.substring(digest, 9, 2), 16, 10).cast("long") % 2
-        return (idx * 2 + bit).cast("int")
-
-    return F.transform(F.filter(F.split(F.lower(text), WHITESPACE), lambda t: t != ""), code)
-
-
 def feature_hash(df: DataFrame, id: str = "chunk_id", text: str = "text", dim: int = 128) -> DataFrame:
     """Signed token counts per hashed dimension in long form ``(id, idx, count, n2, w)``.
 
-    ``n2`` is the squared length of the id's vector and ``w`` the L2-normalised weight. The short texts
-    are moved once by ``id``; counting and norm then stay inside that partitioning.
+    The first four digest bytes give the dimension, the low bit of the fifth the sign. ``n2`` is the squared length
+    of the id's vector and ``w`` the L2-normalised weight. The short texts are moved once by ``id``;
+    tokens, counts and norm then stay inside that partitioning.
     """
-    counts = (df.select(id, text).repartition(id)
-              .select(id, F.explode(_token_codes(text, dim)).alias("_k"))
-              .groupBy(id, F.shiftright("_k", 1).alias("idx"))
-              .agg(F.sum(F.when(F.col("_k") % 2 == 1, 1).otherwise(-1)).alias("count"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = (df.select(id, text).repartition(n, id)
+              .select(id, F.explode(F.split(F.lower(text), WHITESPACE)).alias("_t")).where("_t <> ''"))
+    digest = tokens.select(id, F.sha2("_t", 256).alias("_h"))
+    idx = (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % dim).cast("int")
+    odd = F.conv(F.substring("_h", 9, 2), 16, 10).cast("int") % 2 == 1
+    counts = (digest.groupBy(id, idx.alias("idx")).agg(F.sum(F.when(odd, 1).otherwise(-1)).alias("count"))
               .where(F.col("count") != 0))
     n2 = F.sum(F.col("count") * F.col("count")).over(Window.partitionBy(id))  # at most ``dim`` rows each
     return counts.withColumn("n2", n2).withColumn("w", F.col("count") / F.sqrt(F.col("n2").cast("double")))

@@ -64,18 +64,19 @@ def nms(dets: DataFrame, by: str | Sequence[str], iou_max: float = 0.5, score: s
             for begin, end in zip(begins, [*begins[1:], len(rows)]):
                 for n in range(begin, end):
                     if alive[n]:
-                        alive[n + 1:end] &= _iou_many(boxes[n], boxes[n + 1:end]) <= iou_max
+                        alive[n + 1:end] &= _iou_grid(boxes[n:n + 1], boxes[n + 1:end])[0] <= iou_max
             yield rows[alive]
 
     return map_sorted(dets, keys, [f"-{score}", id], keep, dets.schema)
 
 
-def _iou_many(box: np.ndarray, others: np.ndarray) -> np.ndarray:
-    w = np.minimum(box[2], others[:, 2]) - np.maximum(box[0], others[:, 0])
-    h = np.minimum(box[3], others[:, 3]) - np.maximum(box[1], others[:, 1])
+def _iou_grid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of every box of ``a`` with every box of ``b``."""
+    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
+    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
     shared = np.clip(w, 0, None) * np.clip(h, 0, None)
-    area = (others[:, 2] - others[:, 0]) * (others[:, 3] - others[:, 1])
-    union = (box[2] - box[0]) * (box[3] - box[1]) + area - shared
+    area_a, area_b = ((x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1]) for x in (a, b))
+    union = area_a[:, None] + area_b[None, :] - shared
     return np.divide(shared, union, out=np.zeros_like(shared), where=(union > 0) & (shared > 0))
 
 
@@ -122,16 +123,18 @@ class TrackState:
         self.boxes, self.vectors = np.empty((0, 4)), None
         self.frames, self.ids = np.empty(0, np.int64), []
 
-    def step(self, index: int, boxes: np.ndarray, vectors: np.ndarray, ids: list) -> list:
-        """Match one frame's detections; returns their track ids (a new track takes its first id)."""
+    def step(self, index: int, boxes: np.ndarray, vectors: np.ndarray, ids: list, opens: np.ndarray) -> list:
+        """Match one frame's detections; returns their track ids (a new track takes its first id).
+
+        Detections marked in ``opens`` start a track whatever is near.
+        """
         live = np.flatnonzero(index - self.frames <= self.max_age + 1)
-        cost = np.full((len(live), len(boxes)), np.inf)
-        for row, t in enumerate(live):
-            near = _iou_many(self.boxes[t], boxes)
-            ok = near >= self.iou_min
-            if ok.any():
-                similar = vectors[ok] @ self.vectors[t]
-                cost[row, ok] = (1 - near[ok]) * (1 - self.w) + (1 - similar) * self.w
+        cost = np.empty((0, len(boxes)))
+        if len(live):
+            near = _iou_grid(self.boxes[live], boxes)
+            cost = (1 - near) * (1 - self.w) + (1 - self.vectors[live] @ vectors.T) * self.w
+            cost[near < self.iou_min] = np.inf
+            cost[:, opens] = np.inf
         owner = {c: int(live[r]) for r, c in cheapest_allowed(cost)} if len(live) else {}
         out = [self.ids[owner[c]] if c in owner else ids[c] for c in range(len(ids))]
         rest = [t for t in live if t not in set(owner.values()) and index - self.frames[t] <= self.max_age]
@@ -145,14 +148,14 @@ class TrackState:
 
 def track(dets: DataFrame, by: str | Sequence[str] = "camera", iou_min: float = 0.3, w: float = 0.3,
           max_age: int = 5, id: str = "det_id", embedding: str = "embedding", cell: float = 64.0,
-          hot_rows: int | None = None) -> DataFrame:
+          hot_rows: int | None = None, opened: str | None = None) -> DataFrame:
     """Assign each detection a ``track_id`` (the id of the track's first detection).
 
     Needs ``frame_index`` (see ``frame_index``), corner columns and an embedding. A camera is one
     sorted stream through a task that remembers open tracks only. A camera too large for one task is
     split first into its independent parts: detections linked, directly or through others, by
     an allowed association can share a track, all others never compete, so each connected part is
-    tracked alone with the same result.
+    tracked alone with the same result. ``opened`` names a flag of rows that stand for tracks already open.
     """
     keys = names(by)
     group, rows = keys, dets
@@ -171,11 +174,13 @@ def track(dets: DataFrame, by: str | Sequence[str] = "camera", iou_min: float =
             boxes, ids = rows[list(BOX)].to_numpy(float), rows[id].tolist()
             vectors = np.stack(rows[embedding].to_numpy()).astype(float)
             frames, owners = rows["frame_index"].to_numpy(), list(zip(*[rows[c] for c in group]))
+            opens = rows[opened].to_numpy(bool) if opened else np.zeros(len(rows), bool)
             tracks: list = []
             for begin, end in zip(begins, [*begins[1:], len(rows)]):
                 if owners[begin] != previous:
                     state, previous = TrackState(iou_min, w, max_age), owners[begin]
-                tracks += state.step(int(frames[begin]), boxes[begin:end], vectors[begin:end], ids[begin:end])
+                tracks += state.step(int(frames[begin]), boxes[begin:end], vectors[begin:end], ids[begin:end],
+                                     opens[begin:end])
             yield rows[columns].assign(track_id=tracks)
 
     return map_sorted(rows, group, ["frame_index", id], run, schema)
