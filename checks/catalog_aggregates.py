@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import runframe as rf
 from checks.catalog_joins import LINK_CONFIG, PAIRS, link_config, link_profiles
 from checks.registry import query, rounded
+from checks.views import OBS_ORDER
 
 RULE_SQL = {
     "lower": "floor((n - 1) * 0.95::DOUBLE)", "round": "greatest(round_even(n * 0.95::DOUBLE, 0) - 1, 0)",
@@ -192,7 +193,7 @@ def mean_pair_bandwidth(v):
     SELECT template, task, node, round(runtime_ema, 6) AS runtime_ema, samples, round(data_ema, 4) AS data_ema
     FROM v_ema JOIN v_ema_data USING (template, task, node)""")
 def ema_profile(v):
-    out = rf.ema_profile(v.obs, ["template", "task", "node"], ["at", "obs_id"])
+    out = rf.ema_profile(v.obs, ["template", "task", "node"], OBS_ORDER)
     return rounded(rounded(out, "runtime_ema"), "data_ema", digits=4)
 
 
@@ -200,7 +201,7 @@ def ema_profile(v):
     SELECT image, node, round(runtime_ema, 6) AS runtime_ema, samples, round(data_ema, 4) AS data_ema
     FROM v_image_ema JOIN v_image_data USING (image, node)""")
 def image_profile(v):
-    out = rf.ema_profile(v.obs, ["image", "node"], ["at", "obs_id"])
+    out = rf.ema_profile(v.obs, ["image", "node"], OBS_ORDER)
     return rounded(rounded(out, "runtime_ema"), "data_ema", digits=4)
 
 
@@ -329,14 +330,14 @@ def template_summary(v):
     SELECT template, task, node, round(runtime_ema, 6) AS runtime_ema, samples, CASE WHEN lo = hi THEN 'flat' WHEN (runtime_ema - lo) / (hi - lo) < 0.33 THEN 'low'
       WHEN (runtime_ema - lo) / (hi - lo) < 0.66 THEN 'mid' ELSE 'high' END AS band FROM s""")
 def profile_matrix(v):
-    profiles = rf.ema_profile(v.obs, ["template", "task", "node"], ["at", "obs_id"], data=None)
+    profiles = rf.ema_profile(v.obs, ["template", "task", "node"], OBS_ORDER, data=None)
     return rounded(rf.profile_matrix(profiles), "runtime_ema")
 
 
 @query("pivot_matrix", """
     SELECT template, task, round(max(runtime_ema) FILTER (node = 'n0'), 6) AS n0, round(max(runtime_ema) FILTER (node = 'n3'), 6) AS n3 FROM v_ema GROUP BY ALL""")
 def pivot_matrix(v):
-    profiles = rf.ema_profile(v.obs, ["template", "task", "node"], ["at", "obs_id"], data=None)
+    profiles = rf.ema_profile(v.obs, ["template", "task", "node"], OBS_ORDER, data=None)
     return rounded(rf.pivot_matrix(profiles, ["n0", "n3"]), "n0", "n3")
 
 

@@ -27,7 +27,7 @@ def feature_hash(v):
     SELECT c.chunk_id, CAST(i AS INTEGER) AS i, CAST(coalesce(count, 0) AS INTEGER) AS v FROM v_chunks c CROSS JOIN range(0, 128) t(i)
     LEFT JOIN v_hashed h ON h.chunk_id = c.chunk_id AND h.idx = i WHERE coalesce(count, 0) <> 0 OR i = 0""")
 def embed_chunks(v):
-    dense = rf.embed(chunks(v)).select("chunk_id", F.posexplode("vec").alias("i", "v"))
+    dense = rf.to_dense(rf.embed(chunks(v))).select("chunk_id", F.posexplode("vec").alias("i", "v"))
     return dense.where("v <> 0 OR i = 0")
 
 

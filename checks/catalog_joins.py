@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import runframe as rf
 from checks.registry import query, rounded
+from checks.views import OBS_ORDER
 
 PAIRS = """
     WITH a AS (SELECT cell, rep, makespan_s FROM v_runs WHERE system = 'a' AND phase = 'Succeeded'),
@@ -64,8 +65,8 @@ def candidates(v):
 
 
 def profiles(v):
-    by_task = rf.ema_profile(v.obs, ["template", "task", "node"], ["at", "obs_id"])
-    by_image = rf.ema_profile(v.obs, ["image", "node"], ["at", "obs_id"])
+    by_task = rf.ema_profile(v.obs, ["template", "task", "node"], OBS_ORDER)
+    by_image = rf.ema_profile(v.obs, ["image", "node"], OBS_ORDER)
     return by_task, by_image
 
 
@@ -102,7 +103,7 @@ def resolve_bytes(v):
 
 def link_profiles(v):
     edges = v.obs.withColumnRenamed("task", "src_task")
-    return rf.link_ema(edges, ["at", "obs_id"]).withColumnsRenamed(
+    return rf.link_ema(edges, OBS_ORDER).withColumnsRenamed(
         {"transfer_sec_ema": "transfer_sec", "data_ema": "data_bytes"})
 
 

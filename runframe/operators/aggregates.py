@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runframe.functions.runtime import names
-from runframe.operators.scan import scan
+from runframe.operators.scan import has_hot_group, scan
 from runframe.operators.windows import top_k
 
 
@@ -143,7 +143,8 @@ def ema_profile(obs: DataFrame, keys: str | Sequence[str], order: str | Sequence
     keys = names(keys)
     seen = obs if run_number is None else obs.where(F.col(run_number) > warmup)
     columns = {"_p": ("row_number",), "_n": ("total", F.lit(1).cast("long"))}
-    numbered = scan(seen, keys, order, columns)
+    hot = has_hot_group(seen, keys)
+    numbered = scan(seen, keys, order, columns, hot)
     aggregates = [F.sum(_ema_weight("_p", "_n", alpha) * F.col(value)).alias(f"{value}_ema"),
                   F.least(F.max("_n"), F.lit(max_samples)).cast("long").alias("samples")]
     out = numbered.groupBy(*keys).agg(*aggregates)
@@ -151,7 +152,7 @@ def ema_profile(obs: DataFrame, keys: str | Sequence[str], order: str | Sequence
         return out
     counted = (F.col("_p") == 1) | (F.col(data) > 0)
     positive = scan(numbered.where(counted), keys, "_p",
-                    {"_dp": ("row_number",), "_dn": ("total", F.lit(1).cast("long"))})
+                    {"_dp": ("row_number",), "_dn": ("total", F.lit(1).cast("long"))}, hot)
     sizes = positive.groupBy(*keys).agg(
         F.sum(_ema_weight("_dp", "_dn", alpha) * F.col(data)).alias("data_ema"))
     return out.join(sizes, keys)

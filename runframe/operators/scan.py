@@ -1,7 +1,7 @@
 """Ordered running values per group, safe for groups of any size.
 
-A plain window sends one group to one task. ``scan`` first counts the largest group
-(map-side combined, key columns only). When every group is small it is the plain window.
+A plain window sends one group to one task. Unless the whole input is below one file split, ``scan`` first
+counts the largest group (map-side combined, key columns only). When every group is small it is the plain window.
 Otherwise the rows are range-partitioned by (group, order), so a large group is split over
 many tasks, the running values are computed inside each chunk, and the few groups that
 cross a chunk border get the totals of their earlier chunks added. At most two groups of
@@ -20,6 +20,7 @@ from runframe.functions.runtime import (
     HOT_GROUP_CONF, HOT_GROUP_ROWS, cut, int_conf, names, order_columns)
 
 CHUNK = "_chunk"
+SMALL_INPUT_BYTES = 128 << 20  # the default size of one file split
 
 Spec = tuple[str] | tuple[str, Column]
 
@@ -29,21 +30,31 @@ def largest_group(df: DataFrame, by: str | Sequence[str] | None) -> int:
     return counts.agg(F.max("count")).first()[0] or 0
 
 
+def fits_one_split(df: DataFrame) -> bool:
+    """True when Catalyst bounds the whole input below one file split, which one task reads anyway."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size < SMALL_INPUT_BYTES
+
+
 def has_hot_group(df: DataFrame, by: str | Sequence[str] | None, hot_rows: int | None = None) -> bool:
+    """Whether some group exceeds ``hot_rows`` rows. Small inputs are settled without a job."""
     limit = int_conf(df.sparkSession, HOT_GROUP_CONF, HOT_GROUP_ROWS) if hot_rows is None else hot_rows
+    if limit >= HOT_GROUP_ROWS and fits_one_split(df):
+        return False
     return largest_group(df, by) > limit
 
 
 def scan(df: DataFrame, by: str | Sequence[str] | None, order: str | Sequence[str],
-         outputs: dict[str, Spec], hot_rows: int | None = None) -> DataFrame:
+         outputs: dict[str, Spec], hot: bool | None = None) -> DataFrame:
     """Add running columns. ``outputs`` maps a new name to one of
 
     ``("row_number",)``, ``("sum", x)``, ``("sum_before", x)``, ``("max_before", x)``,
     ``("lag", x)``, ``("last_before", x)`` (last non-null), ``("total", x)`` (whole group).
-    ``order`` must be unique within a group for a repeatable result.
+    ``order`` must be unique within a group for a repeatable result. ``hot`` passes on a decision
+    already made for the same groups.
     """
     by = names(by)
-    if has_hot_group(df, by, hot_rows):
+    if has_hot_group(df, by) if hot is None else hot:
         return _chunked(df, by, order, outputs)
     ordered = Window.partitionBy(*by).orderBy(*order_columns(order))
     return df.withColumns({name: _local(spec, ordered, Window.partitionBy(*by))

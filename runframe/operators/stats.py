@@ -222,11 +222,13 @@ def _means_by_array(deltas: DataFrame, keys: list[str], order, resamples: int, s
     rows = (blocks.withColumn("r", F.explode(F.sequence(F.col("_b") * block, (F.col("_b") + 1) * block - 1)))
             .where(F.col("r") < resamples))
     a, b = _seeds(seed, keys, F.col("r"))
-    rows = rows.withColumns({"_s1": a, "_s2": b})
     n = F.size("_d")
-    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(
-        F.col("_d"), (_draw(F.col("_s1"), F.col("_s2"), i, n) + 1).cast("int")))
-    return rows.select(*keys, F.col("r").cast("long").alias("r"), (total / n).alias("mean"))
+    draws = (rows.withColumns({"_s1": a, "_s2": b})
+             .select(*keys, "r", "_d", "_s1", "_s2", F.explode(F.sequence(F.lit(0), n - 1)).alias("_i")))
+    drawn = F.element_at("_d", (_draw(F.col("_s1"), F.col("_s2"), F.col("_i"), n) + 1).cast("int"))
+    # draws are generated and summed inside one stage; only one sum per resample is shuffled
+    return (draws.select(*keys, F.col("r").cast("long").alias("r"), drawn.alias("_x"))
+            .groupBy(*keys, "r").agg(F.avg("_x").alias("mean")))
 
 
 def _means_by_join(deltas: DataFrame, keys: list[str], order, resamples: int, seed: int) -> DataFrame:

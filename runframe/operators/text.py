@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runframe.operators.stats import nearest_rank
 from runframe.operators.windows import shard_offsets, top_k
@@ -49,21 +50,28 @@ def feature_hash(df: DataFrame, id: str = "chunk_id", text: str = "text", dim: i
     return counts.withColumn("n2", n2).withColumn("w", F.col("count") / F.sqrt(F.col("n2").cast("double")))
 
 
-def to_dense(hashed: DataFrame, dim: int = 128, id: str = "chunk_id") -> DataFrame:
-    """One row per id: ``vec`` (integer counts, ``dim`` long) and ``n2``."""
-    entries = F.map_from_entries(F.collect_list(F.struct("idx", F.col("count").cast("int"))))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0)))
-    return (hashed.groupBy(id).agg(entries.alias("_m"), F.first("n2").alias("n2"))
-            .select(id, dense.alias("vec"), "n2"))
+def embed(df: DataFrame, id: str = "chunk_id", text: str = "text", dim: int = 128) -> DataFrame:
+    """Hashed vector of every row of ``df`` as sparse arrays ``idx``, ``cnt`` and squared length ``n2``.
 
+    A text without tokens gets empty arrays (the zero vector).
+    """
+    entry = F.array_sort(F.collect_list(F.struct("idx", F.col("count").cast("int").alias("cnt"))))  # at most ``dim``
+    sparse = feature_hash(df, id, text, dim).groupBy(id).agg(entry.alias("_e"), F.first("n2").alias("n2"))
+    none = F.array().cast("array<int>")
+    return df.select(id).join(sparse, id, "left").select(
+        id, F.coalesce("_e.idx", none).alias("idx"), F.coalesce("_e.cnt", none).alias("cnt"),
+        F.coalesce("n2", F.lit(0)).alias("n2"))
 
-def embed(df: DataFrame, id: str = "chunk_id", text: str = "text", dim: int = 128) -> DataFrame:
-    """Dense hashed vector of every row of ``df``; a text without tokens gets the zero vector."""
-    zero = F.array_repeat(F.lit(0), dim)
-    dense = to_dense(feature_hash(df, id, text, dim), dim, id)
-    return (df.select(id).join(dense, id, "left")
-            .select(id, F.coalesce("vec", zero).alias("vec"), F.coalesce("n2", F.lit(0)).alias("n2")))
+
+def to_dense(vectors: DataFrame, dim: int = 128) -> DataFrame:
+    """Add ``vec``, the ``dim`` counts of a sparse vector, built as runs of zeros between its entries."""
+    before = F.concat(F.array(F.lit(-1)), F.col("idx"))
+    after = F.concat(F.col("idx"), F.array(F.lit(dim)))
+    values = F.concat(F.col("cnt"), F.array(F.lit(None).cast("int")))
+    runs = F.transform(F.arrays_zip(before.alias("b"), after.alias("a"), values.alias("v")), lambda s: F.concat(
+        F.array_repeat(F.lit(0), s["a"] - s["b"] - 1), F.when(s["a"] < dim, F.array(s["v"])).otherwise(
+            F.array().cast("array<int>"))))
+    return vectors.withColumn("vec", F.flatten(runs))
 
 
 def bucket_index(df: DataFrame, id: str = "chunk_id", pos: str = "pos", buckets: int = 256,
@@ -100,45 +108,66 @@ def _best(scores: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((pos[near], -scores[near]))[:k]]
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and row offsets of an Arrow list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
+def _matrix(batch, dim: int) -> np.ndarray:
+    """Dense rows of a batch holding sparse ``idx``/``cnt`` columns or a dense ``vec`` column."""
+    if "vec" in batch.schema.names:
+        return _flat(batch.column("vec"))[0].astype(np.float64).reshape(batch.num_rows, -1)
+    at, sizes = _flat(batch.column("idx"))
+    out = np.zeros((batch.num_rows, dim))
+    out[np.repeat(np.arange(batch.num_rows), sizes), at] = _flat(batch.column("cnt"))[0]
+    return out
+
+
+def _numbers(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+
+
+def _scores(q: np.ndarray, q2: np.ndarray, v: np.ndarray, v2: np.ndarray) -> np.ndarray:
+    scale = np.sqrt(q2[:, None] * v2[None, :])
+    return np.divide(q @ v.T, scale, out=np.zeros_like(scale), where=scale > 0)
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5, query: str = "query_id", id: str = "chunk_id",
-             pos: str = "pos") -> DataFrame:
+             pos: str = "pos", dim: int = 128) -> DataFrame:
     """Exact cosine top-``k`` chunks per query; ties go to the lower position.
 
-    Both sides carry ``vec`` and ``n2``. Every task scores its own chunks against all queries with one
-    matrix product per Arrow batch and hands on only its ``k`` best per query, so neither score
-    pairs nor vectors are shuffled. The queries go to the tasks as a constant when a bounded count
-    shows at most one block of them; beyond that, blocks of queries meet blocks of chunks.
+    Both sides carry ``n2`` (squared length) and either sparse ``idx``/``cnt`` or dense ``vec``. Every task
+    scores its own chunks against all queries with one matrix product per Arrow batch and hands on only
+    its ``k`` best per query, so neither score pairs nor vectors are shuffled. The queries go to the
+    tasks as a constant when a bounded count shows at most one block of them; beyond that, blocks of
+    queries meet blocks of chunks.
     """
-    if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
-        local = _retrieve_small(queries, chunks, k, query, id, pos)
-    else:
-        local = _retrieve_blocked(queries, chunks, k, query, id, pos)
+    columns = ["vec", "n2"] if "vec" in chunks.columns else ["idx", "cnt", "n2"]
+    queries = queries.select(query, *columns)
+    chunks = chunks.select(id, F.col(pos).cast("long").alias(pos), *columns)
+    fields = {f.name: f.dataType for f in [*queries.schema.fields, *chunks.schema.fields]}
+    schema = T.StructType([T.StructField(n, fields[n]) for n in (query, id, pos)] + [T.StructField("score", T.DoubleType())])
+    few = queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
+    local = (_retrieve_small if few else _retrieve_blocked)(queries, chunks, k, schema, dim)
     return top_k(local, query, k, ["-score", pos])
 
 
-def _retrieve_small(queries, chunks, k, query, id, pos) -> DataFrame:
-    rows = queries.select(query, "vec", "n2").collect()  # at most QUERY_BLOCK rows, checked by the caller
-    query_ids = [r[query] for r in rows]
-    q = np.array([r["vec"] for r in rows], dtype=np.float64)
-    q2 = np.array([float(r["n2"]) for r in rows])
-    fields = {f.name: f for f in [*queries.schema.fields, *chunks.schema.fields]}
-    schema = f"{query} {fields[query].dataType.simpleString()}, {id} {fields[id].dataType.simpleString()}, {pos} long, score double"
+def _retrieve_small(queries: DataFrame, chunks: DataFrame, k: int, schema: T.StructType, dim: int) -> DataFrame:
+    query, id, pos, _ = schema.names
+    table = queries.toArrow().combine_chunks()  # at most QUERY_BLOCK rows, checked by the caller
+    query_ids = table.column(query).to_pylist()
+    q, q2 = _matrix(table, dim), _numbers(table.column("n2")).astype(np.float64)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = [(np.empty(0), np.empty(0, dtype=np.int64), np.empty(0, dtype=object))] * len(query_ids)
+        empty = (np.empty(0), np.empty(0, dtype=np.int64), np.empty(0, dtype=object))
+        kept: list[tuple] = [empty] * len(query_ids)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v, v2 = _matrix(batch.column("vec")), batch.column("n2").to_numpy(zero_copy_only=False).astype(np.float64)
-            at = batch.column(pos).to_numpy(zero_copy_only=False)
+            scores = _scores(q, q2, _matrix(batch, dim), _numbers(batch.column("n2")).astype(np.float64))
+            at = _numbers(batch.column(pos))
             ids = np.array(batch.column(id).to_pylist(), dtype=object)
-            scale = np.sqrt(q2[:, None] * v2[None, :])
-            scores = np.divide(q @ v.T, scale, out=np.zeros_like(scale), where=scale > 0)
             for n, old in enumerate(kept):
                 best = _best(scores[n], at, k)
                 s, p, i = (np.concatenate(pair) for pair in zip(old, (scores[n][best], at[best], ids[best])))
@@ -148,10 +177,11 @@ def _retrieve_small(queries, chunks, k, query, id, pos) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist([dict(zip((query, id, pos, "score"), r)) for r in rows])
 
-    return chunks.select(id, F.col(pos).cast("long").alias(pos), "vec", "n2").mapInArrow(score, schema)
+    return chunks.mapInArrow(score, schema)
 
 
-def _retrieve_blocked(queries, chunks, k, query, id, pos) -> DataFrame:
+def _retrieve_blocked(queries: DataFrame, chunks: DataFrame, k: int, schema: T.StructType, dim: int) -> DataFrame:
+    query, id, pos, _ = schema.names
     n_query = -(-queries.count() // QUERY_BLOCK)
     n_chunk = -(-chunks.count() // CHUNK_BLOCK)
 
@@ -161,18 +191,15 @@ def _retrieve_blocked(queries, chunks, k, query, id, pos) -> DataFrame:
     def spread(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = queries.select(query, "vec", "n2", block(query, n_query).alias("_q")).withColumn("_c", spread(n_chunk))
-    right = (chunks.select(id, F.col(pos).cast("long").alias(pos), "vec", "n2", block(id, n_chunk).alias("_c"))
-             .withColumn("_q", spread(n_query)))
-    fields = {f.name: f for f in [*queries.schema.fields, *chunks.schema.fields]}
-    schema = f"{query} {fields[query].dataType.simpleString()}, {id} {fields[id].dataType.simpleString()}, {pos} long, score double"
+    left = queries.withColumn("_q", block(query, n_query)).withColumn("_c", spread(n_chunk))
+    right = chunks.withColumn("_c", block(id, n_chunk)).withColumn("_q", spread(n_query))
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = {query: [], id: [], pos: [], "score": []}
+        out: dict[str, list] = {query: [], id: [], pos: [], "score": []}
         if a.num_rows and b.num_rows:
-            v, at, ids = _matrix(b["vec"]), b[pos].to_numpy(), b[id].to_pylist()
-            scale = np.sqrt(a["n2"].to_numpy().astype(float)[:, None] * b["n2"].to_numpy().astype(float)[None, :])
-            scores = np.divide(_matrix(a["vec"]) @ v.T, scale, out=np.zeros_like(scale), where=scale > 0)
+            at, ids = _numbers(b[pos]), b[id].to_pylist()
+            scores = _scores(_matrix(a, dim), _numbers(a["n2"]).astype(float), _matrix(b, dim),
+                             _numbers(b["n2"]).astype(float))
             for n, name in enumerate(a[query].to_pylist()):
                 for j in _best(scores[n], at, k):
                     for key, value in zip(out, (name, ids[j], int(at[j]), float(scores[n, j]))):

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from runframe.functions.runtime import names, order_columns, reverse, same
 from runframe.functions.streams import map_sorted, starts
-from runframe.operators.scan import scan
+from runframe.operators.scan import has_hot_group, scan
 
 
 def top_k(df: DataFrame, by: str | Sequence[str] | None, k: int, order: str | Sequence[str],
@@ -94,9 +94,10 @@ def assign_lanes(intervals: DataFrame, by: str | Sequence[str], start: str = "st
     the end of each lane.
     """
     keys = names(by)
-    reach = scan(intervals, keys, [start, id], {"_reach": ("max_before", F.col(end))})
+    hot = has_hot_group(intervals, keys)
+    reach = scan(intervals, keys, [start, id], {"_reach": ("max_before", F.col(end))}, hot)
     opens = F.when(F.col("_reach").isNull() | (F.col(start) >= F.col("_reach")), 1).otherwise(0).cast("long")
-    parts = scan(reach.withColumn("_opens", opens), keys, [start, id], {"_part": ("sum", F.col("_opens"))})
+    parts = scan(reach.withColumn("_opens", opens), keys, [start, id], {"_part": ("sum", F.col("_opens"))}, hot)
     group = [*keys, "_part"]
     data = parts.select(*intervals.columns, "_part")
     schema = T.StructType([*intervals.schema.fields, T.StructField("lane", T.LongType())])
