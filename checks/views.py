@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from runframe import configure
 
-OBS_ORDER = ["at", "ok", "ln", "pk", "sk"]
-LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+OBS_ORDER = ["at", "ok", "ln", "pk", "sk", "price"]
+LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) AS bigint))"
 
 
 class Views:
@@ -83,7 +83,7 @@ class Views:
             "o_orderpriority AS template", "concat('task', l_linenumber) AS task",
             "concat('img', l_linenumber % 3) AS image", "concat('n', l_suppkey % 8) AS node",
             "l_quantity AS runtime", "if(l_returnflag = 'N', 0.0D, l_extendedprice) AS data_bytes",
-            "cast(o_orderdate AS timestamp) AS at", "l_orderkey AS ok", "l_linenumber AS ln", "l_partkey AS pk", "l_suppkey AS sk",
+            "cast(o_orderdate AS timestamp) AS at", "l_orderkey AS ok", "l_linenumber AS ln", "l_partkey AS pk", "l_suppkey AS sk", "l_extendedprice AS price",
             "concat('task', l_linenumber + 1) AS dst_task", "concat('n', l_suppkey % 8) AS src",
             "concat('n', l_partkey % 8) AS dst", "l_quantity + l_tax AS transfer_sec")
 
@@ -172,7 +172,7 @@ SQL_VIEWS = {
         CAST(conv_id * 100 + turn * 10 AS DOUBLE) AS start_,
         CAST(conv_id * 100 + turn * 10 AS DOUBLE) + length(text) / 100.0::DOUBLE AS end_ FROM conversations""",
     "v_edges": "SELECT run, task AS child, unnest(deps) AS dep FROM v_dag",
-    "v_flows": """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS flow_id,
+    "v_flows": """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS flow_id,
         'n' || (l_suppkey % 8) AS src, 'n' || (l_partkey % 8) AS dst, CAST(floor(l_extendedprice) AS BIGINT) AS bytes,
         epoch_us(l_shipdate) / 1e6 + l_linenumber * 3600 AS start_,
         epoch_us(l_shipdate) / 1e6 + l_linenumber * 3600 + l_quantity * 600 AS end_, l_returnflag <> 'R' AS ok,
@@ -180,7 +180,7 @@ SQL_VIEWS = {
     "v_obs": """SELECT o_orderpriority AS template, 'task' || l_linenumber AS task, 'img' || (l_linenumber % 3) AS image,
         'n' || (l_suppkey % 8) AS node, l_quantity AS runtime,
         CASE WHEN l_returnflag = 'N' THEN 0.0::DOUBLE ELSE l_extendedprice END AS data_bytes, o_orderdate AS at_,
-        l_orderkey AS ok, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk,
+        l_orderkey AS ok, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk, l_extendedprice AS price,
         'task' || (l_linenumber + 1) AS dst_task, 'n' || (l_suppkey % 8) AS src, 'n' || (l_partkey % 8) AS dst,
         l_quantity + l_tax AS transfer_sec FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "v_nodes": """SELECT 'n' || n_nationkey AS node, CAST(n_regionkey * 1000 AS BIGINT) AS cpu_alloc,
@@ -197,7 +197,7 @@ SQL_VIEWS = {
     "v_dets": """SELECT event_id AS det_id, event_type AS class, value / 500 AS confidence,
         's' || (user_id % 4) AS sensor, CAST(CAST(ts AS DATE) AS VARCHAR) AS run FROM events""",
     "v_boxes": """SELECT 'cam-' || (l_suppkey % 4) AS camera, lpad(CAST(l_partkey AS VARCHAR), 12, '0') AS frame,
-        l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS det_id, l_quantity AS x1,
+        l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS det_id, l_quantity AS x1,
         l_discount * 100 AS y1, l_quantity + 5 + l_tax * 100 AS x2, l_discount * 100 + 10 AS y2,
         l_extendedprice / 100000 AS score, l_linenumber AS class_id, 'class' || l_linenumber AS class,
         [l_quantity / 50, l_discount * 10, l_tax * 10] AS embedding FROM lineitem""",
@@ -227,30 +227,30 @@ SQL_VIEWS = {
         CAST(sum(CASE WHEN ('0x' || substr(h, 9, 2))::INTEGER % 2 = 1 THEN 1 ELSE -1 END) AS BIGINT) AS count
         FROM v_query_tokens GROUP BY ALL""",
     "v_ema": """SELECT template, task, node, sum(pow(0.7, n - p) * CASE WHEN p = 1 THEN 1 ELSE 0.3 END * runtime) AS runtime_ema,
-        least(max(n), 100) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY template, task, node ORDER BY at_, ok, ln, pk, sk) AS p,
+        least(max(n), 100) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY template, task, node ORDER BY at_, ok, ln, pk, sk, price) AS p,
         count(*) OVER (PARTITION BY template, task, node) AS n FROM v_obs) GROUP BY template, task, node""",
     "v_ema_data": """SELECT template, task, node, sum(pow(0.7, n - q) * CASE WHEN q = 1 THEN 1 ELSE 0.3 END * data_bytes) AS data_ema
         FROM (SELECT *, row_number() OVER (PARTITION BY template, task, node ORDER BY p) AS q,
         count(*) OVER (PARTITION BY template, task, node) AS n FROM
-        (SELECT *, row_number() OVER (PARTITION BY template, task, node ORDER BY at_, ok, ln, pk, sk) AS p FROM v_obs)
+        (SELECT *, row_number() OVER (PARTITION BY template, task, node ORDER BY at_, ok, ln, pk, sk, price) AS p FROM v_obs)
         WHERE p = 1 OR data_bytes > 0) GROUP BY template, task, node""",
     "v_image_ema": """SELECT image, node, sum(pow(0.7, n - p) * CASE WHEN p = 1 THEN 1 ELSE 0.3 END * runtime) AS runtime_ema,
-        least(max(n), 100) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY image, node ORDER BY at_, ok, ln, pk, sk) AS p,
+        least(max(n), 100) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY image, node ORDER BY at_, ok, ln, pk, sk, price) AS p,
         count(*) OVER (PARTITION BY image, node) AS n FROM v_obs) GROUP BY image, node""",
     "v_image_data": """SELECT image, node, sum(pow(0.7, n - q) * CASE WHEN q = 1 THEN 1 ELSE 0.3 END * data_bytes) AS data_ema
         FROM (SELECT *, row_number() OVER (PARTITION BY image, node ORDER BY p) AS q, count(*) OVER (PARTITION BY image, node) AS n
-        FROM (SELECT *, row_number() OVER (PARTITION BY image, node ORDER BY at_, ok, ln, pk, sk) AS p FROM v_obs)
+        FROM (SELECT *, row_number() OVER (PARTITION BY image, node ORDER BY at_, ok, ln, pk, sk, price) AS p FROM v_obs)
         WHERE p = 1 OR data_bytes > 0) GROUP BY image, node""",
     "v_link_ema": """SELECT template, src_task, dst_task, src, dst,
         sum(pow(0.7, n - p) * CASE WHEN p = 1 THEN 1 ELSE 0.3 END * transfer_sec) AS transfer_sec, least(max(n), 100) AS samples
-        FROM (SELECT *, task AS src_task, row_number() OVER (PARTITION BY template, task, dst_task, src, dst ORDER BY at_, ok, ln, pk, sk) AS p,
+        FROM (SELECT *, task AS src_task, row_number() OVER (PARTITION BY template, task, dst_task, src, dst ORDER BY at_, ok, ln, pk, sk, price) AS p,
         count(*) OVER (PARTITION BY template, task, dst_task, src, dst) AS n FROM v_obs WHERE src <> dst)
         GROUP BY template, src_task, dst_task, src, dst""",
     "v_link_data": """SELECT template, src_task, dst_task, src, dst,
         sum(pow(0.7, n - q) * CASE WHEN q = 1 THEN 1 ELSE 0.3 END * data_bytes) AS data_bytes
         FROM (SELECT *, row_number() OVER (PARTITION BY template, src_task, dst_task, src, dst ORDER BY p) AS q,
         count(*) OVER (PARTITION BY template, src_task, dst_task, src, dst) AS n FROM
-        (SELECT *, task AS src_task, row_number() OVER (PARTITION BY template, task, dst_task, src, dst ORDER BY at_, ok, ln, pk, sk) AS p
+        (SELECT *, task AS src_task, row_number() OVER (PARTITION BY template, task, dst_task, src, dst ORDER BY at_, ok, ln, pk, sk, price) AS p
         FROM v_obs WHERE src <> dst) WHERE p = 1 OR data_bytes > 0) GROUP BY template, src_task, dst_task, src, dst""",
     "v_observed": """SELECT src, dst, sum(data_bytes) / sum(transfer_sec) AS bandwidth
         FROM v_link_ema JOIN v_link_data USING (template, src_task, dst_task, src, dst)

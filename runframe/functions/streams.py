@@ -17,10 +17,11 @@ def map_sorted(df: DataFrame, group: Sequence[str], order: Sequence[str],
     """Run ``fn`` over the rows of each partition, sorted by ``group`` and then ``order``.
 
     All rows of a group are in one partition and follow one another, so small groups share Arrow
-    batches and a large group passes through as a stream. The partition count is fixed because the
-    work per byte is high: small inputs must not be merged into one task.
+    batches and a large group passes through as a stream. The partition count is fixed, and above the
+    usual one, because the work per byte is high: small inputs must not be merged into one task and a few
+    busy groups should not meet in one.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartition(n, *group).sortWithinPartitions(*group, *order_columns(order))
     return placed.mapInPandas(fn, schema)
 

@@ -73,7 +73,7 @@ def fuse_detections(dets: DataFrame, by: str | Sequence[str] = (), k: int = 5, o
     sensors = dets.select(*keys, "sensor").distinct().groupBy(*keys).agg(F.count("sensor").alias("n_sensors"))
     best = (top_k(dets, keys, k, ["-confidence", order]).groupBy(*keys)
             .agg(F.round(F.avg("confidence"), 3).alias("avg_confidence"),
-                 F.transform(F.array_sort(F.collect_list(F.struct("rank", order))),
+                 F.transform(F.sort_array(F.collect_list(F.struct("rank", order))),
                              lambda r: r[order]).alias("top_detections")))
     return base.join(sensors, keys, "left").join(best, keys, "left")
 
@@ -103,7 +103,7 @@ def traffic_report(tracks: DataFrame, hops: DataFrame, track: str = "global_id",
     ordered = scan(hops, track, ["frame_first", "camera", "tracklet_id"], {"hop": ("row_number",)})
     totals = hops.groupBy(track).agg(F.count(F.lit(1)).alias("hop_count"),
                                      F.sum("det_count").alias("det_count_total"),
-                                     F.array_join(F.array_sort(F.collect_set("camera")), ",").alias("cameras"))
+                                     F.array_join(F.sort_array(F.collect_set("camera")), ",").alias("cameras"))
     summary = tracks.select(track, class_col).join(totals, track)
     ranked = scan(summary, None, [class_col, "-det_count_total", track], {"rank": ("row_number",)})
     return counts, ranked, ordered
@@ -293,5 +293,5 @@ def correctness_rollup(diffs: DataFrame, reports: DataFrame, expected: DataFrame
         *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("OK", "FAIL", "NO_REPORT")],
         F.avg("tracks").alias("mean_tracks"))
     classes = (reports.select("cell", "class").distinct().groupBy("cell")
-               .agg(F.array_join(F.array_sort(F.collect_list("class")), ",").alias("classes")))
+               .agg(F.array_join(F.sort_array(F.collect_list("class")), ",").alias("classes")))
     return out.join(classes, "cell", "left")

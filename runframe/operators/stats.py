@@ -215,7 +215,7 @@ def _draw(a: Column, b: Column, i: Column, n: Column) -> Column:
 def _means_by_array(deltas: DataFrame, keys: list[str], order, resamples: int, seed: int) -> DataFrame:
     block = 100
     order = names(order)
-    sample = F.transform(F.array_sort(F.collect_list(F.struct(*order, "delta"))), lambda s: s["delta"])
+    sample = F.transform(F.sort_array(F.collect_list(F.struct(*order, "delta"))), lambda s: s["delta"])
     cells = deltas.groupBy(*keys).agg(sample.alias("_d"))
     blocks = (cells.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // block))))
               .repartition(-(-resamples // block), *keys, "_b"))

@@ -55,7 +55,7 @@ def embed(df: DataFrame, id: str = "chunk_id", text: str = "text", dim: int = 12
 
     A text without tokens gets empty arrays (the zero vector).
     """
-    entry = F.array_sort(F.collect_list(F.struct("idx", F.col("count").cast("int").alias("cnt"))))  # at most ``dim``
+    entry = F.sort_array(F.collect_list(F.struct("idx", F.col("count").cast("int").alias("cnt"))))  # at most ``dim``
     sparse = feature_hash(df, id, text, dim).groupBy(id).agg(entry.alias("_e"), F.first("n2").alias("n2"))
     none = F.array().cast("array<int>")
     return df.select(id).join(sparse, id, "left").select(
@@ -214,7 +214,7 @@ def retrieval_report(hits: DataFrame, latencies: DataFrame, query: str = "query_
                      latency: str = "latency_s") -> tuple[DataFrame, DataFrame]:
     """Hits of each query as one ordered list (scores 4 dp), and latency p50 and p95 (truncated rank)."""
     entry = F.struct("rank", F.col(id).alias("chunk_id"), F.round("score", 4).alias("score"))
-    per_query = hits.groupBy(query).agg(F.array_sort(F.collect_list(entry)).alias("hits"))  # k entries each
+    per_query = hits.groupBy(query).agg(F.sort_array(F.collect_list(entry)).alias("hits"))  # k entries each
     p50 = nearest_rank(latencies, None, latency, 0.5, "trunc", "latency_p50")
     p95 = nearest_rank(latencies, None, latency, 0.95, "trunc", "latency_p95")
     return per_query, p50.join(F.broadcast(p95))  # one-row sides

@@ -201,7 +201,7 @@ def summarize_tracks(assigned: DataFrame, embs: DataFrame | None = None, min_hit
     ).where(F.col("det_count") >= min_hits)
     mean = (full.select(*keys, F.posexplode(embedding).alias("_i", "_v")).groupBy(*keys, "_i")
             .agg(F.avg("_v").alias("_v")).groupBy(*keys)
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias(embedding)))
+            .agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias(embedding)))
     return normalize_vectors(facts.join(mean, keys), embedding)
 
 
@@ -288,7 +288,7 @@ def global_tracks(members: DataFrame, tracklets: DataFrame) -> tuple[DataFrame,
             .select("global_id", "camera", "tracklet_id", "class", "frame_first", "frame_last", "det_count"))
     best = majority_class(hops.withColumn("pos", F.struct("camera", "tracklet_id")), "global_id").drop("class_weight")
     facts = hops.groupBy("global_id").agg(
-        F.array_join(F.array_sort(F.collect_set("camera")), ",").alias("cameras"),
+        F.array_join(F.sort_array(F.collect_set("camera")), ",").alias("cameras"),
         F.count(F.lit(1)).alias("hop_count"), F.sum("det_count").alias("det_count_total"))
     return best.join(facts, "global_id"), hops
 
