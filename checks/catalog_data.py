@@ -120,7 +120,12 @@ def frame_index(v):
     return rf.frame_index(v.boxes).select("det_id", "frame_index")
 
 
-@query("nms")
+@query("nms", """
+    WITH f AS (SELECT camera, frame, list([{'i': det_id, 's': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] ORDER BY score DESC, det_id) AS boxes FROM v_boxes GROUP BY camera, frame),
+    k AS (SELECT camera, frame, unnest(list_reduce(boxes, lambda kept, b: CASE WHEN len(list_filter(kept, lambda o:
+        greatest(least(o.x2, b[1].x2) - greatest(o.x1, b[1].x1), 0) * greatest(least(o.y2, b[1].y2) - greatest(o.y1, b[1].y1), 0) * 1.5
+        > 0.5 * ((o.x2 - o.x1) * (o.y2 - o.y1) + (b[1].x2 - b[1].x1) * (b[1].y2 - b[1].y1)))) = 0 THEN list_concat(kept, b) ELSE kept END)) AS o FROM f)
+    SELECT camera, frame, o.i AS det_id, o.s AS score FROM k""")
 def nms(v):
     return rf.nms(v.boxes, ["camera", "frame"]).select("camera", "frame", "det_id", "score")
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import runframe as rf
 from checks.registry import query, rounded
+from runframe.functions.runtime import work_folder
 from runframe import schemas
 from runframe.functions import vectors
 from runframe.sources import readers
@@ -355,3 +356,19 @@ def assoc_candidates(v):
     dets = rf.frame_index(v.boxes.drop("embedding"), "camera")
     out = rf.assoc_candidates(dets, v.boxes.select("camera", "det_id", "embedding"), cell=16.0)
     return rounded(out, "iou", "cost", digits=9)
+
+
+@query("box_to_letterbox", """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity * 0.5::DOUBLE + 4, 6) AS x1, round(l_tax * 100 * 0.5::DOUBLE + 8, 6) AS y2 FROM lineitem""")
+def box_to_letterbox(v):
+    dets = v.table("lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity AS x1", "l_discount AS y1", "l_quantity + 1 AS x2",
+        "l_tax * 100 AS y2", "0.5D AS scale", "4 AS pad_x", "8 AS pad_y")
+    return rounded(rf.box_to_letterbox(dets).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "x1", "y2"), "x1", "y2")
+
+
+@query("write_report", "SELECT run_id, run_name, phase FROM v_runs")
+def write_report(v):
+    folder = work_folder(v.spark)
+    rf.write_report(v.runs, folder, ["run_id", "run_name", "phase"])
+    return v.spark.read.schema("run_id long, run_name string, phase string").csv(folder, header=True)

@@ -66,7 +66,11 @@ def max_overlap(v):
     return rf.max_overlap(v.tasks, "node")
 
 
-@query("assign_lanes")
+@query("assign_lanes", """
+    WITH g AS (SELECT run, node, list([{'task': task, 's': start_, 'e': end_, 'lane': 0::BIGINT}] ORDER BY start_, task) AS bars FROM v_tasks GROUP BY run, node),
+    p AS (SELECT run, node, unnest(list_reduce(bars, lambda placed, b: list_concat(placed, [{'task': b[1].task, 's': b[1].s, 'e': b[1].e,
+      'lane': list_filter(range(0, len(placed) + 1), lambda l: len(list_filter(placed, lambda o: o.lane = l AND o.e > b[1].s)) = 0)[1]}]))) AS o FROM g)
+    SELECT run, node, o.task AS task, o.lane AS lane FROM p""")
 def assign_lanes(v):
     return rf.assign_lanes(v.tasks.select("run", "node", "task", "start", "end"), ["run", "node"]).select("run", "node", "task", "lane")
 

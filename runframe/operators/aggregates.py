@@ -112,10 +112,8 @@ def traffic_report(tracks: DataFrame, hops: DataFrame, track: str = "global_id",
 def link_traffic(flows: DataFrame) -> DataFrame:
     """Bytes and flow count per (src, dst) with the share of the busiest link."""
     links = flows.groupBy("src", "dst").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("flows"))
-    peak = links.agg(F.max("bytes").alias("_peak"))
-    return (links.join(F.broadcast(peak))  # one-row side
-            .withColumn("share", F.when(F.col("_peak") > 0, F.col("bytes") / F.col("_peak")).otherwise(0.0))
-            .drop("_peak"))
+    peak = links.agg(F.max("bytes")).scalar()
+    return links.withColumn("share", F.when(peak > 0, F.col("bytes") / peak).otherwise(0.0))
 
 
 def observed_bandwidth(link_prof: DataFrame, min_samples: int = 3) -> DataFrame:
@@ -243,11 +241,10 @@ def link_classes(links: DataFrame, rate: str = "bytes_per_sec") -> DataFrame:
     """Mbps of each link and its class: fastest F, slowest S, others M; two rates M and F; one F."""
     mbps = F.round(F.col(rate) / 125_000, 2)
     rated = links.withColumn("mbps", mbps)
-    span = (rated.select("mbps").distinct()
-            .agg(F.count(F.lit(1)).alias("_n"), F.min("mbps").alias("_lo"), F.max("mbps").alias("_hi")))
-    label = (F.when(F.col("mbps") == F.col("_hi"), "F").when(F.col("_n") == 2, "M")
-             .when(F.col("mbps") == F.col("_lo"), "S").otherwise("M"))
-    return rated.join(F.broadcast(span)).withColumn("link_class", label).drop("_n", "_lo", "_hi")  # one-row side
+    span = rated.select("mbps").distinct()
+    n, low, high = (span.agg(f).scalar() for f in (F.count(F.lit(1)), F.min("mbps"), F.max("mbps")))
+    label = (F.when(F.col("mbps") == high, "F").when(n == 2, "M").when(F.col("mbps") == low, "S").otherwise("M"))
+    return rated.withColumn("link_class", label)
 
 
 def outcome_counts(runs: DataFrame, run_names: DataFrame | None = None, by: str | Sequence[str] = ()) -> DataFrame:

@@ -56,7 +56,7 @@ def nearest_rank(df: DataFrame, by: str | Sequence[str], value: str, p: float, r
 
 def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     if not keys:
-        return left.join(F.broadcast(right))  # one-row side
+        return left.withColumns({c: right.select(c).scalar() for c in right.columns})  # one row
     kept = [left[c] for c in left.columns] + [right[c] for c in right.columns if c not in keys]
     return left.join(right, same(left, right, keys), "left").select(*kept)
 

@@ -217,4 +217,4 @@ def retrieval_report(hits: DataFrame, latencies: DataFrame, query: str = "query_
     per_query = hits.groupBy(query).agg(F.sort_array(F.collect_list(entry)).alias("hits"))  # k entries each
     p50 = nearest_rank(latencies, None, latency, 0.5, "trunc", "latency_p50")
     p95 = nearest_rank(latencies, None, latency, 0.95, "trunc", "latency_p95")
-    return per_query, p50.join(F.broadcast(p95))  # one-row sides
+    return per_query, p50.withColumn("latency_p95", p95.scalar())

@@ -215,11 +215,13 @@ def match_cameras(tracklets: DataFrame, sim_min: float = 0.55, by: str | Sequenc
     bidding rounds instead, see ``bid_assignment``.
     """
     keys = names(by)
-    cams = tracklets.groupBy(*keys, camera).agg(F.count(F.lit(1)).alias("_n"))
-    a = cams.select(*keys, F.col(camera).alias("cam_i"), F.col("_n").alias("_ni"))
-    b = cams.select(*keys, F.col(camera).alias("cam_j"), F.col("_n").alias("_nj"))
-    pairs = a.join(b, keys) if keys else a.join(b, F.col("cam_i") < F.col("cam_j"))
-    pairs = cut(pairs.where("cam_i < cam_j"))
+    sizes = tracklets.groupBy(*keys, camera).agg(F.count(F.lit(1)).alias("n"))
+    cams = sizes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(camera).alias("cam"), "n"))).alias("_c"))
+    later = F.expr("slice(_c, _i + 2, size(_c))")
+    pairs = cut(cams.select(*keys, "_c", F.posexplode("_c").alias("_i", "_a"))
+                .select(*keys, "_a", F.explode(later).alias("_b"))
+                .select(*keys, F.col("_a.cam").alias("cam_i"), F.col("_b.cam").alias("cam_j"),
+                        F.col("_a.n").alias("_ni"), F.col("_b.n").alias("_nj")))
     big = F.col("_ni") * F.col("_nj") > dense_cells
     out = _match_dense(tracklets, pairs.where(~big), keys, camera, id, embedding)
     for row in pairs.where(big).toLocalIterator():  # camera pairs, few and far below the tracklets
