@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runframe.functions.runtime import names
-from runframe.operators.scan import has_hot_group, scan
+from runframe.operators.scan import scan
 from runframe.operators.windows import top_k
 
 
@@ -140,25 +140,24 @@ def ema_profile(obs: DataFrame, keys: str | Sequence[str], order: str | Sequence
     """
     keys = names(keys)
     seen = obs if run_number is None else obs.where(F.col(run_number) > warmup)
-    columns = {"_p": ("row_number",), "_n": ("total", F.lit(1).cast("long"))}
-    hot = has_hot_group(seen, keys)
-    numbered = scan(seen, keys, order, columns, hot)
-    aggregates = [F.sum(_ema_weight("_p", "_n", alpha) * F.col(value)).alias(f"{value}_ema"),
+    one = F.lit(1).cast("long")
+    columns = {"_p": ("row_number",), "_n": ("total", one)}
+    if data is not None:
+        positive = F.when(F.col(data) > 0, one).otherwise(one * 0)
+        columns |= {"_dp": ("sum", positive), "_dn": ("total", positive)}
+    numbered = scan(seen, keys, order, columns)
+
+    def average(value: str, later: str) -> Column:
+        """Weighted sum where ``later`` counts the observations folded in afterwards."""
+        first = F.when(F.col("_p") == 1, F.lit(1.0)).otherwise(F.lit(float(alpha)))
+        return F.sum(F.pow(F.lit(1.0 - alpha), F.expr(later)) * first * F.col(value))
+
+    aggregates = [average(value, "_n - _p").alias(f"{value}_ema"),
                   F.least(F.max("_n"), F.lit(max_samples)).cast("long").alias("samples")]
-    out = numbered.groupBy(*keys).agg(*aggregates)
-    if data is None:
-        return out
-    counted = (F.col("_p") == 1) | (F.col(data) > 0)
-    positive = scan(numbered.where(counted), keys, "_p",
-                    {"_dp": ("row_number",), "_dn": ("total", F.lit(1).cast("long"))}, hot)
-    sizes = positive.groupBy(*keys).agg(
-        F.sum(_ema_weight("_dp", "_dn", alpha) * F.col(data)).alias("data_ema"))
-    return out.join(sizes, keys)
-
-
-def _ema_weight(position: str, count: str, alpha: float) -> Column:
-    decay = F.pow(F.lit(1.0 - alpha), F.col(count) - F.col(position))
-    return decay * F.when(F.col(position) == 1, F.lit(1.0)).otherwise(F.lit(float(alpha)))
+    if data is not None:
+        used = numbered.withColumn("_d", F.when((F.col("_p") == 1) | (F.col(data) > 0), F.col(data)))
+        return used.groupBy(*keys).agg(*aggregates, average("_d", "_dn - _dp").alias("data_ema"))
+    return numbered.groupBy(*keys).agg(*aggregates)
 
 
 def link_ema(edges: DataFrame, order: str | Sequence[str], alpha: float = 0.3,

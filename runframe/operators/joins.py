@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runframe.functions.runtime import names, order_columns
 from runframe.functions.values import pct, size_bytes
-from runframe.operators.scan import scan
+from runframe.operators.scan import has_hot_group, scan
 
 
 def paired(runs: DataFrame, a: str, b: str, by: str | Sequence[str], order: str, key: str = "rep",
@@ -258,7 +258,7 @@ def flow_contention(flows: DataFrame, bandwidth: DataFrame, tol: float = 0.01, i
     def active(node: str, name: str) -> DataFrame:
         # all changes at one instant count together, so equal starts see each other
         steps = events.groupBy(node, "t").agg(F.sum("d").alias("d"))
-        running = scan(steps, node, "t", {name: ("sum", F.col("d"))})
+        running = scan(steps, node, "t", {name: ("sum", F.col("d"))}, has_hot_group(flows, node))
         return running.select(node, F.col("t").alias("start"), name)
 
     rate = bandwidth.select("src", "dst", "bandwidth")

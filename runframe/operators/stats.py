@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runframe.functions.runtime import names, same
-from runframe.operators.scan import largest_group, scan
+from runframe.operators.scan import has_hot_group, largest_group, scan
 
 RULES = ("lower", "round", "floor", "trunc", "pct", "linear")
 
@@ -38,7 +38,8 @@ def nearest_rank(df: DataFrame, by: str | Sequence[str], value: str, p: float, r
     keys = names(by)
     counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x"))
               .agg(F.count(F.lit(1)).alias("_c")))
-    upto = scan(counts, keys, "_x", {"_cum": ("sum", F.col("_c")), "_n": ("total", F.col("_c"))})
+    upto = scan(counts, keys, "_x", {"_cum": ("sum", F.col("_c")), "_n": ("total", F.col("_c"))},
+                has_hot_group(df, keys))
 
     def holds(place: Column) -> Column:
         return (F.col("_cum") > place) & (F.col("_cum") - F.col("_c") <= place)

@@ -79,7 +79,7 @@ def max_overlap(intervals: DataFrame, by: str | Sequence[str], start: str = "sta
         F.struct(F.col(start).alias("t"), F.lit(1).cast("long").alias("d")),
         F.struct(F.col(end).alias("t"), F.lit(-1).cast("long").alias("d")))).alias("e"))
         .groupBy(*keys, "e.t", "e.d").agg(F.sum("e.d").alias("step")))
-    running = scan(steps, keys, ["t", "d"], {"open": ("sum", F.col("step"))})
+    running = scan(steps, keys, ["t", "d"], {"open": ("sum", F.col("step"))}, has_hot_group(intervals, keys))
     rows = F.sum(F.when(F.col("d") == 1, F.col("step")).otherwise(0))
     deepest = F.greatest(F.max("open"), F.lit(0).cast("long"))
     return running.groupBy(*keys).agg(F.when(rows <= 1, rows).otherwise(deepest).alias("max_overlap"))
