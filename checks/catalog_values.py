@@ -91,7 +91,7 @@ def flow_log(v):
         F.col("dst").alias("dstNode"), F.col("bytes").alias("dataSize"), F.col("start").alias("startUnix"),
         F.col("end").alias("endUnix"), "ok"))
     broken = F.split("flow_id", "-")[1] == "7"
-    lines = v.flows.select(F.when(broken, F.concat(F.lit('{"fromTask": '), "flow_id")).otherwise(record).alias("value"))
+    lines = rf.spread(v.flows).select(F.when(broken, F.concat(F.lit('{"fromTask": '), "flow_id")).otherwise(record).alias("value"))
     out = rf.parse_flow_lines(lines).select("from_task", "src", "dst", "bytes", "start", "end", "ok")
     return rounded(out, "start", "end", digits=3)
 

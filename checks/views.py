@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runframe import configure
+from runframe import configure, spread
 
 OBS_ORDER = ["at", "ok", "ln", "pk", "sk", "price"]
 LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) AS bigint))"
@@ -114,7 +114,7 @@ class Views:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return self.table("documents").select("doc_id", "text", "source")
+        return spread(self.table("documents").select("doc_id", "text", "source"))
 
     @cached_property
     def dets(self) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from runframe.functions.geometry import (
     assoc_candidates, box_to_letterbox, box_to_original, center_to_corners, iou_pairs, letterbox_geometry, links)
-from runframe.functions.runtime import broadcast_if_small, configure
+from runframe.functions.runtime import broadcast_if_small, configure, spread
 from runframe.functions.values import (
     backfill_start, map_values, normalize_resources, normalize_sizes, parse_names, pct, run_diff, runs_of, search,
     two_hop_phases, valid_runs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,6 +18,7 @@ from runframe.operators.windows import shard_offsets, top_k
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 QUERY_BLOCK = 4096
 CHUNK_BLOCK = 50_000
+KNOWN_TOKENS = 1_000_000
 
 
 def chunk(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 500, overlap: int = 100) -> DataFrame:
@@ -53,14 +55,41 @@ def feature_hash(df: DataFrame, id: str = "chunk_id", text: str = "text", dim: i
 def embed(df: DataFrame, id: str = "chunk_id", text: str = "text", dim: int = 128) -> DataFrame:
     """Hashed vector of every row of ``df`` as sparse arrays ``idx``, ``cnt`` and squared length ``n2``.
 
-    A text without tokens gets empty arrays (the zero vector).
+    The same vectors as ``feature_hash``, but a row's tokens are counted where the row is, per Arrow batch,
+    so no text is shuffled; each distinct token is hashed once per task. A text without tokens gets empty
+    arrays (the zero vector).
     """
-    entry = F.sort_array(F.collect_list(F.struct("idx", F.col("count").cast("int").alias("cnt"))))  # at most ``dim``
-    sparse = feature_hash(df, id, text, dim).groupBy(id).agg(entry.alias("_e"), F.first("n2").alias("n2"))
-    none = F.array().cast("array<int>")
-    return df.select(id).join(sparse, id, "left").select(
-        id, F.coalesce("_e.idx", none).alias("idx"), F.coalesce("_e.cnt", none).alias("cnt"),
-        F.coalesce("n2", F.lit(0)).alias("n2"))
+    schema = T.StructType([df.schema[id], T.StructField("idx", T.ArrayType(T.IntegerType())),
+                           T.StructField("cnt", T.ArrayType(T.IntegerType())), T.StructField("n2", T.LongType())])
+
+    def hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, int]] = {}
+
+        def code(token: str) -> tuple[int, int]:
+            digest = hashlib.sha256(token.encode()).digest()
+            if len(known) >= KNOWN_TOKENS:
+                known.clear()
+            known[token] = int.from_bytes(digest[:4], "big") % dim, 1 if digest[4] & 1 else -1
+            return known[token]
+
+        for batch in batches:
+            rows, codes = [], []
+            for line in batch.column(text).to_pylist():
+                found = [known.get(token) or code(token) for token in (line or "").lower().split()]
+                rows.append(len(found))
+                codes += found
+            at = np.repeat(np.arange(len(rows)), rows)
+            pairs = np.array(codes, dtype=np.int64).reshape(-1, 2)
+            counts = np.bincount(at * dim + pairs[:, 0], weights=pairs[:, 1], minlength=len(rows) * dim)
+            counts = counts.astype(np.int64).reshape(len(rows), dim)
+            used, idx = np.nonzero(counts)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(used, minlength=len(rows)))]), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                batch.column(id), pa.ListArray.from_arrays(offsets, pa.array(idx, pa.int32())),
+                pa.ListArray.from_arrays(offsets, pa.array(counts[used, idx], pa.int32())),
+                pa.array((counts * counts).sum(axis=1), pa.int64())], names=schema.names)
+
+    return df.select(id, text).mapInArrow(hash_batches, schema)
 
 
 def to_dense(vectors: DataFrame, dim: int = 128) -> DataFrame:
