@@ -6,7 +6,6 @@ import runframe as rf
 from checks.registry import query, rounded
 from runframe.functions.runtime import work_folder
 from runframe import schemas
-from runframe.functions import vectors
 from runframe.sources import readers
 
 SIZE_TEXT = """CASE l_linenumber WHEN 1 THEN concat(cast(l_quantity AS int), 'MB')

@@ -2,15 +2,22 @@
 
 from runframe.functions.geometry import (
     assoc_candidates, box_to_letterbox, box_to_original, center_to_corners, iou_pairs, letterbox_geometry, links)
-from runframe.functions.runtime import broadcast_if_small, configure, spread
+from runframe.functions.runtime import configure, spread
 from runframe.functions.values import (
     backfill_start, map_values, normalize_resources, normalize_sizes, parse_names, pct, run_diff, runs_of, search,
     two_hop_phases, valid_runs)
 from runframe.functions.vectors import cosine_pairs, normalize_vectors
-from runframe.operators.aggregates import *  # noqa: F403
+from runframe.operators.aggregates import (
+    agent_overhead, cluster_totals, correctness_rollup, ema_profile, finalize_stale, fuse_detections,
+    heat_band, link_classes, link_ema, link_traffic, majority_class, mean_pair_bandwidth, merge_summary,
+    mission_summary, observed_bandwidth, outcome_counts, pivot_matrix, placement_share, profile_matrix,
+    provenance, run_rollup, source_counts, template_summary, traffic_report)
 from runframe.operators.graph import connected_components, critical_path, dag_layers, successors, upward_rank
 from runframe.operators.integrity import block_manifest, classify_puts, content_digest, digest_match, stuck_transfers
-from runframe.operators.joins import *  # noqa: F403
+from runframe.operators.joins import (
+    cluster_view, diff_reports, edge_transfers, flow_contention, owned_by, paired, paired_by_position,
+    pick_flows, predicted_vs_actual, ready_tasks, resolve_bandwidth, resolve_bytes, resolve_runtime,
+    with_embeddings, with_frame_meta)
 from runframe.operators.scan import scan
 from runframe.operators.sorting import by_created, cell_sort_key, natural_rep, sort_runs, top_values
 from runframe.operators.stats import (
@@ -25,7 +32,10 @@ from runframe.operators.windows import (
     minus, node_set, number_runs, recent_history, retention, shard_offsets, size_cap, top_k, trend, warm_window)
 from runframe.plans.stages import Stages
 from runframe.plans.timelines import rebase, run_report
-from runframe.sources.readers import *  # noqa: F403
+from runframe.sources.readers import (
+    cell_columns, clean_runs, consolidate_cells, csv_columns, explode_runs, flatten_agent_metrics,
+    flow_columns, links_from_map, parse_flow_lines, read_agent_metrics, read_blobs, read_flows,
+    read_jsonl_docs, read_links, read_runs, read_two_hop, two_hop_columns)
 from runframe.sources.sinks import append_flows, append_history, size_shards, write_report, write_shards
 from runframe.streaming.operators import (
     append_once, ema_stream, fold_batches, latest_state, on, on_batch, phase_changes, publish, ready_stream,

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 HOT_GROUP_CONF = "spark.runframe.hotGroupRows"
 HOT_GROUP_ROWS = 2_000_000
-BROADCAST_CONF = "spark.runframe.broadcastRows"
-BROADCAST_ROWS = 100_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -93,9 +91,3 @@ def spread(df: DataFrame) -> DataFrame:
     """Share out an input of fewer splits than cores before costly row work; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when a bounded count proves it has at most ``limit`` rows."""
-    bound = limit or int_conf(df.sparkSession, BROADCAST_CONF, BROADCAST_ROWS)
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
