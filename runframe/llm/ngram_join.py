@@ -87,7 +87,6 @@ def _profiles(docs: DataFrame, id: str, text: str, n: int, percent: int, k: int,
             value, owner = distinct_shingles(texts(batch, text), memory, n)
             sizes = np.bincount(owner, minlength=batch.num_rows).astype(np.int64)
             prints = [np.zeros(batch.num_rows, np.uint64) for _ in range(2)]
-            for salt, total in enumerate(prints):
             for salt, total in enumerate(prints):
                 np.add.at(total, owner, mixed(value ^ np.uint64(0x9E3779B97F4A7C15 >> salt)))
             is_late = late[np.minimum(np.searchsorted(late, value), len(late) - 1)] == value if len(late) else np.zeros(len(value), bool)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runframe.llm import decontaminate, multi_index, ngram_join, tokenfile
+from runframe.llm import brown, decontaminate, multi_index, ngram_join, tokenfile, toxicity
 from runframe.llm.common import table
 
 
@@ -16,6 +16,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_class_model(spark: SparkSession, folder: str) -> DataFrame:
+    return brown.score_report(table(spark, folder, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -33,6 +41,8 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_class_model": op1_class_model,
+    "op3_toxicity": op3_toxicity,
     "op6_decontamination": op6_decontamination,
     "op8_token_file": op8_token_file,
     "op9_near_vectors": op9_near_vectors,
