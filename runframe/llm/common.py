@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +64,7 @@ def schema_with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit mixing function, element by element."""
-    x = x.astype(U64, copy=True)
+    x = np.array(x, U64, ndmin=1)
     x ^= x >> U64(30)
     x *= MIX[0]
     x ^= x >> U64(27)
@@ -111,3 +111,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     offsets = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
     return offsets + np.arange(total)
+
+
+def groups(texts: Sequence[str | bytes], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Stretches of a batch of about ``chars`` characters, so that memory doesn't follow the batch."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= chars:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)

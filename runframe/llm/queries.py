@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runframe.llm import brown, decontaminate, multi_index, ngram_join, tokenfile, toxicity
+from runframe.llm import (
+    brown, decontaminate, licenses, line_dedup, multi_index, ngram_join, sampling, suffixes, tokenfile, toxicity)
 from runframe.llm.common import table
 
 
@@ -20,14 +21,30 @@ def op1_class_model(spark: SparkSession, folder: str) -> DataFrame:
     return brown.score_report(table(spark, folder, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, folder, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeat_report(table(spark, folder, "documents"))
+
+
+def op5_sampled_segmentations(spark: SparkSession, folder: str) -> DataFrame:
+    return sampling.segmentation_report(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_report(table(spark, folder, "documents"))
+
+
 def op8_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.token_file_report(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -41,12 +58,9 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_class_model": op1_class_model,
-    "op3_toxicity": op3_toxicity,
-    "op6_decontamination": op6_decontamination,
-    "op8_token_file": op8_token_file,
-    "op9_near_vectors": op9_near_vectors,
-    "op10_ngram_join": op10_ngram_join,
+    f.__name__: f for f in (
+        op1_class_model, op2_line_dedup, op3_toxicity, op4_repeated_bytes, op5_sampled_segmentations, op6_decontamination,
+        op7_license_scan, op8_token_file, op9_near_vectors, op10_ngram_join)
 }
 ORACLES: dict[str, str] = {
     "op6_decontamination": decontaminate.SQL,

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runframe.functions.runtime import work_folder
-from runframe.llm.common import lengths_to_starts, ranges
+from runframe.llm.common import groups, lengths_to_starts, ranges
 
 #: Bytes of each of the four numbers that a control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -101,25 +101,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _groups(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Stretches of a batch of about ``chars`` characters, so that memory doesn't follow the batch."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def frequency_ranks(docs: DataFrame, path: str, text: str = "text", end: int | None = 2) -> DataFrame:
     """(id, n) of every id that occurs. One row per id of the vocabulary and task is shuffled."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = encoder(path), np.zeros(0, np.int64)
         for batch in batches:
             values = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in _groups(values):
+            for a, b in groups(values):
                 new = np.bincount(own.encode(values[a:b], end)[0])
                 size = max(len(new), len(total))
                 total = np.pad(total, (0, size - len(total))) + np.pad(new, (0, size - len(new)))
@@ -156,7 +144,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, id: str = "doc_id", te
         own, ranks, part, before = encoder(path), shared.value, TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, values = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _groups(values):
+            for a, b in groups(values):
                 flat, counts = own.encode(values[a:b], end)
                 control, data = pack(ranks[flat])
                 yield pa.RecordBatch.from_arrays(
