@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runframe.functions.runtime import cut
-from runframe.llm.common import HashedWords, lengths_to_starts, mixed, texts
+from runframe.llm.common import HashedWords, lengths_to_starts, mixed, packed_texts, texts, unpacked
 from runframe.operators.graph import connected_components
 
 
@@ -113,12 +113,11 @@ def _verified(pairs: DataFrame, texts_: DataFrame, n: int, percent: int) -> Data
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, last, known = HashedWords(), None, None
         for batch in batches:
-            b, first, second = batch.column("b").to_pylist(), texts(batch, "ta"), texts(batch, "tb")
             linked = []
-            for i in range(batch.num_rows):
-                if last != b[i]:
-                    last, known = b[i], distinct_shingles([second[i]], memory, n)[0]
-                own = distinct_shingles([first[i]], memory, n)[0]
+            for b, first, second in zip(batch.column("b").to_pylist(), unpacked(batch, "ta"), unpacked(batch, "tb")):
+                if last != b:
+                    last, known = b, distinct_shingles([second], memory, n)[0]
+                own = distinct_shingles([first], memory, n)[0]
                 common = len(np.intersect1d(own, known, assume_unique=True))
                 linked.append(100 * common >= percent * (len(own) + len(known) - common))
             mask = pa.array(linked, pa.bool_())
@@ -128,7 +127,7 @@ def _verified(pairs: DataFrame, texts_: DataFrame, n: int, percent: int) -> Data
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text",
-                       k: int = 3, common: int = 100_000, pivots: int = 2) -> DataFrame:
+                       k: int = 3, common: int = 100_000, pivots: int = 1) -> DataFrame:
     """(id, n_shingles, component_id) of every row: components of documents with 100 * overlap >= percent * union.
 
     Documents with equal sets are compared once. Groups are opened in two steps. ``pivots`` times every document of a
@@ -142,22 +141,24 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id: str =
     full = rows.where("n > 0 AND id IS NOT NULL")
     # equal sets have equal sizes and first tokens
     sets = cut(full.groupBy("f", "h").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-               .withColumn("g", F.col("tokens")[0]))  # a document's group: its first token
+               .withColumn("g", F.hash(F.col("tokens")[0])))  # a document's group: by its first token
     member = full.select("id", "f", "h").join(sets.select(F.col("id").alias("rep"), "f", "h"), ["f", "h"]).where("id <> rep")
-    tokens = sets.select("id", "n", "g", F.explode("tokens").alias("t"))
-    matrix = tokens.select("t", F.col("g").alias("to")).repartition("t").distinct()
     least = F.least(F.lit(k).cast("long"), F.ceil(F.col("n") * percent / 100))
+    tokens = sets.select("id", "g", least.cast("byte").alias("need"), F.explode("tokens").alias("t"))
+    matrix = tokens.select("t", F.col("g").alias("to")).repartition("t").distinct()
     fits = lambda a, b: (F.col(a) * percent <= F.col(b) * 100) & (F.col(b) * percent <= F.col(a) * 100)
     opened = (tokens.join(matrix, "t").where("g <> to").groupBy("id", "to").agg(
-        F.count(F.lit(1)).alias("bound"), F.first("n").alias("n")).where(F.col("bound") >= least))
+        F.count(F.lit(1)).alias("bound"), F.first("need").alias("need")).where("bound >= need"))
     names = sets.select("id", "n", "g")
+    opened = opened.join(names.drop("g"), "id")
     sizes = names.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("members"))
     opened = opened.join(sizes.withColumnRenamed("g", "to"), "to").where(
         (F.col("low") * percent <= F.col("n") * 100) & (F.col("high") * 100 >= F.col("n") * percent))
     home = names.join(sizes.where("members > 1").select("g"), "g", "left_semi")
     meets = cut(opened.select("id", F.col("to").alias("g")).unionByName(home.select("id", "g")))  # documents against groups
     some = meets.select("id").unionByName(names.join(meets.select("g").distinct(), "g", "left_semi").select("id")).distinct()
-    held = cut(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t")).join(some, "id", "left_semi"))
+    held = cut(packed_texts(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t")), "id", "t")
+               .join(some, "id", "left_semi"))
     nodes = some
     names = cut(names.join(some, "id", "left_semi"))
     links, parts = None, nodes.withColumn("component", F.col("id"))
@@ -174,14 +175,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id: str =
     coloured = names.join(parts, "id")
     mixed_ = coloured.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     left = cut(meets.join(parts, "id").join(mixed_, "g").where("low <> component OR high <> component").select("id", "g"))
-    own = tokens.join(some, "id", "left_semi").join(parts, "id")
+    own = tokens.join(names.drop("g"), "id").join(parts, "id")
     asked = left.join(own.drop("g"), "id")
     stored = own.join(left.select("g").distinct(), "g", "left_semi").select(
         F.col("id").alias("m"), F.col("n").alias("mn"), "g", "t", F.col("component").alias("mc"))
     # tokens that a document shares with each member of another component
     counted = asked.join(stored, ["g", "t"]).where("component <> mc").where(fits("n", "mn"))
-    pairs = (counted.groupBy("id", "m").agg(F.count(F.lit(1)).alias("bound"), F.first("n").alias("n"))
-             .where(F.col("bound") >= least).select(F.greatest("id", "m").alias("a"), F.least("id", "m").alias("b")).distinct())
+    pairs = (counted.groupBy("id", "m").agg(F.count(F.lit(1)).alias("bound"), F.first("need").alias("need"))
+             .where("bound >= need").select(F.greatest("id", "m").alias("a"), F.least("id", "m").alias("b")).distinct())
     found = cut(_verified(pairs, held, n, percent))
     links = found if links is None else links.unionByName(found)
     edges = links.unionByName(member.select(F.col("id").alias("a"), F.col("rep").alias("b")))
