@@ -126,13 +126,24 @@ def _verified(pairs: DataFrame, texts_: DataFrame, n: int, percent: int) -> Data
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame, id: str, text: str, at_most: int = 500_000) -> DataFrame:
+    """Packed texts of some documents. Up to ``at_most`` ids are broadcast; more of them meet the texts in a shuffle."""
+    packed = packed_texts(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t")), "id", "t")
+    return cut(packed.join(F.broadcast(ids) if ids.count() <= at_most else ids, "id", "left_semi"))
+
+
+def _fits(a: str, b: str, percent: int):
+    return (F.col(a) * percent <= F.col(b) * 100) & (F.col(b) * percent <= F.col(a) * 100)
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text",
-                       k: int = 3, common: int = 100_000, pivots: int = 1) -> DataFrame:
+                       k: int = 10, common: int = 100_000, starts: int = 2) -> DataFrame:
     """(id, n_shingles, component_id) of every row: components of documents with 100 * overlap >= percent * union.
 
-    Documents with equal sets are compared once. Groups are opened in two steps. ``pivots`` times every document of a
-    group that isn't connected yet meets the group's smallest such document. Then only documents and members that no
-    links connect so far meet one by one; pairs inside a component can't change it, so no link is lost.
+    Documents with equal sets are compared once. Groups: documents with one of the ``starts`` first tokens in common
+    meet the smallest one among them, and what links so far is a group. The matrix then holds the tokens of each
+    group, and a document opens another group only if enough of its tokens are in the union; it meets the members that
+    share as many. Pairs inside a group can't change a component, so no link is lost.
     Null and empty texts have size 0 and stand alone; a null id has a null component. Rows that share an id
     are one node of the graph, each row with its own size.
     """
@@ -140,57 +151,38 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id: str =
     rows = cut(_profiles(docs, id, text, n, percent, k, late))
     full = rows.where("n > 0 AND id IS NOT NULL")
     # equal sets have equal sizes and first tokens
-    sets = cut(full.groupBy("f", "h").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-               .withColumn("g", F.hash(F.col("tokens")[0])))  # a document's group: by its first token
+    sets = cut(full.groupBy("f", "h").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
     member = full.select("id", "f", "h").join(sets.select(F.col("id").alias("rep"), "f", "h"), ["f", "h"]).where("id <> rep")
-    least = F.least(F.lit(k).cast("long"), F.ceil(F.col("n") * percent / 100))
-    tokens = sets.select("id", "g", least.cast("byte").alias("need"), F.explode("tokens").alias("t"))
+    names = sets.select("id", "n")
+    home = sets.select("id", "n", F.explode(F.slice("tokens", 1, starts)).alias("t"))
+    pivot = home.groupBy("t").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    pairs = cut(home.join(pivot, "t").selectExpr("id AS a", "n", "p.id AS b", "p.n AS mn").where("a <> b")
+                .where(_fits("n", "mn", percent)).select("a", "b").distinct())
+    links = cut(_verified(pairs, _texts_of(docs, _ends(pairs), id, text), n, percent))
+    groups = cut(connected_components(names.select("id"), links).withColumnRenamed("component", "g"))
+
+    need = F.least(F.lit(k).cast("long"), F.ceil(F.col("n") * percent / 100)).cast("byte").alias("need")
+    tokens = sets.join(groups, "id").select("id", "g", need, F.explode("tokens").alias("t"))
     matrix = tokens.select("t", F.col("g").alias("to")).repartition("t").distinct()
-    fits = lambda a, b: (F.col(a) * percent <= F.col(b) * 100) & (F.col(b) * percent <= F.col(a) * 100)
-    opened = (tokens.join(matrix, "t").where("g <> to").groupBy("id", "to").agg(
-        F.count(F.lit(1)).alias("bound"), F.first("need").alias("need")).where("bound >= need"))
-    names = sets.select("id", "n", "g")
-    opened = opened.join(names.drop("g"), "id")
-    sizes = names.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("members"))
-    opened = opened.join(sizes.withColumnRenamed("g", "to"), "to").where(
-        (F.col("low") * percent <= F.col("n") * 100) & (F.col("high") * 100 >= F.col("n") * percent))
-    home = names.join(sizes.where("members > 1").select("g"), "g", "left_semi")
-    meets = cut(opened.select("id", F.col("to").alias("g")).unionByName(home.select("id", "g")))  # documents against groups
-    some = meets.select("id").unionByName(names.join(meets.select("g").distinct(), "g", "left_semi").select("id")).distinct()
-    held = cut(packed_texts(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t")), "id", "t")
-               .join(some, "id", "left_semi"))
-    nodes = some
-    names = cut(names.join(some, "id", "left_semi"))
-    links, parts = None, nodes.withColumn("component", F.col("id"))
-    for _ in range(pivots):
-        coloured = names.join(parts, "id")
-        pivot = coloured.groupBy("g").agg(F.min(F.struct("component", "id", "n")).alias("p"))
-        pairs = (meets.join(coloured.drop("g"), "id").join(pivot, "g").selectExpr("id", "n", "component", "p.component AS mc",
-                                                                                  "p.id AS m", "p.n AS mn")
-                 .where("component <> mc").where(fits("n", "mn"))
-                 .select(F.greatest("id", "m").alias("a"), F.least("id", "m").alias("b")).distinct())
-        found = cut(_verified(pairs, held, n, percent))
-        links = found if links is None else links.unionByName(found)
-        parts = cut(connected_components(nodes, links))
-    coloured = names.join(parts, "id")
-    mixed_ = coloured.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    left = cut(meets.join(parts, "id").join(mixed_, "g").where("low <> component OR high <> component").select("id", "g"))
-    own = tokens.join(names.drop("g"), "id").join(parts, "id")
-    asked = left.join(own.drop("g"), "id")
-    stored = own.join(left.select("g").distinct(), "g", "left_semi").select(
-        F.col("id").alias("m"), F.col("n").alias("mn"), "g", "t", F.col("component").alias("mc"))
-    # tokens that a document shares with each member of another component
-    counted = asked.join(stored, ["g", "t"]).where("component <> mc").where(fits("n", "mn"))
-    pairs = (counted.groupBy("id", "m").agg(F.count(F.lit(1)).alias("bound"), F.first("need").alias("need"))
-             .where("bound >= need").select(F.greatest("id", "m").alias("a"), F.least("id", "m").alias("b")).distinct())
-    found = cut(_verified(pairs, held, n, percent))
-    links = found if links is None else links.unionByName(found)
-    edges = links.unionByName(member.select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    opened = cut(tokens.join(matrix, "t").where("g <> to").groupBy("id", "to").agg(
+        F.count(F.lit(1)).alias("bound"), F.first("need").alias("need")).where("bound >= need").select("id", F.col("to").alias("g")))
+    asked = opened.join(sets, "id").select("id", "n", need, "g", F.explode("tokens").alias("t"))
+    stored = groups.join(opened.select("g").distinct(), "g", "left_semi").join(sets, "id").select(
+        F.col("id").alias("m"), F.col("n").alias("mn"), "g", F.explode("tokens").alias("t"))
+    pairs = cut(asked.join(stored, ["g", "t"]).where(_fits("n", "mn", percent)).groupBy("id", "m").agg(
+        F.count(F.lit(1)).alias("bound"), F.first("need").alias("need")).where("bound >= need")
+        .select(F.greatest("id", "m").alias("a"), F.least("id", "m").alias("b")).distinct())
+    found = _verified(pairs, _texts_of(docs, _ends(pairs), id, text), n, percent)
+    edges = links.unionByName(found).unionByName(member.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     parts = connected_components(rows.where("id IS NOT NULL").select("id"), edges)
     return rows.join(parts, "id", "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"),
                                                  F.col("component").alias("component_id"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
 def deduplicate(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
     """Keeps the document with the smallest id of each group; of rows that share an id every one stays or goes alike.
 
