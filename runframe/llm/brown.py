@@ -2,7 +2,7 @@
 
 log10 p(text) = sum of log10 p(class | class before) + log10 p(word | class) over the tokens.
 
-A word is frequent if it makes up at least 1/``share`` of the training tokens, so there are at most ``share`` of them,
+A word is frequent if it occurs twice and makes up at least 1/``share`` of the training tokens, so there are at most ``share`` of them,
 whatever the corpus; these get classes by exchange. All other words, unknown ones too, form one open class whose
 emissions come from their counts over the whole corpus. The end of a text is a token with a class of its own.
 """
@@ -238,13 +238,14 @@ def train(docs: DataFrame, text: str = "text", share: int = 200_000, classes: in
     words = cut(word_counts(docs, text))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, types = total["n"], total["v"]
-    frequent = words.where((F.col("n") * share >= tokens) & (F.col("word") != F.lit(END_WORD)))  # no more than share rows
+    is_frequent = (F.col("n") * share >= tokens) & (F.col("n") > 1)
+    frequent = words.where(is_frequent & (F.col("word") != F.lit(END_WORD)))  # no more than share rows
     found = frequent.orderBy(F.desc("n"), "word").collect()
     ends = words.where(F.col("word") == F.lit(END_WORD)).select("n").first()
     numbers = Numbers({bytes(r["word"]): i + 2 for i, r in enumerate(found)})
     counts = np.array([ends["n"] if ends else 0, 0, *(r["n"] for r in found)], np.float64)
     counts[OPEN] = tokens - counts.sum()
-    rest = words.where((F.col("n") * share < tokens) & (F.col("word") != F.lit(END_WORD)))
+    rest = words.where(~is_frequent & (F.col("word") != F.lit(END_WORD)))
     bigrams = cut(_bigrams(docs, text, numbers))
     of = exchange(bigrams, counts, classes, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(of)

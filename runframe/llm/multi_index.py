@@ -1,7 +1,8 @@
 """Near-duplicate vectors through an inverted multi-index.
 
 Two codebooks, one for each half of the unit vectors, form a grid of cells. A query visits cells in the order of the
-least distance it can have to a vector there, and stops where that distance excludes a link; so the target recall is 1.
+least distance it can have to a vector there, until the target recall is reached (measured on a sample) or that distance
+excludes a link.
 Everything found is verified by its cosine in double precision.
 """
 
@@ -78,6 +79,22 @@ class Grid:
             yield order_a[q, i[rank]] * columns + order_b[q, j[rank]]
 
 
+def needed_reach(grid: Grid, x: np.ndarray, threshold: float, recall: float) -> float:
+    """The reach by which ``recall`` of the links among some vectors are found from either end; at most the distance
+    that excludes links."""
+    most = 2 - 2 * threshold + 1e-9
+    cell, least = grid.place(x)
+    first, second = cell // len(grid.books[1]), cell % len(grid.books[1])
+    sums = [np.zeros(0)]
+    for i in range(0, len(x), 500):
+        a, b = np.nonzero(x[i:i + 500] @ x.T >= threshold)
+        other = a + i != b
+        a, b = a[other] + i, b[other]
+        sums.append(least[0][a, first[b]] + least[1][a, second[b]])
+    every = np.concatenate(sums)
+    return min(most, float(np.quantile(every, recall, method="higher")) + 1e-9) if len(every) >= 20 else most
+
+
 def _local_links(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, weights: np.ndarray,
                  threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weighted links of each query, and (member, smallest member) of the parts that the links of this block form."""
@@ -130,10 +147,12 @@ def _matched(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
 
 
 def near_vectors(df: DataFrame, threshold: float = 0.98, id: str = "vec_id", vector: str = "embedding",
-                 label: str = "label", codes: int = 16, sample: int = 20_000, block: int = 2_000) -> DataFrame:
+                 label: str = "label", codes: int = 16, sample: int = 8_000, block: int = 2_000,
+                 recall: float = 1.0) -> DataFrame:
     """(id, n_links, component_id, kept) of every row; rows link when labels are equal and the cosine reaches ``threshold``.
 
-    Codebooks are fitted on at most ``sample`` vectors taken in the order of a hash; every vector is indexed.
+    Codebooks are fitted on at most ``sample`` vectors taken in the order of a hash; every vector is indexed. A query's
+    visits end where ``recall`` of the links inside that sample are found, so inputs within the sample have all their links.
     Equal vectors are compared once and counted as often as they occur. A cell with many rows or queries is cut into
     squares of about ``block`` by ``block``, whatever its size; a square passes on one row per linked vector.
     Vectors that are null, zero or hold null or non-finite components, and rows with a null label or id, link
@@ -153,15 +172,15 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id: str = "vec_id", vec
     grids = {}
     for n in dims:
         drawn = distinct.where(F.size("v") == n).orderBy(F.xxhash64("f", "h"), "id").select("v").limit(sample).collect()
-        grids[n] = Grid.fit(unit(np.array([r[0] for r in drawn])), codes)
+        x = unit(np.array([r[0] for r in drawn]))
+        grid = Grid.fit(x, codes)
+        grids[n] = grid, needed_reach(grid, x, threshold, recall)
     shared = df.sparkSession.sparkContext.broadcast(grids)
-    reach = 2 - 2 * threshold + 1e-9
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _by_length(batch):
                 ids, g, m, x = row
-                grid = shared.value.get(x.shape[1])
+                grid, reach = shared.value.get(x.shape[1], (None, 0))
                 raw = [r.tobytes() for r in x]
                 if grid is None:  # a rare length: one cell
                     cell, visits = np.zeros(len(x), np.int64), [np.zeros(1, np.int64)] * len(x)
