@@ -23,9 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runframe.functions.runtime import cut
-from runframe.llm.common import free_name, groups, lengths_to_starts, mixed, row_key, texts
+from runframe.llm.common import (
+    free_name, groups, lengths_to_starts, mixed, packed_texts, row_key, schema_with, texts, unpacked, with_column)
 
 GRAM = 64
 POSITION_BITS = 24  # a batch is worked on in stretches of less than 2 ** 24 bytes
@@ -221,7 +223,7 @@ def _run_rows(joined: DataFrame, key: str, text: str, lists: str, length: int, b
                                                pa.array([_front_coded(r) for r in rows.values()], pa.binary())], ["bucket", "run"])
 
         for batch in batches:
-            for k, raw, at in zip(batch.column(key).to_pylist(), texts(batch, text), batch.column(lists).to_pylist()):
+            for k, raw, at in zip(batch.column(key).to_pylist(), unpacked(batch, text), batch.column(lists).to_pylist()):
                 for x in at or ():
                     suffix, first, more = _suffix(raw, x, length)
                     held.append((zlib.crc32(suffix[:GRAM]) % buckets, suffix, (k, first, more)))
@@ -314,7 +316,7 @@ def _hot_rows(joined: DataFrame, key: str, text: str, lists: str, length: int, f
                                               ["w1", "w2", "weight", "key", "first", "last"])
 
         for batch in batches:
-            for k, raw, at in zip(batch.column(key).to_pylist(), texts(batch, text), batch.column(lists).to_pylist()):
+            for k, raw, at in zip(batch.column(key).to_pylist(), unpacked(batch, text), batch.column(lists).to_pylist()):
                 for x in at or ():
                     suffix, first, more = _suffix(raw, x, length)
                     held.setdefault(suffix, []).append((k, first, more))
@@ -338,7 +340,8 @@ def repeated_windows(docs: DataFrame, key: str, text: str = "text", length: int
     lists = cut(found.join(often, "h").groupBy(F.col("key").alias("_k")).agg(
         pick(F.col("n") <= hot).alias("_runs"), pick(F.col("n") > hot).alias("_hot")))
     total = lists.agg(F.sum(F.size("_runs"))).first()[0] or 0
-    joined = docs.join(lists, F.col(key) == F.col("_k"))
+    # both ways below read the texts that hold a repeated gram, fetched once
+    joined = cut(packed_texts(docs, key, text).join(lists, F.col(key) == F.col("_k")))
     normal = _merged(_run_rows(joined, key, text, "_runs", length, max(1, int(total) // 50_000)))
     windows = cut(_hot_rows(joined.where(F.size("_hot") > 0), key, text, "_hot", length))
     again = windows.where("w1 IS NOT NULL").groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1")
@@ -358,14 +361,16 @@ def remove_repeats(docs: DataFrame, length: int = 200, id: str = "doc_id", text:
     keyed = base.withColumn(key, row_key(id, text))
     starts = repeated_windows(keyed.select(key, text), key, text, length)
     spans = starts.groupBy(F.col("key").alias("_k")).agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
-    joined = keyed.join(spans, F.col(key) == F.col("_k"), "left").drop(key, "_k")
+    packed = free_name(keyed, "_packed")
+    joined = _packed(keyed, text, packed).join(spans, F.col(key) == F.col("_k"), "left")
     kind = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>"
     arrow = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for raw, found in zip(texts(batch, text), batch.column("_spans").to_pylist()):
+            raws = list(unpacked(batch, packed))
+            for raw, found in zip(raws, batch.column("_spans").to_pylist()):
                 gone = np.zeros(len(raw) + 1, np.int64)
                 for x in found or ():
                     gone[x["first"]] += 1
@@ -374,11 +379,31 @@ def remove_repeats(docs: DataFrame, length: int = 200, id: str = "doc_id", text:
                 spans_ = int(np.sum(np.diff(np.concatenate([[0], mark.astype(np.int8)])) == 1))
                 kept = np.frombuffer(raw, np.uint8)[~mark].tobytes()
                 rows.append({"n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": spans_, "kept": kept})
-            names = [c for c in batch.schema.names if c != "_spans"]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(rows, arrow)], [*names, out])
+            there = batch.column("_there").to_pylist()
+            back = pa.array([r.decode() if x else None for r, x in zip(raws, there)], pa.string())
+            yield pa.RecordBatch.from_arrays([back if c == text else batch.column(c) for c in names] + [pa.array(rows, arrow)],
+                                             [*names, out])
 
     schema = base.limit(0).withColumn(out, F.lit(None).cast(kind)).schema
-    return joined.select(*base.columns, "_spans").mapInArrow(remove, schema)
+    names = base.columns
+    others = [F.lit(None).cast("string").alias(c) if c == text else F.col(c) for c in names]
+    return joined.select(*others, packed, "_there", "_spans").mapInArrow(remove, schema)
+
+
+def _packed(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with the text column compressed as ``out``, and ``_there``: whether the text is not null."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        own = zstandard.ZstdCompressor(level=3, write_checksum=False)
+        for batch in batches:
+            column = pa.array([own.compress(t) for t in texts(batch, text)], pa.binary())
+            nulls = pa.array([None] * batch.num_rows, pa.string())
+            yield with_column(pa.RecordBatch.from_arrays([nulls if c == text else batch.column(c) for c in batch.schema.names],
+                                                         batch.schema.names), out, column)
+
+    return df.withColumn("_there", F.col(text).isNotNull()).mapInArrow(pack, schema_with(
+        df.withColumn("_there", F.col(text).isNotNull()), out, T.BinaryType()))
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
