@@ -244,18 +244,33 @@ def _windows(suffix: bytes, more: int) -> list[bytes]:
 
 
 def _repeated(group: list[tuple[bytes, list]], out: list) -> None:
-    """Adds (key, first start, last start) of repeated windows among the suffixes of one gram."""
-    times: dict[bytes, int] = {}
-    if len(group) > 1:
-        for suffix, owners in group:
-            for w in set(_windows(suffix, owners[0][2])):
-                times[w] = times.get(w, 0) + 1
-    for suffix, owners in group:
+    """Adds (key, first start, last start) of repeated windows among the suffixes of one gram.
+
+    Equal windows lie at equal places before their anchors, so they are compared place by place: memory follows
+    the number of suffixes, not of windows.
+    """
+    places: dict[int, list[int]] = {}
+    for at, (suffix, owners) in enumerate(group):
         if len(owners) > 1:
             out += [(k, first, first + more) for k, first, more in owners]
-        elif len(group) > 1:
-            (k, first, more), = owners
-            out += [(k, first + i, first + i) for i, w in enumerate(_windows(suffix, more)) if times[w] > 1]
+        if len(group) > 1:
+            for before in range(suffix[-1] - owners[0][2], suffix[-1] + 1):
+                places.setdefault(before, []).append(at)
+    for before, members in places.items():
+        times: dict[bytes, list[int]] = {}
+        for at in members:
+            suffix, owners = group[at]
+            end = len(suffix) - 1
+            size = end - owners[0][2]
+            window = suffix[end - before:end] + suffix[:size - before] if before else suffix[:size]
+            times.setdefault(window, []).append(at)
+        for same in times.values():
+            if len(same) > 1:
+                for at in same:
+                    suffix, owners = group[at]
+                    if len(owners) == 1:
+                        k, first, _ = owners[0]
+                        out.append((k, first + suffix[-1] - before, first + suffix[-1] - before))
 
 
 def _merged(runs: DataFrame) -> DataFrame:
@@ -329,7 +344,7 @@ def _hot_rows(joined: DataFrame, key: str, text: str, lists: str, length: int, f
         emit, "w1 long, w2 long, weight int, key long, first long, last long")
 
 
-def repeated_windows(docs: DataFrame, key: str, text: str = "text", length: int = 200, hot: int = 2_000) -> DataFrame:
+def repeated_windows(docs: DataFrame, key: str, text: str = "text", length: int = 200, hot: int = 20_000) -> DataFrame:
     """(key, first, last): stretches of starts of ``length``-byte windows that occur again in any document.
 
     ``docs``: a key column (long) and texts, nulls counting as empty. Rows may share a key if they share the text.
