@@ -88,7 +88,7 @@ def _nms_rounds(dets: DataFrame, keys: list[str], iou_max: float, score: str, id
     one best box, so each round is one aggregate and one join of cell rows, without box pairs.
     """
     flat = dets.select(*keys, F.col(id).alias("_id"), F.col(score).alias("_score"), *BOX)
-    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    solid = F.coalesce((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False))  # null corners cover nothing
     empty = flat.where(~solid).select(*keys, "_id")
     best_copy = F.min_by(F.struct("_id", "_score"), F.struct(-F.col("_score"), F.col("_id")))
     boxes = flat.where(solid)

@@ -109,3 +109,9 @@ def test_shards(hot, tmp_path):
     assert set(totals) == {0, 1, 2, 3} and max(totals.values()) - min(totals.values()) <= 14
     rf.write_shards(cut, str(tmp_path / "shards"))
     assert hot.read.parquet(str(tmp_path / "shards")).where("shard = 2").count() == cut.where("shard = 2").count()
+
+
+def test_size_shards_of_huge_sizes(spark):
+    df = spark.createDataFrame([(i, 10 ** 14) for i in range(6)], "id long, size long")
+    cut = rf.size_shards(df, 300_000, "size", "id")
+    assert [r["shard"] for r in cut.orderBy("id").collect()] == [0, 50_000, 100_000, 150_000, 200_000, 250_000]

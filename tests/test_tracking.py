@@ -189,3 +189,10 @@ def test_decode_and_summaries(spark):
                                "cx double, cy double, w double, h double, scores array<double>")
     got = rf.decode_anchors(df).collect()
     assert [(r["class"], r.x1, r.y2) for r in got] == [("car", 8.0, 23.0)]
+
+
+def test_nms_keeps_boxes_without_corners_at_any_size(spark):
+    rows = [(1, 0.0, 0.0, 2.0, 2.0, 0.9), (2, None, 0.0, 2.0, 2.0, 0.8), (3, 0.0, 0.0, 2.0, 2.0, 0.7), (4, 9.0, 9.0, 8.0, 8.0, 0.6)]
+    df = spark.createDataFrame([(0, *r) for r in rows], "frame int, det_id long, x1 double, y1 double, x2 double, y2 double, score double")
+    kept = [sorted(r["det_id"] for r in rf.nms(df, "frame", frame_rows=n).collect()) for n in (20_000, 0)]
+    assert kept[0] == kept[1] == [1, 2, 4]
