@@ -273,9 +273,9 @@ def deltas(v):
       count(*) OVER (PARTITION BY cell) AS n FROM a JOIN b USING (cell, rep)),
     seeds AS (SELECT cell, r, ('0x' || substr(md5('42|' || cell || '|' || r), 1, 8))::BIGINT % 2147483647 AS s1,
       ('0x' || substr(md5('42|' || cell || '|' || r), 9, 8))::BIGINT % 2147483647 AS s2 FROM (SELECT DISTINCT cell FROM d), range(0, 10000) t(r)),
-    x1 AS (SELECT cell, r, n, s1, s2, (s1 + j * 69621) % 2147483647 AS x FROM d JOIN seeds USING (cell)),
+    x1 AS (SELECT cell, r, n, s1, s2 + j // 2147483647 AS s2, (s1 + j * 69621) % 2147483647 AS x FROM d JOIN seeds USING (cell)),
     x2 AS (SELECT cell, r, n, s1, (x * x + s2) % 2147483647 AS x FROM x1),
-    draws AS (SELECT cell, r, CAST((x * x + s1) % 2147483647 % n AS BIGINT) AS j FROM x2),
+    draws AS (SELECT cell, r, CAST((x * 2147483647 + (x * x + s1) % 2147483647) % n AS BIGINT) AS j FROM x2),
     m AS (SELECT cell, r, avg(delta) AS mean FROM draws JOIN d USING (cell, j) GROUP BY cell, r),
     k AS (SELECT cell, mean, row_number() OVER (PARTITION BY cell ORDER BY mean, r) - 1 AS k FROM m),
     ci AS (SELECT cell, max(mean) FILTER (k = 250) AS lo, max(mean) FILTER (k = 9750) AS hi FROM k GROUP BY cell),

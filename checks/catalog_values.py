@@ -4,9 +4,8 @@ from pyspark.sql import functions as F
 
 import runframe as rf
 from checks.registry import query, rounded
-from runframe.functions.runtime import work_folder
+from runframe.functions.runtime import cut, work_folder
 from runframe import schemas
-from runframe.sources import readers
 
 SIZE_TEXT = """CASE l_linenumber WHEN 1 THEN concat(cast(l_quantity AS int), 'MB')
     WHEN 2 THEN concat(cast(cast(l_quantity AS int) AS string), '.5GiB') WHEN 3 THEN '' WHEN 4 THEN concat(' ', cast(l_quantity AS int), 'kb ')
@@ -25,9 +24,14 @@ SIZE_TEXT_SQL = """CASE l_linenumber WHEN 1 THEN CAST(l_quantity AS INT) || 'MB'
     FROM v_raw_runs
     WHERE coalesce(try_cast(makespan_s AS DOUBLE), try_cast(makespan AS DOUBLE), try_cast(wall_s AS DOUBLE)) IS NOT NULL""")
 def read_runs(v):
-    raw = v.raw_runs
-    return (readers.clean_runs(raw).withColumn("run_id", F.substring_index("run_name", "-", -1).cast("long"))
-            .where("makespan_s IS NOT NULL").drop("iteration"))
+    """Written as files of two headers (other order, a column more) and read back together."""
+    folder = work_folder(v.spark)
+    even, odd = v.raw_runs.where("run_id % 2 = 0"), v.raw_runs.where("run_id % 2 = 1")
+    even.select("rep", "system", "run_name", "phase", "makespan_s", "makespan", "wall_s").write.csv(f"{folder}/a", header=True)
+    odd.select("wall_s", "makespan", "cell", "makespan_s", "run_name", "rep", "phase", "iteration",
+               "system").write.csv(f"{folder}/b", header=True)
+    runs = rf.read_runs(v.spark, [f"{folder}/a", f"{folder}/b"])
+    return runs.withColumn("run_id", F.substring_index("run_name", "-", -1).cast("long")).drop("iteration")
 
 
 @query("two_hop_records", """
@@ -71,14 +75,25 @@ def two_hop_phases(v):
 
 @query("consolidate_cells", """
     SELECT l_shipmode_cell AS cell, try_cast(nullif(regexp_extract(l_shipmode_cell, '^n(\\d+)-d(\\d+)', 1), '') AS INTEGER) AS n_cameras,
-      try_cast(nullif(regexp_extract(l_shipmode_cell, '^n(\\d+)-d(\\d+)', 2), '') AS INTEGER) AS duration_s, count(*) AS rows
-    FROM (SELECT CASE WHEN o_custkey % 5 = 0 THEN 'odd-' || o_custkey % 3 ELSE 'n' || o_custkey % 4 || '-d' || (o_custkey % 3) * 30 || '-jpg' END
+      try_cast(nullif(regexp_extract(l_shipmode_cell, '^n(\\d+)-d(\\d+)', 2), '') AS INTEGER) AS duration_s, count(*) AS rows,
+      CAST(sum(o_orderkey) AS BIGINT) AS keys, count(*) FILTER (o_orderpriority = '2-HIGH') AS high
+    FROM (SELECT o_orderkey, o_orderpriority, CASE WHEN o_custkey % 5 = 0 THEN 'odd-' || o_custkey % 3 ELSE 'n' || o_custkey % 4 || '-d' || (o_custkey % 3) * 30 || '-jpg' END
       AS l_shipmode_cell FROM orders) GROUP BY ALL""")
 def consolidate_cells(v):
+    """One summary per cell, written with headers in two orders and read back by the reader."""
+    folder = work_folder(v.spark)
     cells = v.table("orders").selectExpr(
-        "if(o_custkey % 5 = 0, concat('odd-', o_custkey % 3), concat('n', o_custkey % 4, '-d', (o_custkey % 3) * 30, '-jpg')) AS cell")
-    return (readers.cell_columns(cells).groupBy("cell", "n_cameras", "duration_s")
-            .agg(F.count(F.lit(1)).alias("rows")))
+        "if(o_custkey % 5 = 0, concat('odd-', o_custkey % 3), concat('n', o_custkey % 4, '-d', (o_custkey % 3) * 30, '-jpg')) AS cell",
+        "cast(o_orderkey AS string) AS rep", "o_orderpriority AS system")
+    held = cut(cells)  # written once per cell
+    cell_names = [f"odd-{i}" for i in range(3)] + [f"n{c}-d{d}-jpg" for c in range(4) for d in (0, 30, 60)]
+    for place, name in enumerate(cell_names):
+        columns = ["rep", "system"] if place % 2 else ["system", "rep"]
+        held.where(F.col("cell") == name).select(*columns).write.csv(f"{folder}/{name}/summary.csv", header=True)
+    read = rf.consolidate_cells(v.spark, folder)
+    return (read.groupBy("cell", "n_cameras", "duration_s")
+            .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("rep").cast("long")).alias("keys"),
+                 F.count_if(F.col("system") == "2-HIGH").alias("high")))
 
 
 @query("flow_log", """
@@ -91,15 +106,30 @@ def flow_log(v):
         F.col("end").alias("endUnix"), "ok"))
     broken = F.split("flow_id", "-")[1] == "7"
     lines = rf.spread(v.flows).select(F.when(broken, F.concat(F.lit('{"fromTask": '), "flow_id")).otherwise(record).alias("value"))
-    out = rf.parse_flow_lines(lines).select("from_task", "src", "dst", "bytes", "start", "end", "ok")
+    folder = work_folder(v.spark)
+    lines.write.text(folder)
+    out = rf.read_flows(v.spark, folder).select("from_task", "src", "dst", "bytes", "start", "end", "ok")
     return rounded(out, "start", "end", digits=3)
 
 
+@query("flow_lines", """
+    SELECT flow_id AS from_task, src, dst, bytes, ok FROM v_flows WHERE split_part(flow_id, '-', 2) <> '7'""")
+def flow_lines(v):
+    """The same log held in a column, with blank and broken lines."""
+    record = F.to_json(F.struct(
+        F.col("flow_id").alias("fromTask"), F.lit("c").alias("toTask"), F.col("src").alias("srcNode"),
+        F.col("dst").alias("dstNode"), F.col("bytes").alias("dataSize"), F.col("start").alias("startUnix"),
+        F.col("end").alias("endUnix"), "ok"))
+    broken = F.split("flow_id", "-")[1] == "7"
+    lines = v.flows.select(F.when(broken & F.col("ok"), " ").when(broken, "{").otherwise(record).alias("value"))
+    return rf.parse_flow_lines(lines).select("from_task", "src", "dst", "bytes", "ok")
+
+
 @query("doc_lines", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS digest, length(text) AS chars FROM documents")
 def doc_lines(v):
-    lines = v.table("documents").select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "text")).alias("l"))
-    parsed = lines.select(F.from_json("l", schemas.DOC).alias("d")).select("d.*")
-    return parsed.select("doc_id", F.md5("text").alias("digest"), F.char_length("text").cast("long").alias("chars"))
+    folder = work_folder(v.spark)
+    v.table("documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text").write.json(folder)
+    return rf.read_jsonl_docs(v.spark, folder).select("doc_id", F.md5("text").alias("digest"), F.char_length("text").cast("long").alias("chars"))
 
 
 @query("explode_runs", """
@@ -147,9 +177,13 @@ def read_blobs(v):
 
 
 @query("flatten_agent_metrics", """
-    SELECT event_id AS ts_s, 'n' || (user_id % 8) AS node, CAST(0 AS BIGINT) AS put_conflict, event_id AS bytes_in,
-      CASE WHEN event_id % 2 = 0 THEN user_id ELSE 0 END AS push_inflight, CAST(floor(value) AS BIGINT) AS mem_alloc_b
-    FROM events""")
+    WITH e AS (SELECT *, CAST(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS pushed, CAST(0 AS BIGINT) AS z, CAST(1 AS BIGINT) AS o FROM events)
+    SELECT event_id AS ts_s, 'n' || (user_id % 8) AS node, 'p' AS agent_pod, z AS cpu_m, z AS mem_mb, CAST(event_id AS BIGINT) AS bytes_in,
+      pushed * 5 AS bytes_out, o AS put_total, o AS put_ok, z AS put_idempotent, z AS put_conflict, z AS put_checksum_mismatch,
+      pushed AS push_attempts, pushed AS push_success, z AS push_failed, CAST(pushed * user_id AS BIGINT) AS push_inflight, o AS disk_bytes,
+      z AS run_count, CAST(user_id AS BIGINT) AS goroutines, CAST(floor(value) AS BIGINT) AS mem_alloc_b, o AS mem_sys_b,
+      CAST(event_id AS BIGINT) AS uptime_s
+    FROM e""")
 def flatten_agent_metrics(v):
     push = schemas.AGENT_METRICS["push"].dataType.simpleString()
     nested = v.table("events").selectExpr(
@@ -162,7 +196,7 @@ def flatten_agent_metrics(v):
                 'put_conflict', cast(null AS bigint), 'put_idempotent', 0L, 'bytes_in', event_id),
             'push', if(event_id % 2 = 0, cast(named_struct('attempts', 1L, 'success', 1L, 'failed', 0L,
                 'inflight', user_id, 'bytes_out', 5L) AS {push}), null)) AS metrics""")
-    return rf.flatten_agent_metrics(nested).select("ts_s", "node", "put_conflict", "bytes_in", "push_inflight", "mem_alloc_b")
+    return rf.flatten_agent_metrics(nested)
 
 
 @query("append_history", """
@@ -301,16 +335,17 @@ def letterbox_geometry(v):
     WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 10 AS cx, l_discount * 1000 AS cy, l_tax * 1000 + 5 AS w, 40.0 AS h FROM lineitem),
     b AS (SELECT *, cx - w / 2 AS x1, cy - h / 2 AS y1, cx + w / 2 AS x2, cy + h / 2 AS y2 FROM d),
     o AS (SELECT *, (x1 - 4) / 0.5 AS ox1, (y1 - 8) / 0.5 AS oy1, (x2 - 4) / 0.5 AS ox2, (y2 - 8) / 0.5 AS oy2 FROM b)
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(ox1, 4) AS x1, round(oy2, 4) AS y2,
-      CAST(least(greatest(round_even(ox1, 0), 0), 800) AS INTEGER) AS crop_x1, CAST(least(greatest(round_even(ox2, 0), 0), 800) AS INTEGER) AS crop_x2
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(ox1, 4) AS x1, round(oy1, 4) AS y1, round(ox2, 4) AS x2, round(oy2, 4) AS y2,
+      CAST(least(greatest(round_even(ox1, 0), 0), 800) AS INTEGER) AS crop_x1, CAST(least(greatest(round_even(ox2, 0), 0), 800) AS INTEGER) AS crop_x2,
+      CAST(least(greatest(round_even(oy1, 0), 0), 600) AS INTEGER) AS crop_y1, CAST(least(greatest(round_even(oy2, 0), 0), 600) AS INTEGER) AS crop_y2
     FROM o""")
 def box_to_original(v):
     dets = v.table("lineitem").selectExpr(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity * 10 AS cx", "l_discount * 1000 AS cy",
         "l_tax * 1000 + 5 AS w", "40.0D AS h", "0.5D AS scale", "4 AS pad_x", "8 AS pad_y", "800 AS orig_w", "600 AS orig_h")
     out = rf.box_to_original(rf.center_to_corners(dets))
-    return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "x1", "y2", "crop_x1", "crop_x2"),
-                   "x1", "y2", digits=4)
+    return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "x1", "y1", "x2", "y2",
+                              "crop_x1", "crop_x2", "crop_y1", "crop_y2"), "x1", "y1", "x2", "y2", digits=4)
 
 
 @query("iou_pairs", """

@@ -207,10 +207,15 @@ def _seeds(seed: int, keys: Sequence[str], r: Column) -> tuple[Column, Column]:
 
 
 def _draw(a: Column, b: Column, i: Column, n: Column) -> Column:
-    """Position (from 0) of draw ``i``: two squaring steps modulo a prime, then modulo ``n``."""
-    x = (a + i.cast("long") * 69_621) % PRIME
-    x = (x * x + b) % PRIME
-    return (x * x + a) % PRIME % n
+    """Position (from 0) of draw ``i``: two squaring steps modulo a prime are the halves of one number of 62 bits,
+    taken modulo ``n``.
+
+    ``i`` enters by its remainder and its quotient, so draws and cells beyond the prime are covered alike.
+    """
+    i = i.cast("long")
+    x = (a + i * 69_621) % PRIME
+    x = (x * x + b + ((i - i % PRIME) / PRIME).cast("long")) % PRIME
+    return (x * PRIME + (x * x + a) % PRIME) % n
 
 
 def _means_by_array(deltas: DataFrame, keys: list[str], order, resamples: int, seed: int) -> DataFrame:

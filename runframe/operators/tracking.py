@@ -208,23 +208,24 @@ def summarize_tracks(assigned: DataFrame, embs: DataFrame | None = None, min_hit
 # --- identities across cameras ---------------------------------------------------------------
 
 def match_cameras(tracklets: DataFrame, sim_min: float = 0.55, by: str | Sequence[str] = (), camera: str = "camera",
-                  id: str = "tracklet_id", embedding: str = "embedding", dense_cells: int = 50_000_000) -> DataFrame:
-    """Optimal one-to-one assignment per camera pair over all similarities, then those >= ``sim_min``.
+                  id: str = "tracklet_id", embedding: str = "embedding", method: str = "exact") -> DataFrame:
+    """One-to-one assignment per camera pair over all similarities, then those >= ``sim_min``.
 
-    Each camera pair is one task. A pair with more than ``dense_cells`` similarities is solved by
-    bidding rounds instead, see ``bid_assignment``.
+    ``method`` is the caller's choice and holds at every size. ``exact``: the optimum, each camera pair in one
+    task, which must hold the pair's similarities. ``auction``: bidding rounds over blocks, near the
+    optimum, for pairs beyond one task's memory; see ``bid_assignment``.
     """
+    if method not in ("exact", "auction"):
+        raise ValueError(f"unknown matching method {method!r}")
     keys = names(by)
-    sizes = tracklets.groupBy(*keys, camera).agg(F.count(F.lit(1)).alias("n"))
-    cams = sizes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(camera).alias("cam"), "n"))).alias("_c"))
+    cams = tracklets.groupBy(*keys).agg(F.sort_array(F.collect_set(camera)).alias("_c"))  # a key's cameras are few
     later = F.expr("slice(_c, _i + 2, size(_c))")
-    pairs = cut(cams.select(*keys, "_c", F.posexplode("_c").alias("_i", "_a"))
-                .select(*keys, "_a", F.explode(later).alias("_b"))
-                .select(*keys, F.col("_a.cam").alias("cam_i"), F.col("_b.cam").alias("cam_j"),
-                        F.col("_a.n").alias("_ni"), F.col("_b.n").alias("_nj")))
-    big = F.col("_ni") * F.col("_nj") > dense_cells
-    out = _match_dense(tracklets, pairs.where(~big), keys, camera, id, embedding)
-    for row in pairs.where(big).toLocalIterator():  # camera pairs, few and far below the tracklets
+    pairs = (cams.select(*keys, "_c", F.posexplode("_c").alias("_i", "cam_i"))
+             .select(*keys, "cam_i", F.explode(later).alias("cam_j")))
+    if method == "exact":
+        return _match_dense(tracklets, pairs, keys, camera, id, embedding).where(F.col("sim") >= sim_min)
+    out = _match_dense(tracklets, pairs.limit(0), keys, camera, id, embedding)
+    for row in pairs.toLocalIterator():  # camera pairs, few and far below the tracklets
         one = tracklets
         for key in keys:
             one = one.where(F.col(key).eqNullSafe(F.lit(row[key])))

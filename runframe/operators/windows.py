@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runframe.functions.runtime import names, order_columns, reverse, same
+from runframe.functions.runtime import int_conf, names, order_columns, reverse, same
 from runframe.functions.streams import map_sorted, starts
 from runframe.operators.scan import has_hot_group, scan
 
@@ -19,13 +19,22 @@ def top_k(df: DataFrame, by: str | Sequence[str] | None, k: int, order: str | Se
     """First ``k`` rows of each group by ``order``, numbered from 1.
 
     Each task keeps only its own first ``k`` rows per group before the shuffle, so a large group
-    sends at most ``k`` rows per task.
+    sends at most ``k`` rows per task. Spark prunes so up to a bound of ``k``; above it each group is first
+    ranked in salted parts, so that no task meets a whole large group.
     """
     keys = names(by)
+
+    def place(*extra: Column) -> Column:
+        return F.row_number().over(Window.partitionBy(*keys, *extra).orderBy(*order_columns(order)))
+
     if not keys:
         df = df.orderBy(*order_columns(order)).limit(k)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_columns(order)))
-    return df.withColumn(rank, place).where(F.col(rank) <= k)
+    elif k > int_conf(df.sparkSession, "spark.sql.optimizer.windowGroupLimitThreshold", 1000):
+        parts = int_conf(df.sparkSession, "spark.sql.shuffle.partitions", 200)
+        salt = F.pmod(F.xxhash64(*[item.lstrip("-") for item in names(order)]), F.lit(parts))
+        salted = df.withColumn("_salt", salt)
+        df = salted.withColumn("_near", place(F.col("_salt"))).where(F.col("_near") <= k).drop("_salt", "_near")
+    return df.withColumn(rank, place()).where(F.col(rank) <= k)
 
 
 def warm_window(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str], warm_from: int = 5,

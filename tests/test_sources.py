@@ -20,6 +20,19 @@ def test_runs_csv(spark, tmp_path):
     assert got == {"r1": ("Succeeded", 12.0), "r2": (None, 7.0), "r4": ("Succeeded", 9.5)}
 
 
+def test_runs_csv_of_mixed_headers(spark, tmp_path):
+    write(tmp_path / "a.csv", "rep,system,run_name,phase,makespan_s,wall_s\n1,a,r1,Succeeded,12,13\n")
+    write(tmp_path / "b.csv", "\nsystem,rep,makespan_s,run_name\nb,2,5,r2\nb,3,6,r3\n")
+    write(tmp_path / "c.csv", "run_name,iteration,wall_s,extra\nr4,9,4,z\n")
+    write(tmp_path / "empty.csv", "")
+    got = {(r.run_name, r.rep, r.iteration, r.system, r.phase, r.makespan_s)
+           for r in rf.read_runs(spark, str(tmp_path)).collect()}
+    assert got == {("r1", "1", None, "a", "Succeeded", 12.0), ("r2", "2", None, "b", None, 5.0),
+                   ("r3", "3", None, "b", None, 6.0), ("r4", None, "9", None, None, 4.0)}
+    write(tmp_path / "none/empty.csv", "")
+    assert rf.read_runs(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_two_hop_files(spark, tmp_path):
     record = {"run_name": "r", "producer_log": {"t0_wall": 1.0, "t1_wall": 2.0, "t1p_wall": 2.5, "bytes": 5},
               "consumer_log": {"t3_wall": None, "t_found_wall": 6.0, "t4_wall": 8.0, "bytes": 5, "expected_bytes": 5, "ok": True},
