@@ -334,11 +334,14 @@ def profile_matrix(v):
     return rounded(rf.profile_matrix(profiles), "runtime_ema")
 
 
-@query("pivot_matrix", """
-    SELECT template, task, round(max(runtime_ema) FILTER (node = 'n0'), 6) AS n0, round(max(runtime_ema) FILTER (node = 'n3'), 6) AS n3 FROM v_ema GROUP BY ALL""")
+NODES = [f"n{i}" for i in range(8)]
+
+
+@query("pivot_matrix", "SELECT template, task, " + ", ".join(
+    f"round(max(runtime_ema) FILTER (node = '{n}'), 6) AS {n}" for n in NODES) + " FROM v_ema GROUP BY template, task")
 def pivot_matrix(v):
     profiles = rf.ema_profile(v.obs, ["template", "task", "node"], OBS_ORDER, data=None)
-    return rounded(rf.pivot_matrix(profiles, ["n0", "n3"]), "n0", "n3")
+    return rounded(rf.pivot_matrix(profiles, NODES), *NODES)
 
 
 @query("placement_share", """

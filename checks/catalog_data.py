@@ -158,18 +158,32 @@ def summarize_groups(v):
                               F.element_at("embedding", 1).alias("e0"), F.element_at("embedding", 3).alias("e2")), "e0", "e2", digits=9)
 
 
+# at most three tracklets a side: all six ways to pair them; the added thousand puts the number of pairs first
+MATCHES = """
+    numbered AS (SELECT tracklet_id // 12 AS block, camera, tracklet_id, embedding,
+      row_number() OVER (PARTITION BY tracklet_id // 12, camera ORDER BY tracklet_id) AS k FROM v_tracklets),
+    sims AS (SELECT a.block, a.camera AS cam_i, b.camera AS cam_j, a.k AS i, b.k AS j, a.tracklet_id AS id_i, b.tracklet_id AS id_j,
+      list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS sim
+      FROM numbered a JOIN numbered b ON a.block = b.block AND a.camera < b.camera),
+    ways AS (SELECT * FROM (VALUES (1, 1, 2, 3), (2, 1, 3, 2), (3, 2, 1, 3), (4, 2, 3, 1), (5, 3, 1, 2), (6, 3, 2, 1)) x(way, j1, j2, j3)),
+    picks AS (SELECT way, 1 AS i, j1 AS j FROM ways UNION ALL SELECT way, 2, j2 FROM ways UNION ALL SELECT way, 3, j3 FROM ways),
+    totals AS (SELECT block, cam_i, cam_j, way, sum(sim + 1000) AS total FROM sims JOIN picks USING (i, j) GROUP BY ALL),
+    chosen AS (SELECT block, cam_i, cam_j, arg_max(way, total) AS way FROM totals GROUP BY ALL),
+    matched AS (SELECT block, cam_i, cam_j, id_i, id_j, sim FROM chosen JOIN picks USING (way) JOIN sims USING (block, cam_i, cam_j, i, j) WHERE sim >= 0.3)"""
+
+
 def matches(v):
-    return rf.match_cameras(v.tracklets, sim_min=0.3)
+    """Optimal matches inside blocks of twelve neighbouring vectors: three tracklets of each of four cameras."""
+    return rf.match_cameras(v.tracklets.withColumn("block", F.expr("tracklet_id div 12")), sim_min=0.3, by="block")
 
 
-@query("match_cameras")
+@query("match_cameras", f"WITH {MATCHES.strip()} SELECT block, cam_i, cam_j, id_i, id_j, round(sim, 9) AS sim FROM matched")
 def match_cameras(v):
     return rounded(matches(v), "sim", digits=9)
 
 
-PAIR_TABLE = """
-    pairs AS (SELECT a.camera AS cam_i, b.camera AS cam_j, a.tracklet_id AS id_i, b.tracklet_id AS id_j FROM v_tracklets a JOIN v_tracklets b
-      ON b.tracklet_id = a.tracklet_id + 1 WHERE a.camera < b.camera AND a.tracklet_id % 12 < 9),
+PAIR_TABLE = MATCHES + """,
+    pairs AS (SELECT cam_i, cam_j, id_i, id_j FROM matched),
     nodes AS (SELECT camera || '/' || lpad(CAST(tracklet_id AS VARCHAR), 9, '0') AS id FROM v_tracklets),
     e AS (SELECT cam_i || '/' || lpad(CAST(id_i AS VARCHAR), 9, '0') AS a, cam_j || '/' || lpad(CAST(id_j AS VARCHAR), 9, '0') AS b FROM pairs),
     two AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -177,34 +191,30 @@ PAIR_TABLE = """
     member AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
 
 
-def given_pairs(v):
-    """Neighbouring tracklets of neighbouring cameras as accepted pairs."""
-    a = v.tracklets.selectExpr("camera AS cam_i", "tracklet_id AS id_i")
-    b = v.tracklets.selectExpr("camera AS cam_j", "tracklet_id AS id_j", "tracklet_id - 1 AS id_i")
-    return a.join(b, "id_i").where("cam_i < cam_j AND id_i % 12 < 9")
-
-
 @query("identities", f"""
     WITH RECURSIVE {PAIR_TABLE.strip()}
     SELECT split_part(id, '/', 1) AS camera, CAST(split_part(id, '/', 2) AS BIGINT) AS tracklet_id, split_part(root, '/', 1) AS root_camera,
       CAST(split_part(root, '/', 2) AS BIGINT) AS root_tracklet FROM member""")
 def identities(v):
-    return rf.identities(v.tracklets, given_pairs(v))
+    return rf.identities(v.tracklets, matches(v))
 
 
-@query("global_tracks", f"""
-    WITH RECURSIVE {PAIR_TABLE.strip()},
+GLOBAL = PAIR_TABLE + """,
     g AS (SELECT dense_rank() OVER (ORDER BY root) AS global_id, id, camera, class, det_count FROM member
       JOIN v_tracklets ON id = camera || '/' || lpad(CAST(tracklet_id AS VARCHAR), 9, '0')),
     c AS (SELECT global_id, class, sum(det_count) AS w, min(id) AS first FROM g GROUP BY ALL),
-    best AS (SELECT global_id, class FROM c QUALIFY row_number() OVER (PARTITION BY global_id ORDER BY w DESC, first) = 1)
-    SELECT CAST(global_id AS BIGINT) AS global_id, best.class, string_agg(DISTINCT camera, ',' ORDER BY camera) AS cameras, count(*) AS hop_count,
-      CAST(sum(det_count) AS BIGINT) AS det_count_total FROM g JOIN best USING (global_id) GROUP BY ALL""")
+    best AS (SELECT global_id, class FROM c QUALIFY row_number() OVER (PARTITION BY global_id ORDER BY w DESC, first) = 1),
+    summary AS (SELECT CAST(global_id AS BIGINT) AS global_id, best.class, string_agg(DISTINCT camera, ',' ORDER BY camera) AS cameras, count(*) AS hop_count,
+      CAST(sum(det_count) AS BIGINT) AS det_count_total FROM g JOIN best USING (global_id) GROUP BY ALL)"""
+
+
+@query("global_tracks", f"WITH RECURSIVE {GLOBAL.strip()} SELECT * FROM summary")
 def global_tracks(v):
-    return rf.global_tracks(rf.identities(v.tracklets, given_pairs(v)), v.tracklets)[0]
+    return rf.global_tracks(rf.identities(v.tracklets, matches(v)), v.tracklets)[0]
 
 
-@query("identity_report")
+@query("identity_report", f"""
+    WITH RECURSIVE {GLOBAL.strip()} SELECT *, row_number() OVER (ORDER BY class, det_count_total DESC, global_id) AS rank FROM summary""")
 def identity_report(v):
     """From tracklets to the ranked traffic report through optimal matching."""
     tracks, hops = rf.global_tracks(rf.identities(v.tracklets, matches(v)), v.tracklets)

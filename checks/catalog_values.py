@@ -133,28 +133,58 @@ def doc_lines(v):
 
 
 @query("explode_runs", """
-    SELECT run, task, deps, round(runtime, 2) AS runtime, node, bytes FROM
-      (SELECT run, task, array_to_string(deps, ',') AS deps, runtime, node, bytes FROM v_dag WHERE turn <> 3)""")
+    WITH d AS (SELECT *, 't' || (turn + 1) || '|' || node || '|n' || (turn + 1) % 3 || '|' || bytes || '|' || (turn % 2 = 0) AS flow FROM v_dag)
+    SELECT 'runs' AS part, run, NULL AS task, 'ns|Succeeded|1704067200' AS detail, round(max(runtime), 2) AS number FROM d GROUP BY run
+    UNION ALL SELECT 'specs', run, task, concat_ws('|', 'img', array_to_string(deps, ','), '250m', '1Gi', node, bytes || 'B'), round(2 * runtime, 2)
+      FROM d WHERE turn <> 3
+    UNION ALL SELECT 'tasks', run, task, concat_ws('|', CASE WHEN turn % 2 = 0 THEN 'Succeeded' END, 'Done', node, '1704067210',
+      CASE WHEN turn % 2 = 0 THEN '1704067260' END, CAST(turn = 1 AS VARCHAR), bytes || 'B'), NULL FROM d
+    UNION ALL SELECT 'predicted_tasks', run, task, node, round(runtime, 2) FROM d
+    UNION ALL SELECT 'predicted_flows', run, task, flow, round(runtime, 2) FROM d
+    UNION ALL SELECT 'actual_flows', run, task, flow, round(runtime, 2) FROM d WHERE turn <> 2""")
 def explode_runs(v):
+    """All six tables of run documents, one row per entry."""
+    even = F.col("turn") % 2 == 0
     spec = F.struct(F.col("task").alias("name"), F.when(F.col("turn") != 3, F.lit("img")).alias("image"),
                     F.col("deps").alias("dependencies"), F.concat(F.col("bytes").cast("string"), F.lit("B")).alias("dataSize"),
                     "runtime", F.struct(F.lit("250m").alias("cpu"), F.lit("1Gi").alias("memory")).alias("resources"),
                     F.struct(F.array("node").alias("nodeNames")).alias("constraints"),
                     F.create_map("node", "runtime").alias("runtimeProfile"))
-    nothing = {name: F.lit(None).cast(kind) for name, kind in (
-        ("phase", "string"), ("makespan", "double"))}
-    empty = {f.name: F.lit(None).cast(f.dataType) for f in schemas.RUN_DOCUMENT["status"].dataType.fields
-             if f.name not in nothing}
-    docs = v.dag.groupBy("run").agg(F.collect_list(spec).alias("tasks")).select(
+    done = F.struct(F.col("task").alias("name"), F.when(even, "Succeeded").alias("phase"), F.lit("Done").alias("state"), "node",
+                    F.lit("2024-01-01T00:00:10Z").alias("startTime"), F.when(even, "2024-01-01T00:01:00Z").alias("completionTime"),
+                    (F.col("turn") == 1).alias("sending"), F.concat(F.col("bytes").cast("string"), F.lit("B")).alias("dataSize"))
+    guess = F.struct(F.col("task").alias("name"), "node", F.lit(0.0).alias("estStart"), F.col("runtime").alias("estEnd"))
+    flow = F.struct(F.col("task").alias("fromTask"), F.concat(F.lit("t"), F.col("turn") + 1).alias("toTask"),
+                    F.col("node").alias("srcNode"), F.concat(F.lit("n"), (F.col("turn") + 1) % 3).alias("dstNode"),
+                    F.lit(0.0).alias("start"), F.col("runtime").alias("end"), F.col("bytes").alias("dataSize"), even.alias("ok"))
+    docs = v.dag.groupBy("run").agg(
+        F.collect_list(spec).alias("specs"), F.max("runtime").alias("makespan"), F.collect_list(done).alias("tasks"),
+        F.collect_list(guess).alias("predictedTasks"), F.collect_list(flow).alias("predictedNetworkFlows"),
+        F.collect_list(F.when(F.col("turn") != 2, flow)).alias("actualNetworkFlows"),
+    ).select(
         F.struct(F.col("run").alias("name"), F.lit("ns").alias("namespace"), F.lit("u").alias("uid"),
                  F.lit("2024-01-01T00:00:00Z").alias("creationTimestamp")).alias("metadata"),
-        F.struct("tasks").alias("spec"),
-        F.struct(*[c.alias(n) for n, c in {**nothing, **empty}.items()]).alias("status"))
-    specs = rf.explode_runs(docs)["specs"]
-    sized = rf.normalize_sizes(specs, "data_size")
-    return rounded(sized.select("run", "task", F.array_join("deps", ",").alias("deps"), "runtime",
-                                F.element_at("node_names", 1).alias("node"), F.col("data_size_bytes").alias("bytes")),
-                   "runtime", digits=2)
+        F.struct(F.col("specs").alias("tasks")).alias("spec"),
+        F.struct(F.lit("Succeeded").alias("phase"), "makespan", "tasks", "predictedTasks", "predictedNetworkFlows",
+                 "actualNetworkFlows").alias("status"))
+    tables = rf.explode_runs(docs)
+
+    def part(name, task, number, *detail):
+        return tables[name].select(F.lit(name).alias("part"), "run", F.expr(task).alias("task"), F.concat_ws(
+            "|", *[F.expr(d).cast("string") for d in detail]).alias("detail"), F.expr(number).alias("number"))
+
+    flow_text = ("to_task", "src", "dst", "bytes", "ok")
+    whole = part("runs", "cast(null AS string)", "makespan", "namespace", "phase", "unix_timestamp(created_at)")
+    for other in (
+            part("specs", "task", "runtime + runtime_profile[node_names[0]]", "image", "array_join(deps, ',')", "cpu", "memory",
+                 "node_names[0]", "data_size"),
+            part("tasks", "task", "cast(null AS double)", "phase", "state", "node", "unix_timestamp(start_time)",
+                 "unix_timestamp(completion_time)", "sending", "data_size"),
+            part("predicted_tasks", "task", "est_end - est_start", "node"),
+            part("predicted_flows", "from_task", "end - start", *flow_text),
+            part("actual_flows", "from_task", "end - start", *flow_text)):
+        whole = whole.unionByName(other)
+    return rounded(whole, "number", digits=2)
 
 
 @query("read_links", """
@@ -170,10 +200,15 @@ def read_links(v):
                                            F.count(F.lit(1)).alias("entries"))
 
 
-@query("read_blobs")
+@query("read_blobs", """
+    SELECT page_id, CAST(strlen(coalesce(html, '') || chr(10)) AS BIGINT) AS length, sha256(coalesce(html, '') || chr(10)) AS digest FROM pages""")
 def read_blobs(v):
-    blobs = rf.read_blobs(v.spark, v.folder, "*.parquet")
-    return blobs.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length")
+    """Each page written as a file of its own and read back as bytes."""
+    folder = work_folder(v.spark)
+    v.table("pages").select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").text(folder)
+    blobs = rf.read_blobs(v.spark, folder, "*.txt")
+    return blobs.select(F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("long").alias("page_id"), "length",
+                        F.sha2("content", 256).alias("digest"))
 
 
 @query("flatten_agent_metrics", """

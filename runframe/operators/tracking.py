@@ -246,7 +246,8 @@ def _match_dense(tracklets, pairs, keys, camera, id, embedding) -> DataFrame:
 
     def side(which: str) -> DataFrame:
         own = tracklets.select(*keys, F.col(camera).alias(which), F.col(id).alias("_id"), F.col(embedding).alias("_v"))
-        return own.join(pairs.select(*on), [*keys, which])
+        met = own.join(pairs.select(*on), [*keys, which])
+        return met.select(*[F.col(c).alias(c) for c in (*on, "_id", "_v")])  # columns of its own: both sides share a source
 
     def solve(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = [*on, "id_i", "id_j", "sim"]
