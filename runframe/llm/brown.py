@@ -2,9 +2,12 @@
 
 log10 p(text) = sum of log10 p(class | class before) + log10 p(word | class) over the tokens.
 
-A word is frequent if it occurs twice and makes up at least 1/``share`` of the training tokens, so there are at most ``share`` of them,
-whatever the corpus; these get classes by exchange. All other words, unknown ones too, form one open class whose
-emissions come from their counts over the whole corpus. The end of a text is a token with a class of its own.
+Every word that occurs ``least`` times in the training texts (twice, at every size) gets a class by exchange, and the number
+of classes grows with the root of their number. Words below that, unknown ones too, form one open class whose emissions
+come from their counts over the whole corpus. The end of a text is a token with a class of its own.
+
+Words are numbered by the order of their 64-bit hashes. The driver and each task hold arrays of about 20 bytes a word and
+the class table; words, pairs and neighbour counts stay in Spark.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import types as T
 from runframe.functions.runtime import cut
 from runframe.llm.common import HashedWords, fold, lengths_to_starts, row_key, texts
 
-END, OPEN = 0, 1  # token numbers; frequent words follow
+END, OPEN = 0, 1  # token numbers; words with classes follow
 END_WORD = b" "  # no word holds a blank
 
 
@@ -45,10 +48,23 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 class Numbers(dict):
-    """Numbers of the frequent words; any other word is ``OPEN``."""
+    """Numbers of words by their places among sorted hashes, remembered up to a bound; any other word is ``OPEN``."""
+
+    def __init__(self, hashes: np.ndarray, limit: int = 300_000):
+        super().__init__()
+        self.hashes, self.limit = hashes, limit
 
     def __missing__(self, word: bytes) -> int:
-        return OPEN
+        import xxhash
+
+        value = np.uint64(xxhash.xxh64_intdigest(word)).view(np.int64)
+        at = int(self.hashes.searchsorted(value))
+        number = at + 2 if at < len(self.hashes) and self.hashes[at] == value else OPEN
+        if len(word) < 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = number
+        return number
 
 
 def _numbered(batch: list[bytes], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -64,13 +80,13 @@ def _numbered(batch: list[bytes], numbers: Numbers) -> tuple[np.ndarray, np.ndar
     return out, starts, words
 
 
-def _bigrams(docs: DataFrame, text: str, numbers: Numbers) -> DataFrame:
+def _bigrams(docs: DataFrame, text: str, hashes: np.ndarray) -> DataFrame:
     """(v, w, n) of neighbouring token numbers over all texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(dict(numbers))
+    shared = docs.sparkSession.sparkContext.broadcast(hashes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Numbers(shared.value)
-        size = len(known) + 2
+        size = len(shared.value) + 2
         for batch in batches:
             ids = _numbered(texts(batch, text), known)[0].astype(np.int64)
             pair, n = np.unique(ids[:-1] * size + ids[1:], return_counts=True)
@@ -103,18 +119,20 @@ def _best_classes(left: np.ndarray, right: np.ndarray, both: np.ndarray, old: in
     ``left[c]``: pairs (word of class c, this word); ``right[c]``: (this word, word of class c), both without the
     pairs of the word with itself. The score is sum N(c,d) log N(c,d) - 2 sum N(c) log N(c).
     """
-    table, unigram = both.copy(), total.copy()
-    table[:, old] -= left
-    table[old, :] -= right
-    table[old, old] -= self_n
+    unigram = total.copy()
     unigram[old] -= own
     classes = np.arange(movable, len(total))
     gain = np.zeros(len(classes))
-    # column c gains left, row c gains right; the cell (c, c) gets both
-    columns, rows = table[:, classes], table[classes, :].T
-    grown = _xlogx(columns + left[:, None]) - _xlogx(columns) + _xlogx(rows + right[:, None]) - _xlogx(rows)
-    gain += grown.sum(0)
-    cell = table[classes, classes]
+    # column c gains left, row c gains right; the cell (c, c) gets both. Only neighbours' rows and columns change
+    for near, far, table in ((left, right, both), (right, left, both.T)):
+        at = np.flatnonzero(near)
+        cells = table[at, movable:]
+        cells[:, old - movable] -= near[at]
+        cells[at == old] -= far[movable:]
+        cells[at == old, old - movable] -= self_n
+        gain += (_xlogx(cells + near[at][:, None]) - _xlogx(cells)).sum(0)
+    cell = both[classes, classes]
+    cell[old - movable] -= left[old] + right[old] + self_n
     gain -= _xlogx(cell + left[classes]) + _xlogx(cell + right[classes]) - 2 * _xlogx(cell)
     gain += _xlogx(cell + left[classes] + right[classes] + self_n) - _xlogx(cell)
     gain -= 2 * (_xlogx(unigram[classes] + own) - _xlogx(unigram[classes]))
@@ -123,17 +141,17 @@ def _best_classes(left: np.ndarray, right: np.ndarray, both: np.ndarray, old: in
 
 
 def exchange(bigrams: DataFrame, counts: np.ndarray, classes: int, rounds: int, turns: int = 3) -> np.ndarray:
-    """Class of every token number. The end and the open class stay; frequent words are exchanged.
+    """Class of every token number. The end and the open class stay; all other words are exchanged.
 
     Each round works in ``turns``: one part of the words moves against the class table of the moment, all its words at
     once. Their neighbour counts by class are aggregated over the cluster; only class numbers, at most one for each
-    frequent word, and the class table return to the driver.
+    word, and the class table return to the driver.
     """
     spark = bigrams.sparkSession
     size = len(counts)
     of = np.zeros(size, np.int32)
     of[OPEN] = 1
-    of[2:] = 2 + np.arange(size - 2) % classes
+    of[2 + np.argsort(-counts[2:], kind="stable")] = 2 + np.arange(size - 2) % classes  # frequent words apart
     k = classes + 2
     words_n = counts.astype(np.float64)
     for turn in range(rounds * turns if size > 2 else 0):
@@ -163,8 +181,8 @@ def exchange(bigrams: DataFrame, counts: np.ndarray, classes: int, rounds: int,
 
         sums = cut(bigrams.mapInArrow(by_class, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
         table = np.zeros(k * k)
-        for r in sums.where("key < 0").collect():  # the class table: k * k cells
-            table[-1 - r["key"]] = r["n"]
+        cells = sums.where("key < 0").toArrow()  # the class table: k * k cells
+        table[-1 - cells["key"].to_numpy()] = cells["n"].to_numpy()
         frozen = spark.sparkContext.broadcast((of, table.reshape(k, k), np.bincount(of, words_n, k)))
         moves = (sums.where("key >= 0").withColumn("word", F.when(F.col("key") < 2 * size * k, F.expr(f"key div {k} % {size}"))
                                                    .otherwise(F.col("key") - 2 * size * k))
@@ -201,8 +219,8 @@ def exchange(bigrams: DataFrame, counts: np.ndarray, classes: int, rounds: int,
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int32()) for i in (0, 1)], ["word", "class"])
 
         new = of.copy()
-        for r in moves.mapInArrow(move, "word int, class int").collect():  # at most one row for each frequent word
-            new[r["word"]] = r["class"]
+        moved = moves.mapInArrow(move, "word int, class int").toArrow()  # at most one row for each word
+        new[moved["word"].to_numpy()] = moved["class"].to_numpy()
         if (new == of).all() and turn >= turns:
             break
         of = new
@@ -210,11 +228,11 @@ def exchange(bigrams: DataFrame, counts: np.ndarray, classes: int, rounds: int,
 
 
 class Model:
-    """What scoring needs in every task: numbers and classes of frequent words, their emissions, class transitions."""
+    """What scoring needs in every task: hashes and classes of words, their emissions, class transitions."""
 
-    def __init__(self, numbers: Numbers, of: np.ndarray, counts: np.ndarray, table: np.ndarray, tokens: int, types: int,
+    def __init__(self, hashes: np.ndarray, of: np.ndarray, counts: np.ndarray, table: np.ndarray, tokens: int, types: int,
                  open_types: int, discount: float = 0.5):
-        self.numbers, self.of, self.tokens, self.types = numbers, of, tokens, types
+        self.hashes, self.of, self.tokens, self.types = hashes, of, tokens, types
         size = np.bincount(of, counts, len(table))
         # absolute discounting over classes, the rest by class frequency
         seen = (table > 0).sum(1)
@@ -232,21 +250,28 @@ class Model:
         self.base = np.log10((counts + 1) / (tokens + types + 1))
 
 
-def train(docs: DataFrame, text: str = "text", share: int = 200_000, classes: int = 48, rounds: int = 2,
+def class_number(words: int) -> int:
+    """Half the root of the number of words, so that the class table stays smaller than the vocabulary; 48 at least."""
+    return max(48, round(words ** 0.5 / 2))
+
+
+def train(docs: DataFrame, text: str = "text", least: int = 2, classes: int | None = None, rounds: int = 2,
           ) -> tuple[Model, DataFrame]:
-    """(model, counts of the words outside it by 64-bit hash). Learns from every row of ``docs``."""
+    """(model, counts of the words outside it). Learns from every row of ``docs``; words that occur ``least`` times
+    get one of ``classes`` classes, by default ``class_number`` of them."""
     words = cut(word_counts(docs, text))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, types = total["n"], total["v"]
-    is_frequent = (F.col("n") * share >= tokens) & (F.col("n") > 1)
-    frequent = words.where(is_frequent & (F.col("word") != F.lit(END_WORD)))  # no more than share rows
-    found = frequent.orderBy(F.desc("n"), "word").collect()
+    often = (F.col("n") >= least) & (F.col("word") != F.lit(END_WORD))
+    found = _hash_words(words.where(often)).toArrow()
+    order = np.argsort(found["h"].to_numpy())
+    hashes = found["h"].to_numpy()[order]
     ends = words.where(F.col("word") == F.lit(END_WORD)).select("n").first()
-    numbers = Numbers({bytes(r["word"]): i + 2 for i, r in enumerate(found)})
-    counts = np.array([ends["n"] if ends else 0, 0, *(r["n"] for r in found)], np.float64)
+    counts = np.concatenate([[ends["n"] if ends else 0, 0], found["n"].to_numpy()[order]]).astype(np.float64)
     counts[OPEN] = tokens - counts.sum()
-    rest = words.where(~is_frequent & (F.col("word") != F.lit(END_WORD)))
-    bigrams = cut(_bigrams(docs, text, numbers))
+    rest = words.where(~often & (F.col("word") != F.lit(END_WORD)))
+    bigrams = cut(_bigrams(docs, text, hashes))
+    classes = classes or class_number(len(hashes))
     of = exchange(bigrams, counts, classes, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(of)
     k = classes + 2
@@ -259,10 +284,10 @@ def train(docs: DataFrame, text: str = "text", share: int = 200_000, classes: in
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(table[cells])], ["cell", "n"])
 
     table = np.zeros(k * k)
-    for r in bigrams.mapInArrow(by_class, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        table[r["cell"]] = r["n"]
-    open_types = types - len(found) - (1 if ends else 0)
-    model = Model(numbers, of, counts, table.reshape(k, k), tokens, types, open_types)
+    cells = bigrams.mapInArrow(by_class, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    open_types = types - len(hashes) - (1 if ends else 0)
+    model = Model(hashes, of, counts, table.reshape(k, k), tokens, types, open_types)
     return model, rest.select("word", "n")
 
 
@@ -272,10 +297,10 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, id: str = "doc_id", te
 
     Scores are log10 probabilities of the whole text with its end, by single words (add-one) and by the class
     model. A null text is empty. Repeated rows each get their result. Words outside the model meet their corpus counts
-    in a join by hash; none of them has more than 1/share of the training tokens, so none is hot there.
+    in a join by hash; each of them has one row there.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((dict(model.numbers), model.of, model.step, model.emission, model.base, model.known))
+    shared = spark.sparkContext.broadcast((model.hashes, model.of, model.step, model.emission, model.base, model.known))
     hashed = _hash_words(rest)
     rows = docs.select(id, text, *keep, row_key(id, text, *keep).alias("_key"))
     fields = [rows.schema[c] for c in (id, *keep, "_key")]
@@ -284,8 +309,8 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, id: str = "doc_id", te
                           T.StructField("open", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType()))])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, of, step, emission, base, known = shared.value
-        numbers, memory = Numbers(numbers), HashedWords()
+        hashes, of, step, emission, base, known = shared.value
+        numbers, memory = Numbers(hashes), HashedWords()
         for batch in batches:
             ids, starts, words = _numbered(texts(batch, text), numbers)
             if not len(words):

@@ -211,6 +211,20 @@ def test_exchange_gain_is_the_change_of_the_likelihood():
         assert better == pytest.approx(max(changes)) and changes[best] == pytest.approx(max(changes))
 
 
+def test_every_repeated_word_has_a_class_at_any_size(spark):
+    rare = [f"rare{i}" for i in range(300)]
+    rows = [(i, "the of and to " * 15_000) for i in range(8)]  # 480,000 tokens, so that two are less than 1/200,000
+    rows += [(8 + i, " ".join(f"{w} follows" for w in rare)) for i in range(2)] + [(10, "once only")]
+    model, rest = brown.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert (model.known[2:] == 2).sum() == len(rare) and model.known[brown.OPEN] == 2
+    assert {bytes(r["word"]): r["n"] for r in rest.collect()} == {b"once": 1, b"only": 1}
+    # "follows" comes after rare words only, which the classes now tell
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in brown.score(spark.createDataFrame(
+        [(0, "rare7 follows rare8 follows"), (1, "rare7 the rare8 the")], "doc_id long, text string"), model, rest).collect()}
+    assert got[0] > got[1]
+    assert brown.class_number(30_000) < brown.class_number(170_000) < brown.class_number(10 ** 7)
+
+
 # toxicity
 
 def test_network_gradients():
