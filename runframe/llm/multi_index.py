@@ -1,8 +1,8 @@
 """Near-duplicate vectors through an inverted multi-index.
 
-Two codebooks, one for each half of the unit vectors, form a grid of cells. A query visits cells in the order of the
-least distance it can have to a vector there, until the target recall is reached (measured on a sample) or that distance
-excludes a link.
+Two codebooks, one for each half of the unit vectors, form a grid of cells. A query visits all cells in which the least
+distance that it can have to a vector there does not exclude a link, so every link is found, from both ends. Neighbouring
+cells with few rows are stored as one tile, to which a query travels once.
 Everything found is verified by its cosine in double precision.
 """
 
@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runframe.functions.runtime import cut
 from runframe.operators.graph import connected_components
@@ -79,22 +80,6 @@ class Grid:
             yield order_a[q, i[rank]] * columns + order_b[q, j[rank]]
 
 
-def needed_reach(grid: Grid, x: np.ndarray, threshold: float, recall: float) -> float:
-    """The reach by which ``recall`` of the links among some vectors are found from either end; at most the distance
-    that excludes links."""
-    most = 2 - 2 * threshold + 1e-9
-    cell, least = grid.place(x)
-    first, second = cell // len(grid.books[1]), cell % len(grid.books[1])
-    sums = [np.zeros(0)]
-    for i in range(0, len(x), 500):
-        a, b = np.nonzero(x[i:i + 500] @ x.T >= threshold)
-        other = a + i != b
-        a, b = a[other] + i, b[other]
-        sums.append(least[0][a, first[b]] + least[1][a, second[b]])
-    every = np.concatenate(sums)
-    return min(most, float(np.quantile(every, recall, method="higher")) + 1e-9) if len(every) >= 20 else most
-
-
 def _local_links(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, weights: np.ndarray,
                  threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weighted links of each query, and (member, smallest member) of the parts that the links of this block form."""
@@ -113,14 +98,14 @@ def _local_links(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids:
     return count, np.concatenate([q_ids[some_q], ids[some_r]]), np.concatenate([of_query[some_q], labels[some_r]])
 
 
-def _matched(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of (block key, role, id, weight, unit vector): one matrix product per block."""
+def _matched(batches: Iterator[pa.RecordBatch], threshold: float, kind: str) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of (block key, role, id, weight, vector as ``kind``): one matrix product per block."""
     def finish(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pa.Table.from_batches(parts)
         ids = block.column("id").to_numpy()
         if not len(ids):
             return
-        x = np.frombuffer(b"".join(block.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
+        x = unit(np.frombuffer(b"".join(block.column("raw").to_pylist()), kind).reshape(len(ids), -1))
         query = block.column("query").to_numpy(zero_copy_only=False)
         weights = block.column("m").to_numpy()[~query]
         count, member, root = _local_links(x[query], ids[query], x[~query], ids[~query], weights, threshold)
@@ -147,13 +132,12 @@ def _matched(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
 
 
 def near_vectors(df: DataFrame, threshold: float = 0.98, id: str = "vec_id", vector: str = "embedding",
-                 label: str = "label", codes: int = 16, sample: int = 8_000, block: int = 2_000,
-                 recall: float = 1.0) -> DataFrame:
+                 label: str = "label", codes: int = 16, sample: int = 8_000, block: int = 2_000) -> DataFrame:
     """(id, n_links, component_id, kept) of every row; rows link when labels are equal and the cosine reaches ``threshold``.
 
-    Codebooks are fitted on at most ``sample`` vectors taken in the order of a hash; every vector is indexed. A query's
-    visits end where ``recall`` of the links inside that sample are found, so inputs within the sample have all their links.
-    Equal vectors are compared once and counted as often as they occur. A cell with many rows or queries is cut into
+    Codebooks are fitted on at most ``sample`` vectors taken in the order of a hash; every vector is indexed, and the sample
+    only changes the work, not the links. Equal vectors are compared once and counted as often as they occur.
+    Cells are stored in tiles of about ``block`` rows. A tile with many rows or queries is cut into
     squares of about ``block`` by ``block``, whatever its size; a square passes on one row per linked vector.
     Vectors that are null, zero or hold null or non-finite components, and rows with a null label or id, link
     with nothing; vectors of unequal length don't link. A null id has a null component and is not kept.
@@ -173,15 +157,17 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id: str = "vec_id", vec
     for n in dims:
         drawn = distinct.where(F.size("v") == n).orderBy(F.xxhash64("f", "h"), "id").select("v").limit(sample).collect()
         x = unit(np.array([r[0] for r in drawn]))
-        grid = Grid.fit(x, codes)
-        grids[n] = grid, needed_reach(grid, x, threshold, recall)
+        grids[n] = Grid.fit(x, codes)
+    reach = 2 - 2 * threshold + 1e-9  # the squared distance of unit vectors beyond which nothing links
+    element = df.schema[vector].dataType.elementType
+    kind = "f4" if isinstance(element, T.FloatType) else "f8"  # as given: nothing is rounded on the way
     shared = df.sparkSession.sparkContext.broadcast(grids)
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _by_length(batch):
-                ids, g, m, x = row
-                grid, reach = shared.value.get(x.shape[1], (None, 0))
-                raw = [r.tobytes() for r in x]
+                ids, g, m, given = row
+                x, grid = unit(given), shared.value.get(given.shape[1])
+                raw = [r.tobytes() for r in given.astype(kind)]
                 if grid is None:  # a rare length: one cell
                     cell, visits = np.zeros(len(x), np.int64), [np.zeros(1, np.int64)] * len(x)
                 else:
@@ -189,24 +175,28 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id: str = "vec_id", vec
                     visits = list(grid.visits(least, reach))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids), pa.array(g), pa.array(m), pa.array(raw, pa.binary()), pa.array(cell.astype(np.int64)),
-                     pa.array([c.tolist() for c in visits], pa.list_(pa.int64()))], ["id", "g", "m", "unit", "cell", "visits"])
+                     pa.array([c.tolist() for c in visits], pa.list_(pa.int64()))], ["id", "g", "m", "raw", "cell", "visits"])
 
     placed = cut(distinct.select("id", "g", "m", "v").mapInArrow(
-        place, "id long, g long, m long, unit binary, cell long, visits array<long>"))
-    asked = placed.select("g", F.explode("visits").alias("cell"), "id", "m", "unit")
-    stored_n = placed.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"))
-    asked_n = asked.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("nq"))
-    split = stored_n.join(asked_n, ["g", "cell"]).select(
-        "g", "cell", F.ceil(F.col("n") / block).cast("int").alias("bs"), F.ceil(F.col("nq") / block).cast("int").alias("bq"))
+        place, "id long, g long, m long, raw binary, cell long, visits array<long>"))
+    before = F.sum("n").over(Window.partitionBy("g").orderBy("cell")) - F.col("n")  # a group has codes * codes cells at most
+    tiles = cut(placed.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"))
+                .withColumn("tile", F.floor(before / block)))
+    asked = cut(placed.select("g", F.explode("visits").alias("cell"), "id").join(tiles.drop("n"), ["g", "cell"])
+                .select("g", "tile", "id").distinct())
+    stored_n = tiles.groupBy("g", "tile").agg(F.sum("n").alias("n"))
+    asked_n = asked.groupBy("g", "tile").agg(F.count(F.lit(1)).alias("nq"))
+    split = stored_n.join(asked_n, ["g", "tile"]).select(
+        "g", "tile", F.ceil(F.col("n") / block).cast("int").alias("bs"), F.ceil(F.col("nq") / block).cast("int").alias("bq"))
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    columns = ["g", "cell", "a", "b", "query", "id", "m", "unit"]
-    stored = (placed.join(split, ["g", "cell"]).withColumn("a", part("bs")).withColumn("query", F.lit(False))
+    columns = ["g", "tile", "a", "b", "query", "id", "m", "raw"]
+    stored = (placed.join(tiles.drop("n"), ["g", "cell"]).join(split, ["g", "tile"]).withColumn("a", part("bs")).withColumn("query", F.lit(False))
               .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("bq") - 1))).select(columns))
-    asking = (asked.join(split, ["g", "cell"]).withColumn("b", part("bq")).withColumn("query", F.lit(True))
+    asking = (asked.join(split, ["g", "tile"]).join(placed.select("id", "m", "raw"), "id").withColumn("b", part("bq")).withColumn("query", F.lit(True))
               .withColumn("a", F.explode(F.sequence(F.lit(0), F.col("bs") - 1))).select(columns))
-    blocks = (stored.unionByName(asking).withColumn("block", F.xxhash64("g", "cell", "a", "b"))
-              .select("block", "query", "id", "m", "unit").repartition("block").sortWithinPartitions("block"))
-    found = cut(blocks.mapInArrow(lambda it: _matched(it, threshold), "id long, links long, root long"))
+    blocks = (stored.unionByName(asking).withColumn("block", F.xxhash64("g", "tile", "a", "b"))
+              .select("block", "query", "id", "m", "raw").repartition("block").sortWithinPartitions("block"))
+    found = cut(blocks.mapInArrow(lambda it: _matched(it, threshold, kind), "id long, links long, root long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(distinct.select("id"), found.where("id <> root").selectExpr("id AS a", "root AS b"))
     known = distinct.select("id", "g", "f", "h", "rep", "m").join(links, "id", "left").join(parts, "id")
@@ -225,7 +215,7 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[tuple]:
     for n in np.unique(sizes):
         at = np.flatnonzero(sizes == n)
         yield (batch.column("id").to_numpy()[at], batch.column("g").to_numpy()[at], batch.column("m").to_numpy()[at],
-               unit(np.array([vectors[i] for i in at], np.float64)))
+               np.array([vectors[i] for i in at], np.float64))
 
 
 SQL = """

@@ -146,6 +146,25 @@ def test_vectors_recall_and_odd_rows(spark):
     assert got[905]["n_links"] == 1 and not got[906]["kept"] and got[None]["n_links"] == 0 and not got[None]["kept"]
 
 
+def test_vectors_sample_does_not_change_the_links(spark):
+    """One tight family gives nearly all links of a small sample; lone pairs near the threshold lie in other cells."""
+    rng = np.random.default_rng(4)
+    family = rng.standard_normal(16) + rng.standard_normal((200, 16)) * 0.005
+    lone = multi_index.unit(rng.standard_normal((300, 16)))
+    aside = rng.standard_normal((300, 16))
+    aside = multi_index.unit(aside - (aside * lone).sum(1)[:, None] * lone)
+    cosine = rng.uniform(0.9802, 0.984, 300)[:, None]
+    x = np.concatenate([family, lone, cosine * lone + np.sqrt(1 - cosine ** 2) * aside]).astype(np.float32)
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
+    u = multi_index.unit(x)
+    linked = u @ u.T >= 0.98
+    np.fill_diagonal(linked, False)
+    for kind in ("float", "double"):
+        docs = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+        got = dict(multi_index.near_vectors(docs, sample=120, block=64, codes=8).select("vec_id", "n_links").collect())
+        assert [got[i] for i in range(len(rows))] == linked.sum(1).tolist() and linked[200:].sum() >= 600
+
+
 # token files
 
 def test_variable_length_round_trip():
