@@ -30,7 +30,7 @@ from runframe.llm.common import (
     free_name, groups, lengths_to_starts, mixed, packed_texts, row_key, schema_with, texts, unpacked, with_column)
 
 GRAM = 64
-POSITION_BITS = 24  # a batch is worked on in stretches of less than 2 ** 24 bytes
+POSITION_BITS = 24  # a batch is worked on in stretches of less than 2 ** 24 bytes; longer texts in parts of one each
 
 
 def _gram_hashes(flat: np.ndarray) -> np.ndarray:
@@ -44,7 +44,8 @@ def _gram_hashes(flat: np.ndarray) -> np.ndarray:
     return mixed(h)
 
 
-def anchors(docs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(docs: list[bytes], length: int, bits: int = POSITION_BITS,
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, gram hash, anchor, first and last window start) of every anchor, positions counted in the document."""
     flat = np.frombuffer(b"".join(docs), np.uint8)
     starts = lengths_to_starts(np.array([len(d) for d in docs], np.int64))
@@ -53,7 +54,7 @@ def anchors(docs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.
         return none, none.astype(np.uint64), none, none, none
     h = _gram_hashes(flat)
     at = np.arange(len(flat), dtype=np.uint64)
-    value = (h >> np.uint64(POSITION_BITS) << np.uint64(POSITION_BITS)) | at
+    value = (h >> np.uint64(bits) << np.uint64(bits)) | at
     span, size = length - GRAM + 1, 1
     while size * 2 <= span:  # least value of the next `size` positions
         value[:-size] = np.minimum(value[:-size], value[size:])
@@ -65,37 +66,43 @@ def anchors(docs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.
     windows = np.maximum(sizes - length + 1, 0)
     owner = np.repeat(np.arange(len(docs)), windows)
     p = starts[owner] + np.arange(len(owner)) - lengths_to_starts(windows)[owner]
-    a = (least[p] & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
+    a = (least[p] & np.uint64((1 << bits) - 1)).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (owner[1:] != owner[:-1])])) if len(a) else none
     last = np.append(new[1:], len(a)) - 1 if len(a) else none
     doc = owner[new]
     return doc, h[a[new]], a[new] - starts[doc], p[new] - starts[doc], p[last] - starts[doc]
 
 
-def _anchor_rows(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
+def _anchor_rows(docs: DataFrame, key: str, text: str, length: int, bits: int) -> DataFrame:
     """(h, key, at) of every anchor; ``at`` packs the first window start and the distances of anchor and last start."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, values = batch.column(key).to_numpy(), texts(batch, text)
             for a, b in groups(values, 1 << 22):
-                for c, d in _short(values, a, b):
-                    doc, h, anchor, first, last = anchors([values[i] for i in range(c, d)], length)
+                for c, stretch, at in _stretches(values, a, b, length, bits):
+                    doc, h, anchor, first, last = anchors(stretch, length, bits)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(keys[c:d][doc]),
-                         pa.array(first << 16 | (anchor - first) << 8 | (last - first))], ["h", "key", "at"])
+                        [pa.array(h.view(np.int64)), pa.array(keys[c + doc]),
+                         pa.array(first + at << 16 | (anchor - first) << 8 | (last - first))], ["h", "key", "at"])
 
     return docs.select(key, text).mapInArrow(emit, "h long, key long, at long")
 
 
-def _short(values: list[bytes], a: int, b: int) -> Iterator[tuple[int, int]]:
-    """Stretches that the position bits can count; a longer text alone is an error."""
-    if sum(len(values[i]) for i in range(a, b)) < 1 << POSITION_BITS:
-        yield a, b
+def _stretches(values: list[bytes], a: int, b: int, length: int, bits: int) -> Iterator[tuple[int, list[bytes], int]]:
+    """(first document, texts, their start in it) of stretches that the position bits can count.
+
+    A longer text goes in parts that overlap by ``length`` - 1 bytes: every window lies in exactly one of them.
+    """
+    if sum(len(values[i]) for i in range(a, b)) < 1 << bits:
+        yield a, values[a:b], 0
         return
+    size = (1 << min(bits, 22)) - 1
     for i in range(a, b):
-        if len(values[i]) >= 1 << POSITION_BITS:
-            raise ValueError("a text has more than 16 MB")
-        yield i, i + 1
+        if len(values[i]) < 1 << bits:
+            yield i, [values[i]], 0
+            continue
+        for at in range(0, len(values[i]) - length + 1, size - length + 1):
+            yield i, [values[i][at:at + size]], at
 
 
 # --- runs
@@ -344,12 +351,13 @@ def _hot_rows(joined: DataFrame, key: str, text: str, lists: str, length: int, f
         emit, "w1 long, w2 long, weight int, key long, first long, last long")
 
 
-def repeated_windows(docs: DataFrame, key: str, text: str = "text", length: int = 200, hot: int = 20_000) -> DataFrame:
+def repeated_windows(docs: DataFrame, key: str, text: str = "text", length: int = 200, hot: int = 20_000,
+                     bits: int = POSITION_BITS) -> DataFrame:
     """(key, first, last): stretches of starts of ``length``-byte windows that occur again in any document.
 
     ``docs``: a key column (long) and texts, nulls counting as empty. Rows may share a key if they share the text.
     """
-    found = _anchor_rows(docs, key, text, length)
+    found = _anchor_rows(docs, key, text, length, bits)
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     pick = lambda c: F.collect_set(F.when(c, F.col("at")))
     lists = cut(found.join(often, "h").groupBy(F.col("key").alias("_k")).agg(
@@ -368,7 +376,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id: str = "doc_id", text:
     """``docs`` with a struct ``out``: n_bytes, n_removed, n_spans, kept (the remaining bytes, in a row).
 
     Every byte inside a window of ``length`` bytes that also starts elsewhere, in any document, is removed; windows are
-    judged on the input. Null and empty texts have no bytes. Repeated rows are copies of each other. The remaining
+    judged on the input. A text may have any length. Null and empty texts have no bytes. Repeated rows are copies of each other. The remaining
     bytes need not be UTF-8. A column named ``out`` is replaced.
     """
     key = free_name(docs, "_key")
@@ -386,13 +394,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, id: str = "doc_id", text:
             rows = []
             raws = list(unpacked(batch, packed))
             for raw, found in zip(raws, batch.column("_spans").to_pylist()):
-                gone = np.zeros(len(raw) + 1, np.int64)
-                for x in found or ():
-                    gone[x["first"]] += 1
-                    gone[x["last"] + length] -= 1
-                mark = np.cumsum(gone)[:-1] > 0
-                spans_ = int(np.sum(np.diff(np.concatenate([[0], mark.astype(np.int8)])) == 1))
-                kept = np.frombuffer(raw, np.uint8)[~mark].tobytes()
+                end, spans_, left = 0, 0, []
+                for first, last in sorted((x["first"], x["last"]) for x in found or ()):
+                    if first > end or not spans_:
+                        left.append(raw[end:first])
+                        spans_ += 1
+                    end = max(end, last + length)
+                kept = b"".join([*left, raw[end:]])
                 rows.append({"n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": spans_, "kept": kept})
             there = batch.column("_there").to_pylist()
             back = pa.array([r.decode() if x else None for r, x in zip(raws, there)], pa.string())

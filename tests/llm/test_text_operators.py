@@ -404,6 +404,29 @@ def test_loser_tree():
         assert shared == suffixes.common_prefix(a, b, 0)
 
 
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_repeats_in_texts_beyond_the_position_bits(spark, monkeypatch, hot):
+    """Texts of five stretches of 1,023 bytes; passages cross their borders."""
+    from functools import partial
+
+    rng = np.random.default_rng(hot)
+    passage = "".join(rng.choice(list("abcdefgh "), 900))
+    filler = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    rows = [(0, filler(700) + passage + filler(2500) + passage[100:] + filler(300)), (1, filler(40) + passage[50:600]),
+            (2, filler(3000) + passage), (3, "ab" * 1100), (4, filler(1024)), (5, "short"), (6, None)]
+    monkeypatch.setattr(suffixes, "repeated_windows", partial(suffixes.repeated_windows, hot=hot, bits=10))
+    got = sorted(map(tuple, suffixes.repeat_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    raws = [(i, (t or "").encode()) for i, t in rows]
+    times = Counter(b[k:k + 200] for _, b in raws for k in range(len(b) - 199))
+    want = []
+    for i, b in raws:
+        gone = sorted({j for k in range(len(b) - 199) if times[b[k:k + 200]] > 1 for j in range(k, k + 200)})
+        inside = set(gone)
+        kept = bytes(c for j, c in enumerate(b) if j not in inside)
+        want.append((i, len(b), len(gone), sum(j - 1 not in inside for j in gone), hashlib.sha256(kept).hexdigest()))
+    assert got == want
+
+
 def test_repeats_odd_rows(odd, empty):
     got = suffixes.remove_repeats(odd)
     assert got.count() == odd.count() and suffixes.remove_repeats(empty).count() == 0
