@@ -111,10 +111,10 @@ def edit_distance(longer: Column, shorter: Column, edits: int) -> Column:
     return F.aggregate(masks, begin, step, lambda s: s["score"])
 
 
-def line_rows(docs: DataFrame, id: str, text: str, min_chars: int) -> DataFrame:
-    """(key, doc, line, no) of every line that takes part; ``key`` tells rows of other content apart."""
+def line_rows(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(key, doc, line, no) of every non-empty line; ``key`` tells rows of other content apart."""
     return docs.select(F.col(id).cast("long").alias("doc"), row_key(id, text).alias("key"),
-                       F.posexplode(F.split(text, "\n")).alias("no", "line")).where(F.length("line") >= min_chars)
+                       F.posexplode(F.split(text, "\n")).alias("no", "line")).where(F.length("line") > 0)
 
 
 def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 20, id: str = "doc_id", text: str = "text",
@@ -122,16 +122,18 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 20, id: str =
     """(classes, links). classes: hash pair (f, h) of a distinct line with the class ``f0, h0`` it belongs to, the
     place (doc, key, no) where the class first occurs, and how often the line occurs. links: pairs of distinct lines.
 
-    Only lines of ``min_chars`` characters or more are compared; the first place is the smallest (doc, key, no), a
+    Equal lines are one class at every length. Only lines of ``min_chars`` characters or more are compared with others,
+    since two edits would join unlike short lines; the first place is the smallest (doc, key, no), a
     null id before all others.
     """
-    hashed = line_rows(docs, id, text, min_chars).select(
+    hashed = line_rows(docs, id, text).select(
         F.xxhash64("line").alias("f"), F.xxhash64(F.lit(1), "line").alias("h"), "doc", "key", "no", "line")
     distinct = cut(hashed.groupBy("f", "h").agg(F.min(F.struct("doc", "key", "no")).alias("first"), F.count(F.lit(1)).alias("n")))
     # the text of each distinct line, read where it first occurs
     at = distinct.select("f", "h", F.col("first.doc").alias("doc"), F.col("first.key").alias("key"), F.col("first.no").alias("no"))
-    lines = hashed.join(at, (hashed.f == at.f) & (hashed.h == at.h) & hashed.doc.eqNullSafe(at.doc)
-                        & (hashed.key == at.key) & (hashed.no == at.no), "left_semi").dropDuplicates(["f", "h"])
+    long = hashed.where(F.length("line") >= min_chars)
+    lines = long.join(at, (long.f == at.f) & (long.h == at.h) & long.doc.eqNullSafe(at.doc)
+                        & (long.key == at.key) & (long.no == at.no), "left_semi").dropDuplicates(["f", "h"])
     length = F.length("line")
     lines = lines.select("f", "h", "line", length.alias("len"), _letter_counts(F.col("line")).alias("letters"))
     stored = lines.select(F.col("f").alias("f2"), F.col("h").alias("h2"), F.col("letters").alias("l2"), F.col("len").alias("len2"),
@@ -164,13 +166,13 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, id: str =
     """``docs`` with every line but the first of its class cut out, and a struct ``out``: n_lines, n_exact, n_near.
 
     ``n_exact`` counts removed lines equal to an earlier line, ``n_near`` those that are only near one. Lines of less than
-    ``min_chars`` characters stay. A null text stays null with no lines, an empty one is one empty line. Repeated rows:
+    ``min_chars`` characters go only if they are equal to an earlier line; empty lines stay. A null text stays null with no lines, an empty one is one empty line. Repeated rows:
     rows of equal id and text are one document and get the same result. A column named ``out`` is replaced.
     """
     classes, _ = line_classes(docs, edits, min_chars, id, text)
     # only lines that occur again or are near another one can be removed
     again = classes.where("n > 1 OR near")
-    rows = line_rows(docs, id, text, min_chars).select(
+    rows = line_rows(docs, id, text).select(
         "doc", "key", "no", F.xxhash64("line").alias("f"), F.xxhash64(F.lit(1), "line").alias("h"))
     place = F.struct("doc", "key", "no")
     removed = (rows.join(again, ["f", "h"]).where(~place.eqNullSafe(F.col("class_first")))

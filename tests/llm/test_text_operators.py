@@ -358,6 +358,16 @@ def test_near_lines(spark):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == want
 
 
+def test_equal_short_lines(spark):
+    """Equal lines go at every length; near ones, blank and empty lines below the length bound don't."""
+    rows = [(1, "}\n\nreturn x\nreturn y\n}"), (2, "return x\n\n\n}"), (3, "return z\n  \na line of twenty-five char"),
+            (4, "a line of twenty-five chars\nreturn z")]
+    got = {r["doc_id"]: (r["text"], *r["lines"]) for r in line_dedup.dedup_lines(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("}\n\nreturn x\nreturn y", 5, 1, 0), 2: ("\n", 4, 2, 0),
+                   3: ("return z\n  \na line of twenty-five char", 3, 0, 0), 4: ("", 2, 1, 1)}
+
+
 def test_lines_odd_rows(odd, empty):
     got = line_dedup.dedup_lines(odd, min_chars=5)
     assert got.count() == odd.count() and set(got.columns) == set(odd.columns)
