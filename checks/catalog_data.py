@@ -221,6 +221,34 @@ def identity_report(v):
     return rf.traffic_report(tracks.select("global_id", "class"), hops)[1]
 
 
+# the same four over whole camera pairs: an assignment of any size has no closed SQL form, tests compare it with brute force
+
+def whole_matches(v):
+    """Optimal matches of all tracklets of each camera pair."""
+    return rf.match_cameras(v.tracklets, sim_min=0.3)
+
+
+@query("match_cameras_whole")
+def match_cameras_whole(v):
+    return rounded(whole_matches(v), "sim", digits=9)
+
+
+@query("identities_whole")
+def identities_whole(v):
+    return rf.identities(v.tracklets, whole_matches(v))
+
+
+@query("global_tracks_whole")
+def global_tracks_whole(v):
+    return rf.global_tracks(identities_whole(v), v.tracklets)[0]
+
+
+@query("identity_report_whole")
+def identity_report_whole(v):
+    tracks, hops = rf.global_tracks(identities_whole(v), v.tracklets)
+    return rf.traffic_report(tracks.select("global_id", "class"), hops)[1]
+
+
 @query("stage_flow", "SELECT source, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM v_chunks GROUP BY source")
 def stage_flow(v):
     flow = rf.Stages()

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import runframe as rf
+from checks import catalog_data
 from runframe.functions.assignment import cheapest_allowed, min_cost_assignment
 from runframe.operators.tracking import bid_assignment
 
@@ -145,6 +148,36 @@ def test_match_and_bids(spark):
     assert sum(r.sim for r in bids) >= total[("cam-0", "cam-1")] - 8 * 5e-3
 
 
+def test_whole_camera_pairs(spark):
+    """Both methods, and the queries over whole pairs, against every permutation; partners are far apart by number."""
+    rng = np.random.default_rng(8)
+    n = 5
+    vec = rng.normal(size=(3 * n, 4))
+    vec /= np.linalg.norm(vec, axis=1, keepdims=True)
+    numbers = rng.permutation(200)[:3 * n].tolist()
+    data = [(f"cam-{i % 3 + 1}", numbers[i], "class1", [float(x) for x in vec[i]], 2, "0", "5") for i in range(3 * n)]
+    df = spark.createDataFrame(data, "camera string, tracklet_id long, class string, embedding array<double>, det_count long, "
+                                     "frame_first string, frame_last string")
+    want = set()
+    for a, b in itertools.combinations(range(3), 2):
+        sim = vec[a::3] @ vec[b::3].T
+        best = max(itertools.permutations(range(n)), key=lambda p: sum(sim[i, j] for i, j in enumerate(p)))
+        want |= {(numbers[a::3][i], numbers[b::3][j]) for i, j in enumerate(best) if sim[i, j] >= 0.3}
+    views = SimpleNamespace(tracklets=df)
+    assert {(r.id_i, r.id_j) for r in catalog_data.match_cameras_whole(views).collect()} == want
+    assert {(r.id_i, r.id_j) for r in rf.match_cameras(df, sim_min=0.3, method="auction").collect()} == want
+    assert any(i // 12 != j // 12 for i, j in want)
+    root = {m: m for m in numbers}
+    for _ in numbers:
+        for i, j in want:
+            root[i] = root[j] = min(root[i], root[j], key=lambda m: (numbers.index(m) % 3, m))
+    members = catalog_data.identities_whole(views).collect()
+    assert {r.tracklet_id: r.root_tracklet for r in members} == root
+    sizes = sorted(Counter(root.values()).values())
+    assert sorted(r.hop_count for r in catalog_data.global_tracks_whole(views).collect()) == sizes
+    assert sorted(r.det_count_total for r in catalog_data.identity_report_whole(views).collect()) == [2 * x for x in sizes]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(55)]
