@@ -212,6 +212,13 @@ def order_components(v):
     return rf.connected_components(nodes, lines).groupBy("component").agg(F.count(F.lit(1)).alias("members"))
 
 
+@query("connected_components_whole")
+def connected_components_whole(v):
+    """Component of every order and part over all line items; `connected_components` has those of a few, for its SQL."""
+    lines = v.table("lineitem").selectExpr("l_orderkey AS a", "l_partkey + 1000000000 AS b")
+    return rf.connected_components(lines.select(F.explode(F.array("a", "b")).alias("id")), lines)
+
+
 @query("successors", """
     SELECT run, dep AS task, child AS successor, count(*) OVER (PARTITION BY run, dep) AS n_successors FROM v_edges""")
 def successors(v):

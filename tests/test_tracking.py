@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import runframe as rf
-from checks import catalog_data
+from checks import catalog_data, catalog_windows
 from runframe.functions.assignment import cheapest_allowed, min_cost_assignment
 from runframe.operators.tracking import bid_assignment
 
@@ -196,6 +196,19 @@ def test_components(spark):
     assert {r.id: r.component for r in got} == {n: find(n) for n in range(80)}
 
 
+def test_components_of_all_line_items(spark):
+    """Every line item links, whatever its date and quantity; against repeated minima."""
+    rng = random.Random(6)
+    lines = [(rng.randrange(60), rng.randrange(70), rng.choice(["1994-03-01", "2000-05-01"]), rng.randrange(1, 51)) for _ in range(75)]
+    df = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_shipdate string, l_quantity int")
+    got = catalog_windows.connected_components_whole(SimpleNamespace(table=lambda name: df)).collect()
+    label = {x: x for o, p, _, _ in lines for x in (o, p + 10 ** 9)}
+    for _ in lines:
+        for o, p, _, _ in lines:
+            label[o] = label[p + 10 ** 9] = min(label[o], label[p + 10 ** 9])
+    assert {r["id"]: r["component"] for r in got} == label and len(got) == len(label)
+
+
 def test_hot_component_star(spark):
     """One node touches a third of all edges; a long chain needs several rounds."""
     edges = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(300, 500)]
