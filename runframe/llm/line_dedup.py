@@ -128,9 +128,10 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 20, id: str =
     """
     hashed = line_rows(docs, id, text).select(
         F.xxhash64("line").alias("f"), F.xxhash64(F.lit(1), "line").alias("h"), "doc", "key", "no", "line")
-    distinct = cut(hashed.groupBy("f", "h").agg(F.min(F.struct("doc", "key", "no")).alias("first"), F.count(F.lit(1)).alias("n")))
-    # the text of each distinct line, read where it first occurs
-    at = distinct.select("f", "h", F.col("first.doc").alias("doc"), F.col("first.key").alias("key"), F.col("first.no").alias("no"))
+    distinct = cut(hashed.groupBy("f", "h").agg(F.min(F.struct("doc", "key", "no")).alias("first"), F.count(F.lit(1)).alias("n"),
+                                             F.max(F.length("line")).alias("len")))
+    # the text of each distinct line that is compared, read where it first occurs
+    at = distinct.where(F.col("len") >= min_chars).select("f", "h", F.col("first.doc").alias("doc"), F.col("first.key").alias("key"), F.col("first.no").alias("no"))
     long = hashed.where(F.length("line") >= min_chars)
     lines = long.join(at, (long.f == at.f) & (long.h == at.h) & long.doc.eqNullSafe(at.doc)
                         & (long.key == at.key) & (long.no == at.no), "left_semi").dropDuplicates(["f", "h"])
