@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from runframe.llm import (
-    brown, decontaminate, licenses, line_dedup, multi_index, ngram_join, sampling, suffixes, tokenfile, toxicity)
+    brown, decontaminate, licenses, line_dedup, multi_index, ngram_join, resample, sampling, suffixes, tokenfile, toxicity)
 from runframe.llm.common import table
 
 
@@ -57,10 +57,14 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, folder, "documents"))
 
 
+def op13_resample(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_class_model, op2_line_dedup, op3_toxicity, op4_repeated_bytes, op5_sampled_segmentations, op6_decontamination,
-        op7_license_scan, op8_token_file, op9_near_vectors, op10_ngram_join)
+        op7_license_scan, op8_token_file, op9_near_vectors, op10_ngram_join, op13_resample)
 }
 ORACLES: dict[str, str] = {
     "op6_decontamination": decontaminate.SQL,
