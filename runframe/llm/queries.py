@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from runframe.llm import (
-    brown, decontaminate, licenses, line_dedup, multi_index, ngram_join, packing, resample, sampling, suffixes, tokenfile, toxicity)
+    brown, decontaminate, licenses, line_dedup, multi_index, ngram_join, packing, ranking, resample, sampling, suffixes, tokenfile, toxicity)
 from runframe.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, folder, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.search_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packing_report(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -68,10 +72,11 @@ def op13_resample(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_class_model, op2_line_dedup, op3_toxicity, op4_repeated_bytes, op5_sampled_segmentations, op6_decontamination,
-        op7_license_scan, op8_token_file, op9_near_vectors, op10_ngram_join, op12_packing, op13_resample)
+        op7_license_scan, op8_token_file, op9_near_vectors, op10_ngram_join, op11_ranked_search, op12_packing, op13_resample)
 }
 ORACLES: dict[str, str] = {
     "op6_decontamination": decontaminate.SQL,
     "op9_near_vectors": multi_index.SQL,
     "op10_ngram_join": ngram_join.SQL,
+    "op11_ranked_search": ranking.SQL,
 }
