@@ -21,30 +21,45 @@ from runframe.llm.common import groups, lengths_to_starts, ranges
 #: Fixed value: the split rule of the files that the short way understands.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same rule for lower-cased words of printable ASCII and Latin-1 letters.
-RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+| ")
+OTHER = re.compile(r"[^ -~À-ÖØ-öø-ÿ]|<\|")
 #: Blanks for Python's split, but not for the tokenizer.
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
-CALL = 5000
+CALL = 100
+
+
+class Numbers(dict):
+    """Strings numbered by order of arrival; those not yet learnt wait in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, name: str) -> int:
+        self.new.append(name)
+        self[name] = number = len(self)
+        return number
+
+    def of(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, strings), np.int64, len(strings))
 
 
 class Store:
-    """Id sequences by string: numbers by order of arrival, ids in one array."""
+    """Id sequences by number, ids in one array."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
+        self.number, self.n = Numbers(), 0
         self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
 
-    def add(self, names: Sequence[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.number)
-        used = int(self.starts[n])
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        used, n = int(self.starts[self.n]), self.n + len(sizes)
         while used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(names) >= len(self.starts):
+        while n >= len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         self.ids[used:used + len(flat)] = flat
-        self.starts[n + 1:n + 1 + len(names)] = used + np.cumsum(sizes)
-        self.number.update(zip(names, range(n, n + len(names))))
+        self.starts[self.n + 1:n + 1] = used + np.cumsum(sizes)
+        self.n = n
 
     def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after the other, ids of each)."""
@@ -57,7 +72,7 @@ class WordEncoder:
     """Ids of whole texts, as the tokenizers library gives them without special tokens of its own."""
 
     def __init__(self, path: str, limit: int = 400_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         with open(path, encoding="utf-8") as file:
@@ -69,10 +84,18 @@ class WordEncoder:
             vocabulary = rules["model"]["vocab"]
             self.last = np.zeros(max(vocabulary.values()) + 1, bool)
             self.last[[i for piece, i in vocabulary.items() if piece.endswith(mark)]] = True
+            # runs are lower-cased and split already
+            self.by_run = Tokenizer.from_file(path)
+            self.by_run.normalizer = normalizers.Sequence([])
+            self.by_run.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.clear()
 
     def clear(self) -> None:
         self.words, self.runs = Store(), Store()
+        self.blank = self.runs.number[" "]  # stands between words and has no ids
+        self.runs.number.new.clear()
+        self.runs.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def _library(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -81,27 +104,38 @@ class WordEncoder:
 
     def _learn_runs(self, runs: list[str]) -> None:
         joined = [" ".join(runs[i:i + CALL]) for i in range(0, len(runs), CALL)]
-        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.by_run.encode_batch_fast(joined, add_special_tokens=False)])
         ends = np.flatnonzero(self.last[flat])
         if len(ends) != len(runs):
             raise ValueError("the tokenizer file does not mark the last piece of every run")
-        self.runs.add(runs, flat, np.diff(ends, prepend=-1))
+        self.runs.add(flat, np.diff(ends, prepend=-1))
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are made of known kinds of runs."""
+        number = self.runs.number
+        runs = number.of(RUNS.findall(" ".join(words).lower()))
+        if number.new:
+            self._learn_runs(number.new)
+            number.new = []
+        flat, sizes = self.runs.of(runs)
+        ends = np.append(np.flatnonzero(runs == self.blank), len(runs))
+        return flat, np.diff(lengths_to_starts(sizes)[ends], prepend=0)
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if PLAIN.fullmatch(w) and "<|" not in w]
-        if plain:
-            parts = [RUNS.findall(w.lower()) for w in plain]
-            known = self.runs.number
-            new = list(dict.fromkeys(r for p in parts for r in p if r not in known))
-            if new:
-                self._learn_runs(new)
-            counts = np.fromiter(map(len, parts), np.int64, len(parts))
-            flat, sizes = self.runs.of(np.fromiter((known[r] for p in parts for r in p), np.int64, counts.sum()))
-            self.words.add(plain, flat, np.diff(lengths_to_starts(sizes)[lengths_to_starts(counts)]))
-        if len(plain) < len(words):
-            taken = set(plain)
-            rest = [w for w in words if w not in taken]
-            self.words.add(rest, *self._library(rest))
+        if not OTHER.search(" ".join(words)):
+            self.words.add(*self._plain(words))
+            return
+        odd = np.array([OTHER.search(w) is not None for w in words])
+        sizes, flat = np.zeros(len(words), np.int64), []
+        for which, ids_of in ((odd, self._library), (~odd, self._plain)):
+            if which.any():
+                ids, sizes[which] = ids_of([w for w, x in zip(words, which) if x])
+                flat.append(ids)
+        # both kinds back in the order of the words
+        starts = np.empty(len(words), np.int64)
+        order = np.concatenate([np.flatnonzero(odd), np.flatnonzero(~odd)])
+        starts[order] = lengths_to_starts(sizes[order])[:-1]
+        self.words.add(np.concatenate(flat)[ranges(starts, sizes)], sizes)
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids of each text)."""
@@ -111,12 +145,12 @@ class WordEncoder:
             self.clear()
         words = [t.split() if not any(c in t for c in ODD_BLANKS) else re.findall(r"[^ \n]+", t) for t in texts]
         per_text = np.fromiter(map(len, words), np.int64, len(words))
-        flat = [w for ws in words for w in ws]
         number = self.words.number
-        new = list(dict.fromkeys(w for w in flat if w not in number))
-        if new:
-            self._learn(new)
-        ids, sizes = self.words.of(np.fromiter(map(number.__getitem__, flat), np.int64, len(flat)))
+        which = number.of([w for ws in words for w in ws])
+        if number.new:
+            self._learn(number.new)
+            number.new = []
+        ids, sizes = self.words.of(which)
         return ids, np.diff(lengths_to_starts(sizes)[lengths_to_starts(per_text)])
 
     def encode_all(self, texts: Sequence[str], size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
