@@ -37,6 +37,5 @@ from runframe.sources.readers import (
     flow_columns, links_from_map, parse_flow_lines, read_agent_metrics, read_blobs, read_flows,
     read_jsonl_docs, read_links, read_runs, read_two_hop, two_hop_columns)
 from runframe.sources.sinks import append_flows, append_history, size_shards, write_report, write_shards
-from runframe.streaming.operators import (
-    append_once, ema_stream, fold_batches, latest_state, on, on_batch, phase_changes, publish, ready_stream,
-    rolling_metrics, subscribe, track_stream)
+from runframe.streaming.keyed import ema_stream, phase_changes, ready_stream, track_stream
+from runframe.streaming.operators import append_once, latest_state, on, on_batch, publish, rolling_metrics, subscribe

@@ -8,12 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runframe.functions.geometry import BOX
-from runframe.functions.runtime import cut, names
-from runframe.operators.aggregates import ema_profile
-from runframe.operators.scan import scan
-from runframe.operators.tracking import track
-from runframe.operators.windows import latest
+from runframe.functions.runtime import names
 
 # fixed values: states a task or a transfer may be in
 TASK_STATES = ("Pending", "Running", "ComputeDone", "Failed")
@@ -52,25 +47,30 @@ def on_batch(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, int], N
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
 
 
-def rolling_metrics(msgs: DataFrame, window: str = "10 seconds", slide: str = "1 second",
-                    watermark: str | None = "10 seconds", seconds: float = 10.0) -> DataFrame:
-    """Messages, bytes and latency per peer over a sliding window of receive time.
+def rolling_metrics(msgs: DataFrame, window: int = 10, slide: int = 1, watermark: str = "10 seconds") -> DataFrame:
+    """Messages, bytes and latency per peer over a sliding window (seconds) of receive time.
 
-    ``msgs``: peer, recv_ts, sent_ts (null when unstamped), bytes. A peer with a large share of the
-    messages is combined per task before the shuffle, so its windows stay small.
+    ``msgs``: peer, recv_ts, sent_ts (null when unstamped), bytes. Messages are first summed in panes of one slide, so each
+    is shuffled once at most and a busy peer is combined per task; the windows are made of panes, not of messages.
+    A stream hands on each window once, when the watermark has passed its end (append mode).
     """
+    if window % slide:
+        raise ValueError("a window is a whole number of slides")
     gap = (F.unix_micros("recv_ts") - F.unix_micros("sent_ts")) / 1e6
-    timed = msgs.withColumn("latency", F.when(gap.isNotNull(), F.greatest(gap, F.lit(0.0))))
-    if msgs.isStreaming and watermark:
+    timed = msgs.withColumn("_lat", F.when(gap.isNotNull(), F.greatest(gap, F.lit(0.0))))
+    if msgs.isStreaming:
         timed = timed.withWatermark("recv_ts", watermark)
-    stamped = F.when(F.col("latency").isNotNull(), F.col("recv_ts"))
-    out = timed.groupBy(F.window("recv_ts", window, slide), "peer").agg(
-        F.count(F.lit(1)).alias("msgs"), F.sum("bytes").alias("bytes"),
-        F.max_by("latency", F.struct(stamped, F.col("latency"))).alias("last_latency"),
-        F.avg("latency").alias("avg_latency"), F.max("latency").alias("max_latency"))
+    at = F.struct(F.when(F.col("_lat").isNotNull(), F.col("recv_ts")).alias("at"), F.col("_lat").alias("lat"))
+    panes = timed.groupBy(F.window("recv_ts", f"{slide} seconds"), "peer").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.count("_lat").alias("stamped"), F.sum("_lat").alias("lat_sum"),
+        F.max("_lat").alias("lat_max"), F.max(at).alias("newest"))
+    out = (panes.groupBy(F.window(F.window_time("window"), f"{window} seconds", f"{slide} seconds"), "peer")
+           .agg(F.sum("n").alias("msgs"), F.sum("bytes").alias("bytes"), F.max("newest").alias("newest"),
+                (F.sum("lat_sum") / F.sum("stamped")).alias("avg_latency"), F.max("lat_max").alias("max_latency")))
+    seconds = float(window)
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "peer", "msgs",
-                      (F.col("msgs") / seconds).alias("msgs_per_sec"), "bytes",
-                      (F.col("bytes") / seconds).alias("bytes_per_sec"), "last_latency", "avg_latency", "max_latency")
+                      (F.col("msgs") / seconds).alias("msgs_per_sec"), "bytes", (F.col("bytes") / seconds).alias("bytes_per_sec"),
+                      F.col("newest.lat").alias("last_latency"), "avg_latency", "max_latency")
 
 
 def latest_state(events: DataFrame, keys: str | Sequence[str], valid: Sequence[str] = TASK_STATES,
@@ -85,128 +85,6 @@ def latest_state(events: DataFrame, keys: str | Sequence[str], valid: Sequence[s
     return known.groupBy(*keys).agg(newest.alias("_s")).select(*keys, "_s.*")
 
 
-Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
-
-
-def fold_batches(stream: DataFrame, folder: str, checkpoint: str, step: Step):
-    """Run ``step(batch, state) -> (output, state)`` per micro-batch with the state as a table.
-
-    Output and state of batch n are written below ``folder`` under n, and batch n reads the state of n-1,
-    so a batch that is run again after a failure replaces its own files. The two newest states are kept.
-    Inside a batch the work is ordinary joins and aggregates, so a hot key is split as in a batch job.
-    """
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state = spark.read.parquet(f"{folder}/state/{number - 1}") if number else None
-        held = batch.persist()
-        output, after = step(held, state)
-        after.write.mode("overwrite").parquet(f"{folder}/state/{number}")
-        output.write.mode("overwrite").parquet(f"{folder}/output/batch={number}")
-        held.unpersist()
-        if number > 1:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state/{number - 2}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
-
-
-def phase_changes(key: str | Sequence[str], value: str = "phase", order: str = "at") -> Step:
-    """Step that emits the rows at which a key's phase differs from the one before.
-
-    Rows older than the newest one already seen for their key are ignored.
-    """
-    keys = names(key)
-
-    def step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        rows = batch.select(*keys, order, value).withColumn("_new", F.lit(1))
-        if state is not None:
-            seen = state.select(*keys, F.col(order).alias("_seen"))
-            rows = rows.join(seen, keys, "left").where(F.col("_seen").isNull() | (F.col(order) >= F.col("_seen"))).drop("_seen")
-            rows = rows.unionByName(state.withColumn("_new", F.lit(0)))
-        before = scan(rows, keys, [order, "_new", value], {"_was": ("lag", F.col(value))})
-        changed = before.where((F.col("_new") == 1) & ~F.col("_was").eqNullSafe(F.col(value)))
-        return changed.select(*keys, order, value), latest(rows, keys, [order, "_new", value]).drop("_new")
-
-    return step
-
-
-def ready_stream(edges: DataFrame, assign: DataFrame) -> Step:
-    """Step that emits a task once all its dependencies are present on the task's node.
-
-    Batches hold ready-markers: run, task, node. ``edges``: run, task, dep. ``assign``: run, task, node. The
-    state holds the deliveries of tasks still waiting and the tasks already emitted. Tasks without
-    dependencies never wait and are not emitted.
-    """
-    counts = edges.distinct().groupBy("run", "task").agg(F.count(F.lit(1)).alias("n_deps"))
-    wanted = (edges.distinct().join(assign, ["run", "task"])
-              .select("run", F.col("task").alias("_task"), F.col("dep").alias("task"), "node"))
-
-    def step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        came = (batch.select("run", "task", "node").distinct().join(wanted, ["run", "task", "node"])
-                .select("run", F.col("_task").alias("task"), F.col("task").alias("dep")))
-        done = None
-        if state is not None:
-            done = state.where("dep IS NULL")
-            came = came.join(done, ["run", "task"], "left_anti").unionByName(state.where("dep IS NOT NULL"))
-        seen = came.distinct()
-        full = (seen.groupBy("run", "task").agg(F.count(F.lit(1)).alias("_n")).join(counts, ["run", "task"])
-                .where("_n = n_deps").select("run", "task"))
-        waiting = seen.join(full, ["run", "task"], "left_anti")
-        after = waiting.unionByName(full.withColumn("dep", F.lit(None).cast("string")))
-        return full, after if done is None else after.unionByName(done)
-
-    return step
-
-
-def ema_stream(keys: str | Sequence[str], value: str = "runtime", data: str = "data_bytes",
-               order: str | Sequence[str] = "at", alpha: float = 0.3, max_samples: int = 100) -> Step:
-    """Step that carries moving averages per key from batch to batch; output is the new profile of touched keys.
-
-    The old average enters as the first observation of the batch, which continues the fold exactly.
-    """
-    keys, order = names(keys), names(order)
-
-    def step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        rows = batch.select(*keys, *order, F.col(value).cast("double").alias(value), F.col(data).cast("double").alias(data),
-                            F.lit(1).alias("_new"), F.lit(1).cast("long").alias("_count"))
-        if state is not None:
-            rows = rows.unionByName(state.select(
-                *keys, *[F.lit(None).cast(batch.schema[o].dataType).alias(o) for o in order],
-                F.col(f"{value}_ema").alias(value), F.col("data_ema").alias(data), F.lit(0).alias("_new"),
-                F.col("samples").alias("_count")))
-        folded = ema_profile(rows, keys, ["_new", *order], value, data, alpha, max_samples).drop("samples")
-        counted = rows.groupBy(*keys).agg(F.least(F.sum("_count"), F.lit(max_samples)).cast("long").alias("samples"),
-                                          F.max("_new").alias("_touched"))
-        after = folded.join(counted, keys)
-        return after.where("_touched = 1").drop("_touched"), after.drop("_touched")
-
-    return step
-
-
 def append_once(stream: DataFrame, id: str | Sequence[str], ts: str, watermark: str = "1 hour") -> DataFrame:
     """Each id once within the watermark, for append sinks that may see retries."""
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(names(id))
-
-
-def track_stream(by: str | Sequence[str] = "camera", max_age: int = 5, id: str = "det_id",
-                 embedding: str = "embedding", **options) -> Step:
-    """Step that tracks one micro-batch and carries the open tracks; equals ``track`` over all batches.
-
-    Frames arrive whole and in order. The state is the last detection of every track young enough to
-    be continued; it enters the next batch as a detection that may be matched but never matches.
-    """
-    keys = names(by)
-    columns = [*keys, "frame_index", id, *BOX, embedding]
-
-    def step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        rows = batch.select(*columns).withColumn("_open", F.lit(False))
-        if state is not None:
-            rows = rows.unionByName(state.select(*columns).withColumn("_open", F.lit(True)))
-        tracked = cut(track(rows, keys, max_age=max_age, id=id, embedding=embedding, opened="_open", **options))
-        last = latest(tracked, [*keys, "track_id"], ["frame_index", "_open"])
-        now = tracked.groupBy(*keys).agg(F.max("frame_index").alias("_now"))
-        young = last.join(now, keys).where(F.col("_now") - F.col("frame_index") <= max_age)
-        after = young.drop(id).withColumnRenamed("track_id", id).select(*columns)
-        return tracked.where("NOT _open").select(*keys, "frame_index", id, "track_id"), after
-
-    return step
