@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 HOT_GROUP_CONF = "spark.runframe.hotGroupRows"
 HOT_GROUP_ROWS = 2_000_000
+#: A group is also too large for one task only beyond this part of all rows, which bounds the number of such groups.
+HOT_PARTS_CONF = "spark.runframe.hotGroupParts"
+HOT_PARTS = 10_000
 
 
 def configure(spark: SparkSession) -> SparkSession:

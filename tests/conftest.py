@@ -19,7 +19,9 @@ def spark(tmp_path_factory):
 def hot(spark):
     """Every group counts as too large for one task, and partitions stay apart."""
     spark.conf.set("spark.runframe.hotGroupRows", "0")
+    spark.conf.set("spark.runframe.hotGroupParts", "20")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield spark
     spark.conf.unset("spark.runframe.hotGroupRows")
+    spark.conf.unset("spark.runframe.hotGroupParts")
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
