@@ -21,7 +21,8 @@ from runframe.operators.joins import (
 from runframe.operators.scan import scan
 from runframe.operators.sorting import by_created, cell_sort_key, natural_rep, sort_runs, top_values
 from runframe.operators.stats import (
-    cell_stats, grouped_means, histogram, history_stats, nearest_rank, paired_bootstrap, prediction_error,
+    cell_stats, grouped_means, histogram, history_stats, nearest_rank, paired_bootstrap, percentiles,
+    prediction_error,
     seed_speedup_median, sensitivity, speedup, verdict)
 from runframe.operators.text import (
     bucket_index, chunk, embed, feature_hash, index_summary, merge_index, retrieval_report, retrieve, to_dense)

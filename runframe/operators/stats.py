@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runframe.functions.runtime import names, same
-from runframe.operators.scan import has_hot_group, largest_group, scan
+from runframe.functions.runtime import HOT_GROUP_CONF, HOT_GROUP_ROWS, cut, int_conf, names, same
+from runframe.operators.scan import largest_group, scan
 
 RULES = ("lower", "round", "floor", "trunc", "pct", "linear")
 
@@ -28,38 +29,129 @@ def _rank_of(p: float, n: Column, rule: str) -> Column:
     return place.cast("long")
 
 
-def nearest_rank(df: DataFrame, by: str | Sequence[str], value: str, p: float, rule: str,
-                 name: str = "percentile") -> DataFrame:
-    """Exact percentile per group by one of ``lower round floor trunc pct linear``.
+#: Buckets that an interval of values is split into, once per pass.
+BUCKETS = 1024
+
+
+def percentiles(df: DataFrame, by: str | Sequence[str], value: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
+    """Exact percentiles per group, all from the same passes. ``wanted`` maps a column name to (p, rule).
 
-    Equal values are counted together before the shuffle and the rank is found by a running
-    count, so no group is ever held in one place.
+    A group that one task can order is: its equal values are counted map-side and numbered by a running count. A larger
+    group is narrowed instead. Each pass counts its values in BUCKETS buckets of the interval that holds a wanted rank, and goes on with
+    the least and the greatest value of the one bucket that holds it, until the values left are few or equal. Only bucket counts are
+    shuffled then, never the group's values. Every pass sets the interval's two ends apart, so it ends for any distribution.
     """
-    keys = names(by)
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x"))
-              .agg(F.count(F.lit(1)).alias("_c")))
-    upto = scan(counts, keys, "_x", {"_cum": ("sum", F.col("_c")), "_n": ("total", F.col("_c"))},
-                has_hot_group(df, keys))
+    keys, spark = names(by), df.sparkSession
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
+    few = int_conf(spark, HOT_GROUP_CONF, HOT_GROUP_ROWS)
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    largest = groups.agg(F.max("_n")).first()[0] or 0
+    places = _places(wanted)
+    small = rows
+    if largest > few:
+        own = [F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]
+        match = reduce(lambda m, i: m & F.col(keys[i]).eqNullSafe(F.col(f"_g{i}")), range(len(keys)), F.lit(True))
+        small = rows.join(groups.where(F.col("_n") > few).select(*own), match, "left_anti") if keys else rows.where(F.lit(False))
+    counts = small.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*keys)
+    upto = counts.withColumns({"_cum": F.sum("_c").over(group.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)),
+                               "_n": F.sum("_c").over(group)})
+    ranked = upto.withColumn("_t", F.explode(places)).select(*keys, "_n", "_cum", "_c", "_x", "_t.*")
+    found = ranked.where(_holds("_cum", "_c")).select(*keys, "_n", "_name", F.col("_x").alias("_v"))
+    if largest > few:
+        found = found.unionByName(_narrowed(rows, groups.where(F.col("_n") > few), keys, places, few))
+    picked = found.groupBy(*keys).agg(F.max("_n").alias("_n"), *[
+        F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(f"_v_{i}") for i, n in enumerate(_targets(wanted))])
+    at = {n: f"_v_{i}" for i, n in enumerate(_targets(wanted))}
+    out = {}
+    for name, (p, rule) in wanted.items():
+        if rule == "linear":
+            exact = (F.col("_n") - 1) * F.lit(float(p))
+            low, high = F.col(at[name + " low"]), F.col(at[name + " high"])
+            out[name] = (low + (high - low) * (exact - F.floor(exact))).cast("double")
+        else:
+            out[name] = F.col(at[name]).cast("double")
+    return picked.select(*keys, *[c.alias(n) for n, c in out.items()])
+
+
+def _targets(wanted: dict[str, tuple[float, str]]) -> list[str]:
+    return [t for n, (_, rule) in wanted.items() for t in ([n + " low", n + " high"] if rule == "linear" else [n])]
+
+
+def _places(wanted: dict[str, tuple[float, str]]) -> Column:
+    """The zero-based ranks of a group of ``_n`` values that are asked for, by name."""
+    n, out = F.col("_n"), []
+    for name, (p, rule) in wanted.items():
+        if rule == "linear":
+            low = F.floor((n - 1) * F.lit(float(p))).cast("long")
+            out += [(name + " low", low), (name + " high", F.least(low + 1, n - 1))]
+        else:
+            out.append((name, _rank_of(p, n, rule)))
+    return F.array(*[F.struct(F.lit(name).alias("_name"), place.alias("_k")) for name, place in out])
+
+
+def _holds(cum: str, count: str) -> Column:
+    return (F.col(cum) > F.col("_k")) & (F.col(cum) - F.col(count) <= F.col("_k"))
+
+
+def _narrowed(rows: DataFrame, groups: DataFrame, keys: list[str], places: Column, few: int) -> DataFrame:
+    """(keys, _n, _name, _v) of the large ``groups``."""
+    state = cut(groups.withColumn("_t", F.explode(places)).select(
+        *keys, "_n", "_t.*", "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_in")))
+    wide = (F.col("_in") > few) & (F.col("_lo") < F.col("_hi"))
+
+    def inside(targets: DataFrame) -> DataFrame:
+        """Rows beside each wanted rank of their group whose interval holds them."""
+        own = targets.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], "_n", "_name", "_k", "_lo", "_hi", "_below")
+        match = F.col("_x").between(F.col("_lo"), F.col("_hi"))
+        match = reduce(lambda m, i: m & F.col(keys[i]).eqNullSafe(F.col(f"_g{i}")), range(len(keys)), match)
+        return rows.join(own if keys else F.broadcast(own), match).drop(*[f"_g{i}" for i in range(len(keys))])  # without keys: a row per rank
+
+    def bucket(turn: int) -> Column:
+        """Bucket of a value in its interval, rising with the value; the two ends have buckets of their own.
+
+        Every other pass splits by roots (halvings of the exponent), which spreads values of many magnitudes. Differences of
+        halves do not overflow, and every step is rounded correctly, so larger values never get smaller buckets.
+        """
+        def place(c: str) -> Column:
+            x = F.col(c).cast("double")
+            if turn % 2 == 0:
+                return x / 2
+            return F.signum(x) * reduce(lambda y, _: F.sqrt(y), range(6), F.abs(x))
+
+        share = F.nanvl((place("_x") - place("_lo")) / (place("_hi") - place("_lo")), F.lit(0.5))
+        middle = F.greatest(F.lit(1), F.least(F.lit(BUCKETS - 2), F.floor(share * BUCKETS)))
+        return F.when(F.col("_x") == F.col("_lo"), 0).when(F.col("_x") == F.col("_hi"), BUCKETS - 1).otherwise(middle)
+
+    facts = [F.max(c).alias(c) for c in ("_n", "_k", "_below")]
+    upto = Window.partitionBy(*keys, "_name").rowsBetween(Window.unboundedPreceding, 0)  # at most BUCKETS rows
+    turn = 0
+    while not state.where(wide).isEmpty():
+        counted = inside(state.where(wide)).groupBy(*keys, "_name", bucket(turn).alias("_b")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), *facts)
+        summed = counted.withColumn("_cum", F.sum("_c").over(upto.orderBy("_b")) + F.col("_below")).where(_holds("_cum", "_c"))
+        state = cut(state.where(~wide).unionByName(summed.select(
+            *keys, "_n", "_name", "_k", "_lo", "_hi", (F.col("_cum") - F.col("_c")).alias("_below"), F.col("_c").alias("_in"))))
+        turn += 1
+    settled = state.where(F.col("_lo") == F.col("_hi")).select(*keys, "_n", "_name", F.col("_lo").alias("_v"))
+    counts = inside(state.where(F.col("_lo") < F.col("_hi"))).groupBy(*keys, "_name", "_x").agg(F.count(F.lit(1)).alias("_c"), *facts)
+    summed = counts.withColumn("_cum", F.sum("_c").over(upto.orderBy("_x")) + F.col("_below"))  # at most ``few`` rows
+    return settled.unionByName(summed.where(_holds("_cum", "_c")).select(*keys, "_n", "_name", F.col("_x").alias("_v")))
 
-    def holds(place: Column) -> Column:
-        return (F.col("_cum") > place) & (F.col("_cum") - F.col("_c") <= place)
 
-    if rule != "linear":
-        return (upto.where(holds(_rank_of(p, F.col("_n"), rule)))
-                .select(*keys, F.col("_x").cast("double").alias(name)))
-    exact = (F.col("_n") - 1) * F.lit(float(p))
-    low = F.floor(exact)
-    high = F.least(low + 1, F.col("_n") - 1)
-    near = upto.where(holds(low) | holds(high)).withColumn("_frac", exact - low)
-    return near.groupBy(*keys).agg(
-        (F.min("_x") + (F.max("_x") - F.min("_x")) * F.max("_frac")).cast("double").alias(name))
+def nearest_rank(df: DataFrame, by: str | Sequence[str], value: str, p: float, rule: str,
+                 name: str = "percentile") -> DataFrame:
+    """Exact percentile per group by one of ``lower round floor trunc pct linear``; see ``percentiles``."""
+    return percentiles(df, by, value, {name: (p, rule)})
 
 
 def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     if not keys:
         return left.withColumns({c: right.select(c).scalar() for c in right.columns})  # one row
-    kept = [left[c] for c in left.columns] + [right[c] for c in right.columns if c not in keys]
-    return left.join(right, same(left, right, keys), "left").select(*kept)
+    own = {f"_beside_{k}": k for k in keys}  # names of its own, since both sides may come from one frame
+    met = right.select(*[F.col(k).alias(n) for n, k in own.items()], *[c for c in right.columns if c not in keys])
+    match = reduce(lambda m, n: m & F.col(own[n]).eqNullSafe(F.col(n)), own, F.lit(True))
+    return left.join(met, match, "left").drop(*own)
 
 
 def cell_stats(df: DataFrame, by: str | Sequence[str], value: str, pctl: str = "lower") -> DataFrame:
@@ -77,8 +169,7 @@ def history_stats(runs: DataFrame, by: str | Sequence[str], value: str = "makesp
     base = good.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"),
         F.max(value).alias("max"), F.stddev_pop(value).alias("std"))
-    out = _beside(base, nearest_rank(good, keys, value, 0.5, "linear", "median"), keys)
-    return _beside(out, nearest_rank(good, keys, value, 0.95, "floor", "p95"), keys)
+    return _beside(base, percentiles(good, keys, value, {"median": (0.5, "linear"), "p95": (0.95, "floor")}), keys)
 
 
 def histogram(df: DataFrame, by: str | Sequence[str], value: str, bins: int, zero_span: float = 1.0) -> DataFrame:
@@ -88,12 +179,11 @@ def histogram(df: DataFrame, by: str | Sequence[str], value: str, bins: int, zer
     span = clean.groupBy(*keys).agg(F.min("_x").cast("double").alias("_lo"), F.max("_x").cast("double").alias("_hi"))
     range_ = F.when(F.col("_hi") - F.col("_lo") < 1e-9, F.lit(float(zero_span))).otherwise(F.col("_hi") - F.col("_lo"))
     span = span.withColumn("_w", range_ / bins)
-    # counting equal values first keeps the row-to-group join small
-    counted = clean.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
     place = F.floor((F.col("_x") - F.col("_lo")) / F.col("_w"))
-    counts = (_beside(counted, span, keys)
+    # a row meets its group's span and falls into a bin before anything is shuffled for the counts
+    counts = (_beside(clean, span, keys)
               .withColumn("bin", F.greatest(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("int"))
-              .groupBy(*keys, "bin").agg(F.sum("_c").alias("_count")))
+              .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_count")))
     every = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     joined = every.join(counts, same(every, counts, [*keys, "bin"]), "left")
     return joined.select(*[every[k] for k in keys], every["bin"],
@@ -177,7 +267,7 @@ def paired_bootstrap(deltas: DataFrame, baseline: DataFrame, by: str | Sequence[
     base = deltas.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.avg("delta").alias("mean_delta"),
         F.count_if(F.col("delta") > 0).alias("wins"))
-    means = (_means_by_array if largest_group(deltas, keys) <= array_rows else _means_by_join)(
+    means = (_means_by_array if largest_group(deltas, keys)[1] <= array_rows else _means_by_join)(
         deltas, keys, order, resamples, seed)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("mean", "r"))  # ``resamples`` rows per cell
     ranked = means.withColumn("_k", place - 1)

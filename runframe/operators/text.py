@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runframe.operators.stats import nearest_rank
+from runframe.operators.stats import percentiles
 from runframe.operators.windows import shard_offsets, top_k
 
 # fixed value: whitespace as the reference embedder splits it
@@ -244,6 +244,4 @@ def retrieval_report(hits: DataFrame, latencies: DataFrame, query: str = "query_
     """Hits of each query as one ordered list (scores 4 dp), and latency p50 and p95 (truncated rank)."""
     entry = F.struct("rank", F.col(id).alias("chunk_id"), F.round("score", 4).alias("score"))
     per_query = hits.groupBy(query).agg(F.sort_array(F.collect_list(entry)).alias("hits"))  # k entries each
-    p50 = nearest_rank(latencies, None, latency, 0.5, "trunc", "latency_p50")
-    p95 = nearest_rank(latencies, None, latency, 0.95, "trunc", "latency_p95")
-    return per_query, p50.withColumn("latency_p95", p95.scalar())
+    return per_query, percentiles(latencies, None, latency, {"latency_p50": (0.5, "trunc"), "latency_p95": (0.95, "trunc")})

@@ -43,6 +43,38 @@ def test_linear_and_cell_stats(hot):
     assert overall.n == len(data)
 
 
+def test_percentiles_of_any_distribution(spark, monkeypatch):
+    """Large groups are narrowed bucket by bucket: outliers, ties, infinities and both signs, for several ranks at once."""
+    rng = random.Random(9)
+    shapes = {
+        "normal": [rng.gauss(0, 1) for _ in range(700)], "ties": [float(rng.randrange(3)) for _ in range(700)], "one": [7.0] * 500,
+        "far": [10.0 ** rng.randrange(-300, 300) for _ in range(400)], "signs": [rng.choice([-1, 1]) * 10.0 ** rng.randrange(-9, 9) for _ in range(400)],
+        "ends": [float("-inf")] * 30 + [float("inf")] * 30 + [rng.random() for _ in range(40)], "few": [3.0, 1.0, 2.0], None: [0.0, 5.0] * 300}
+    data = [(g, x) for g, xs in shapes.items() for x in xs] + [("few", None), ("empty", None)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "g string, x double").repartition(5)
+    wanted = {"p0": (0.0, "lower"), "p5": (0.05, "floor"), "p50": (0.5, "round"), "p99": (0.99, "trunc"), "p100": (1.0, "pct"), "med": (0.5, "linear")}
+    want = {}
+    for g, xs in shapes.items():
+        xs, n = sorted(xs), len(xs)
+        want[g] = (xs[0], xs[min(n - 1, int(0.05 * n))], xs[max(0, round(0.5 * n) - 1)], xs[min(n - 1, int(0.99 * n))], xs[-1],
+                   xs[(n - 1) // 2] + (xs[n // 2] - xs[(n - 1) // 2]) * (((n - 1) * 0.5) % 1))
+    for buckets, few in ((1024, 100), (32, 0), (1024, 2_000_000)):
+        monkeypatch.setattr("runframe.operators.stats.BUCKETS", buckets)
+        spark.conf.set("spark.runframe.hotGroupRows", str(few))
+        try:
+            got = {r.g: tuple(r)[1:] for r in rf.percentiles(df, "g", "x", wanted).collect()}
+            whole = rf.percentiles(df, None, "x", wanted).first()
+        finally:
+            spark.conf.unset("spark.runframe.hotGroupRows")
+        assert set(got) == set(want)
+        for g in want:
+            assert got[g] == pytest.approx(want[g], nan_ok=True), g
+        every = sorted(x for xs in shapes.values() for x in xs)
+        assert whole.p50 == every[round(0.5 * len(every)) - 1] and whole.p0 == float("-inf")
+    assert rf.percentiles(df.limit(0), "g", "x", wanted).count() == 0
+
+
 def test_ema_equals_fold(hot):
     rng = random.Random(1)
     data = [(rng.choice("ppq"), i, rng.random() * 9, rng.choice([0.0, rng.random() * 100])) for i in range(160)]
