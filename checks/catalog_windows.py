@@ -191,32 +191,34 @@ def critical_path_tasks(v):
     return rf.critical_path(v.dag, 1e6)[1]
 
 
-@query("connected_components", """
-    WITH RECURSIVE e AS (SELECT l_orderkey AS a, l_partkey + 1000000000 AS b FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' AND l_quantity = 50),
-    n AS (SELECT DISTINCT l_orderkey AS id FROM lineitem UNION SELECT l_partkey + 1000000000 FROM lineitem),
-    two AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    reach AS (SELECT id, id AS root FROM n UNION SELECT two.a, reach.root FROM reach JOIN two ON two.b = reach.id)
-    SELECT id, min(root) AS component FROM reach GROUP BY id""")
-def connected_components(v):
-    lines = v.table("lineitem").withColumn("part", F.expr("l_partkey + 1000000000"))
-    nodes = lines.select(F.explode(F.array("l_orderkey", "part")).alias("id"))
-    edges = lines.where("l_shipdate >= '2000-01-01' AND l_quantity = 50").selectExpr("l_orderkey AS a", "part AS b")
-    return rf.connected_components(nodes, edges)
+# the smallest label that reaches a node: rows of `label` are replaced by key while smaller labels come from the last round
+LABELS = """
+    e AS (SELECT l_orderkey AS a, l_partkey + 1000000000 AS b FROM lineitem),
+    two AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    label(id, component) USING KEY (id) AS (SELECT DISTINCT a, a FROM two
+      UNION SELECT two.a, min(label.component) FROM label JOIN two ON two.b = label.id JOIN recurring.label AS old ON old.id = two.a
+        WHERE label.component < old.component GROUP BY two.a)"""
 
 
-@query("order_components")
-def order_components(v):
-    """Orders and parts linked by every line item: large components, too slow as recursive SQL."""
+def component_labels(v):
     lines = v.table("lineitem").selectExpr("l_orderkey AS a", "l_partkey + 1000000000 AS b")
-    nodes = lines.select(F.explode(F.array("a", "b")).alias("id"))
-    return rf.connected_components(nodes, lines).groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    return rf.connected_components(lines.select(F.explode(F.array("a", "b")).alias("id")), lines)
+
+
+@query("connected_components", f"WITH RECURSIVE {LABELS.strip()} SELECT id, component FROM label")
+def connected_components(v):
+    """Component of every order and part over all line items."""
+    return component_labels(v)
 
 
-@query("connected_components_whole")
+@query("connected_components_whole", f"WITH RECURSIVE {LABELS.strip()} SELECT id, component FROM label")
 def connected_components_whole(v):
-    """Component of every order and part over all line items; `connected_components` has those of a few, for its SQL."""
-    lines = v.table("lineitem").selectExpr("l_orderkey AS a", "l_partkey + 1000000000 AS b")
-    return rf.connected_components(lines.select(F.explode(F.array("a", "b")).alias("id")), lines)
+    return component_labels(v)
+
+
+@query("order_components", f"WITH RECURSIVE {LABELS.strip()} SELECT component, count(*) AS members FROM label GROUP BY component")
+def order_components(v):
+    return component_labels(v).groupBy("component").agg(F.count(F.lit(1)).alias("members"))
 
 
 @query("successors", """
