@@ -299,6 +299,14 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, id: str = "doc_id", te
     model. A null text is empty. Repeated rows each get their result. Words outside the model meet their corpus counts
     in a join by hash; each of them has one row there.
     """
+    inside = {c: f"_apart{i}" for i, c in enumerate((id, *keep))}
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inside.items()], F.col(text).alias("_text"))
+    scored = _scores(own, model, rest, inside[id], "_text", tuple(inside[c] for c in keep))
+    named = {n: c for c, n in inside.items()}
+    return scored.select(*[F.col(c).alias(named.get(c, c)) for c in scored.columns])
+
+
+def _scores(docs: DataFrame, model: Model, rest: DataFrame, id: str, text: str, keep: tuple[str, ...]) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.hashes, model.of, model.step, model.emission, model.base, model.known))
     hashed = _hash_words(rest)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Name of the result inside ``apart``.
+RESULT = "_result"
+
+
+def apart(docs: DataFrame, id: str, text: str, out: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` over ``docs`` with its columns renamed to ``doc_id``, ``text`` and names that no operator uses.
+
+    ``run`` keeps those columns and adds ``RESULT``; they get their names back, and the result becomes ``out`` (a column of
+    that name, in any case, is replaced). So no name of a given column can meet one that an operator uses inside.
+    """
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    inside = {c: {id: "doc_id", text: "text"}.get(c, f"_apart{i}") for i, c in enumerate(kept)}
+    done = run(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inside.items()]))
+    return done.select(*[F.col(n).alias(c) for c, n in inside.items()], F.col(RESULT).alias(out))
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """UTF-8 bytes of a text column; a null counts as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runframe.llm.common import free_name, lengths_to_starts, row_key, schema_with, texts, with_column
+from runframe.llm.common import RESULT as WHOLE
+from runframe.llm.common import apart, free_name, lengths_to_starts, row_key, schema_with, texts, with_column
 
 RESULT = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
@@ -136,7 +137,7 @@ def _window_rows(df: DataFrame, n: int, keep: list[str], text: str, lengths: lis
 
 def _joined_hits(docs: DataFrame, items: DataFrame, n: int, id: str, text: str, item: str, item_text: str,
                  out: str) -> DataFrame:
-    key = free_name(docs, "_key")
+    key = "_key"
     docs = docs.withColumn(key, row_key(id, text))
     known = _window_rows(items.select(F.col(item).cast("string").alias("_item"), item_text), n, ["_item"], item_text, None)
     known = known.select("_n", "_h", "_item").distinct()
@@ -173,7 +174,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, n: int = 13, id: str =
     """
     size = items.agg(F.sum(F.length(item_text))).first()[0] or 0
     if size > broadcast_chars:
-        return _joined_hits(docs, items, n, id, text, item, item_text, out)
+        return apart(docs, id, text, out, lambda own: _joined_hits(own, items, n, "doc_id", "text", item, item_text, WHOLE))
     rows = items.select(F.col(item).cast("string"), F.col(item_text).cast("string")).collect()
     return _broadcast_hits(docs, WindowSet([(r[0], (r[1] or "").encode()) for r in rows], n), text, out)
 

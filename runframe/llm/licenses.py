@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runframe.functions.runtime import cut
-from runframe.llm.common import free_name, row_key
+from runframe.llm.common import RESULT, apart, row_key
 
 #: Short notices of licence families, after lower-casing.
 TEMPLATES = (
@@ -185,12 +185,15 @@ def license_scan(docs: DataFrame, id: str = "doc_id", text: str = "text", model:
     Null and empty texts have no paragraphs. Rows of equal id and text get the same result. A column named
     ``out`` is replaced.
     """
-    model = model or train(docs, id, text)
+    return apart(docs, id, text, out, lambda own: _scanned(own, model or train(own)))
+
+
+def _scanned(docs: DataFrame, model: LicenceModel) -> DataFrame:
+    id, text, out, key, doc = "doc_id", "text", RESULT, "_key", "_doc"
     found = scan_paragraphs(docs, model, id, text).groupBy("doc", "key").agg(
         F.countDistinct("no").alias("_n"), F.collect_set(F.when(F.col("licence") == "unknown", F.col("no"))).alias("_u"),
         F.array_sort(F.collect_set(F.when(F.col("licence") != "unknown", F.col("licence")))).alias("_f"))
-    base = docs.drop(out) if out in docs.columns else docs
-    key, doc = free_name(base, "_key"), free_name(base, "_doc")
+    base = docs
     joined = base.withColumn(key, row_key(id, text)).withColumn(doc, F.col(id).cast("long")).join(
         found, (F.col(key) == found["key"]) & F.col(doc).eqNullSafe(found["doc"]), "left")
     lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runframe.functions.runtime import cut
-from runframe.llm.common import free_name, row_key
+from runframe.llm.common import RESULT, apart, free_name, row_key
 from runframe.operators.graph import connected_components
 
 #: Letter classes whose counts are compared; an edit changes two of the counts by one at most.
@@ -170,6 +170,11 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, id: str =
     ``min_chars`` characters go only if they are equal to an earlier line; empty lines stay. A null text stays null with no lines, an empty one is one empty line. Repeated rows:
     rows of equal id and text are one document and get the same result. A column named ``out`` is replaced.
     """
+    return apart(docs, id, text, out, lambda own: _without_lines(own, edits, min_chars))
+
+
+def _without_lines(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    id, text, out = "doc_id", "text", RESULT
     classes, _ = line_classes(docs, edits, min_chars, id, text)
     # only lines that occur again or are near another one can be removed
     again = classes.where("n > 1 OR near")
@@ -179,14 +184,12 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, id: str =
     removed = (rows.join(again, ["f", "h"]).where(~place.eqNullSafe(F.col("class_first")))
                .groupBy("doc", "key").agg(F.collect_set("no").alias("_gone"), F.collect_set(
                    F.when(place != F.col("first"), F.col("no"))).alias("_same")))
-    key, doc = free_name(docs, "_key"), free_name(docs, "_doc")
-    base = docs.drop(out) if out in docs.columns else docs
-    base = base.withColumn(key, row_key(id, text)).withColumn(doc, F.col(id).cast("long"))
+    key, doc = "_key", "_doc"
+    base = docs.withColumn(key, row_key(id, text)).withColumn(doc, F.col(id).cast("long"))
     gone, same = F.col("_gone"), F.size("_same")
     joined = base.join(removed, (F.col(key) == removed["key"]) & F.col(doc).eqNullSafe(removed["doc"]), "left")
     lines = F.split(text, "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(gone, i))
-    size = F.coalesce(F.size(gone), F.lit(0))
     size = F.when(gone.isNull(), 0).otherwise(F.size(gone))
     exact = F.when(gone.isNull(), 0).otherwise(same)
     report = F.struct(F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runframe.functions.runtime import cut
-from runframe.llm.common import HashedWords, lengths_to_starts, mixed, packed_texts, texts, unpacked
+from runframe.llm.common import HashedWords, free_name, lengths_to_starts, mixed, packed_texts, texts, unpacked
 from runframe.operators.graph import connected_components
 
 
@@ -189,8 +189,9 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
     Rows without an id stay.
     """
     found = jaccard_components(docs, id=id, **options)
-    gone = found.where(F.col("component_id") != F.col(id)).select(F.col(id).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id).cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = found.where(F.col("component_id") != F.col(id)).select(F.col(id).alias(name)).distinct()
+    return docs.join(gone, F.col(id).cast("long") == F.col(name), "left_anti")
 
 
 SQL = r"""

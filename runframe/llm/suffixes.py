@@ -27,9 +27,11 @@ from pyspark.sql import types as T
 
 from runframe.functions.runtime import cut
 from runframe.llm.common import (
-    free_name, groups, lengths_to_starts, mixed, packed_texts, row_key, schema_with, texts, unpacked, with_column)
+    RESULT, apart, groups, lengths_to_starts, mixed, packed_texts, row_key, schema_with, texts, unpacked, with_column)
 
 GRAM = 64
+FIELD_BITS = 12  # of a distance inside a window
+LAST = (1 << FIELD_BITS) - 1
 POSITION_BITS = 24  # a batch is worked on in stretches of less than 2 ** 24 bytes; longer texts in parts of one each
 
 
@@ -83,7 +85,7 @@ def _anchor_rows(docs: DataFrame, key: str, text: str, length: int, bits: int) -
                     doc, h, anchor, first, last = anchors(stretch, length, bits)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(h.view(np.int64)), pa.array(keys[c + doc]),
-                         pa.array(first + at << 16 | (anchor - first) << 8 | (last - first))], ["h", "key", "at"])
+                         pa.array(first + at << 2 * FIELD_BITS | (anchor - first) << FIELD_BITS | (last - first))], ["h", "key", "at"])
 
     return docs.select(key, text).mapInArrow(emit, "h long, key long, at long")
 
@@ -114,7 +116,7 @@ def _front_coded(entries: list[tuple[bytes, list[tuple[int, int, int]]]]) -> byt
         shared = common_prefix(before, suffix, 0)
         parts.append(struct.pack("<HHI", shared, len(suffix) - shared, len(owners)))
         parts.append(suffix[shared:])
-        parts += [struct.pack("<qqB", *o) for o in owners]
+        parts += [struct.pack("<qqH", *o) for o in owners]
         before = suffix
     return b"".join(parts)
 
@@ -127,8 +129,8 @@ def _read_run(blob: bytes) -> Iterator[tuple[int, bytes, list[tuple[int, int, in
         at += 8
         before = before[:shared] + blob[at:at + rest]
         at += rest
-        yield shared, before, list(struct.iter_unpack("<qqB", blob[at:at + 17 * owners]))
-        at += 17 * owners
+        yield shared, before, list(struct.iter_unpack("<qqH", blob[at:at + 18 * owners]))
+        at += 18 * owners
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -207,9 +209,9 @@ class LoserTree:
 
 
 def _suffix(raw: bytes, at: int, length: int) -> tuple[bytes, int, int]:
-    """(bytes from the anchor to the last window's end, then those before it, and their number; first start; windows - 1)."""
-    first, before, more = at >> 16, at >> 8 & 255, at & 255
-    return raw[first + before:first + more + length] + raw[first:first + before] + bytes((before,)), first, more
+    """(bytes from the anchor to the last window's end, then those before it, and their number in two bytes; first start; windows - 1)."""
+    first, before, more = at >> 2 * FIELD_BITS, at >> FIELD_BITS & LAST, at & LAST
+    return raw[first + before:first + more + length] + raw[first:first + before] + before.to_bytes(2, "big"), first, more
 
 
 def _run_rows(joined: DataFrame, key: str, text: str, lists: str, length: int, buckets: int, flush: int = 40_000) -> DataFrame:
@@ -242,10 +244,16 @@ def _run_rows(joined: DataFrame, key: str, text: str, lists: str, length: int, b
     return joined.select(key, text, lists).mapInArrow(emit, "bucket int, run binary")
 
 
+def _ahead(suffix: bytes) -> int:
+    """Bytes before the anchor, as a suffix ends with."""
+    return suffix[-2] << 8 | suffix[-1]
+
+
 def _windows(suffix: bytes, more: int) -> list[bytes]:
     """The windows settled at an anchor, the first start first."""
-    before = suffix[-1]
-    whole = suffix[len(suffix) - 1 - before:-1] + suffix[:len(suffix) - 1 - before]
+    before = _ahead(suffix)
+    end = len(suffix) - 2
+    whole = suffix[end - before:end] + suffix[:end - before]
     size = len(whole) - more
     return [whole[i:i + size] for i in range(more + 1)]
 
@@ -261,13 +269,13 @@ def _repeated(group: list[tuple[bytes, list]], out: list) -> None:
         if len(owners) > 1:
             out += [(k, first, first + more) for k, first, more in owners]
         if len(group) > 1:
-            for before in range(suffix[-1] - owners[0][2], suffix[-1] + 1):
+            for before in range(_ahead(suffix) - owners[0][2], _ahead(suffix) + 1):
                 places.setdefault(before, []).append(at)
     for before, members in places.items():
         times: dict[bytes, list[int]] = {}
         for at in members:
             suffix, owners = group[at]
-            end = len(suffix) - 1
+            end = len(suffix) - 2
             size = end - owners[0][2]
             window = suffix[end - before:end] + suffix[:size - before] if before else suffix[:size]
             times.setdefault(window, []).append(at)
@@ -277,7 +285,7 @@ def _repeated(group: list[tuple[bytes, list]], out: list) -> None:
                     suffix, owners = group[at]
                     if len(owners) == 1:
                         k, first, _ = owners[0]
-                        out.append((k, first + suffix[-1] - before, first + suffix[-1] - before))
+                        out.append((k, first + _ahead(suffix) - before, first + _ahead(suffix) - before))
 
 
 def _merged(runs: DataFrame) -> DataFrame:
@@ -357,6 +365,8 @@ def repeated_windows(docs: DataFrame, key: str, text: str = "text", length: int
 
     ``docs``: a key column (long) and texts, nulls counting as empty. Rows may share a key if they share the text.
     """
+    if not GRAM <= length <= GRAM + LAST:
+        raise ValueError(f"a window has {GRAM} to {GRAM + LAST} bytes")
     found = _anchor_rows(docs, key, text, length, bits)
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     pick = lambda c: F.collect_set(F.when(c, F.col("at")))
@@ -376,15 +386,19 @@ def remove_repeats(docs: DataFrame, length: int = 200, id: str = "doc_id", text:
     """``docs`` with a struct ``out``: n_bytes, n_removed, n_spans, kept (the remaining bytes, in a row).
 
     Every byte inside a window of ``length`` bytes that also starts elsewhere, in any document, is removed; windows are
-    judged on the input. A text may have any length. Null and empty texts have no bytes. Repeated rows are copies of each other. The remaining
+    judged on the input; ``length`` is 64 to 4,159. A text may have any length. Null and empty texts have no bytes. Repeated rows are copies of each other. The remaining
     bytes need not be UTF-8. A column named ``out`` is replaced.
     """
-    key = free_name(docs, "_key")
-    base = docs.drop(out) if out in docs.columns else docs
+    return apart(docs, id, text, out, lambda own: _without_repeats(own, length))
+
+
+def _without_repeats(docs: DataFrame, length: int) -> DataFrame:
+    id, text, out, key = "doc_id", "text", RESULT, "_key"
+    base = docs
     keyed = base.withColumn(key, row_key(id, text))
     starts = repeated_windows(keyed.select(key, text), key, text, length)
     spans = starts.groupBy(F.col("key").alias("_k")).agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
-    packed = free_name(keyed, "_packed")
+    packed = "_packed"
     joined = _packed(keyed, text, packed).join(spans, F.col(key) == F.col("_k"), "left")
     kind = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>"
     arrow = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])

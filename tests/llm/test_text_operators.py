@@ -442,6 +442,57 @@ def test_repeats_odd_rows(odd, empty):
     assert got.count() == odd.count() and suffixes.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("length", [64, 200, 319, 500, 1000])
+def test_windows_of_any_width(spark, length):
+    rng = np.random.default_rng(length)
+    common = "".join(rng.choice(list("abcdefgh "), 1552))
+    filler = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    rows = [(0, filler(30) + common + filler(70)), (1, common), (2, filler(400) + common[300:300 + length] + filler(9)), (3, filler(2000)),
+            (4, common[:length - 1])]
+    got = {r["doc_id"]: (r["repeats"]["n_removed"], r["repeats"]["n_spans"], bytes(r["repeats"]["kept"])) for r in suffixes.remove_repeats(
+        spark.createDataFrame(rows, "doc_id long, text string"), length).collect()}
+    raws = [(i, t.encode()) for i, t in rows]
+    times = Counter(b[k:k + length] for _, b in raws for k in range(len(b) - length + 1))
+    for i, b in raws:
+        inside = {j for k in range(len(b) - length + 1) if times[b[k:k + length]] > 1 for j in range(k, k + length)}
+        assert got[i] == (len(inside), sum(j - 1 not in inside for j in inside), bytes(c for j, c in enumerate(b) if j not in inside))
+
+
+def test_width_is_checked(odd):
+    for length in (63, 5000):
+        with pytest.raises(ValueError):
+            suffixes.remove_repeats(odd, length)
+
+
+#: Names that operators use inside.
+INSIDE = ("doc", "key", "h", "f", "k", "n", "_k", "_n", "_u", "_f", "_gone", "_same", "_spans", "_there", "_items", "_key", "_doc", "_w", "_at", "_packed",
+          "first", "last", "no", "line", "own", "rows", "tokens", "known", "term", "slice", "rank", "score")
+
+
+def test_given_columns_may_have_any_name(spark):
+    """Every operator gives the same result beside columns named like its own."""
+    texts = ["one line of text that comes twice here\nand another line", "one line of text that comes twice here\nend", None, "", "x" * 300, "x" * 300 + " y",
+             "Licensed under the Apache License, Version 2.0", "word5 thing word6 and so on"]
+    plain = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    crowded = plain.select("doc_id", "text", *[F.lit("x").alias(c) for c in INSIDE])
+    items = spark.createDataFrame([("p", "word5 thing word6")], "item_id string, text string")
+    model = licenses.train(plain)
+    lm, rest = brown.train(plain)
+    calls = {
+        "lines": lambda d: line_dedup.dedup_lines(d, out="out"), "kept lines": line_dedup.drop_repeated_lines,
+        "licences": lambda d: licenses.license_scan(d, model=model, out="out"), "repeats": lambda d: suffixes.remove_repeats(d, out="out"),
+        "joined hits": lambda d: decontaminate.find_contamination(d, items, out="out", broadcast_chars=0),
+        "hits": lambda d: decontaminate.find_contamination(d, items, out="out"), "clean": lambda d: decontaminate.decontaminate(d, items),
+        "copies": lambda d: ngram_join.deduplicate(d),
+        "model": lambda d: brown.score(d, lm, rest, keep=tuple(c for c in INSIDE if c in d.columns and c not in ("score",)))}
+    for name, call in calls.items():
+        a, b = call(plain), call(crowded)
+        shared = [c for c in a.columns if c not in ("rows", "own", "tokens", "known") or name != "model"]
+        assert set(a.columns) <= set(b.columns) and (name == "model" or set(b.columns) == set(a.columns) | set(INSIDE)), name
+        order = lambda rows: sorted(map(repr, rows))
+        assert order(a.select(*shared).collect()) == order(b.select(*shared).collect()), name
+
+
 # sampled segmentations
 
 def test_sampling_follows_the_lattice():
