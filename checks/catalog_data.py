@@ -131,7 +131,7 @@ def nms(v):
 
 
 def tracked(v):
-    return rf.track(rf.frame_index(v.boxes), cell=16.0)
+    return rf.track(rf.frame_index(v.boxes))
 
 
 @query("track")

@@ -390,7 +390,7 @@ def box_to_original(v):
     LATERAL (SELECT greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i)
     WHERE i > 0""")
 def iou_pairs(v):
-    return rounded(rf.iou_pairs(v.boxes, ["camera", "frame"], cell=16.0), "iou", digits=9)
+    return rounded(rf.iou_pairs(v.boxes, ["camera", "frame"]), "iou", digits=9)
 
 
 @query("normalize_vectors", """
@@ -423,7 +423,7 @@ def cosine_pairs(v):
       round((1 - i / (areas - i)) * 0.7 + (1 - s) * 0.3, 9) AS cost FROM p WHERE i / (areas - i) >= 0.3""")
 def assoc_candidates(v):
     dets = rf.frame_index(v.boxes.drop("embedding"), "camera")
-    out = rf.assoc_candidates(dets, v.boxes.select("camera", "det_id", "embedding"), cell=16.0)
+    out = rf.assoc_candidates(dets, v.boxes.select("camera", "det_id", "embedding"))
     return rounded(out, "iou", "cost", digits=9)
 
 

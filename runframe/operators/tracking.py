@@ -7,12 +7,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runframe.functions.assignment import cheapest_allowed, min_cost_assignment
-from runframe.functions.geometry import BOX, center_to_corners, in_cells, iou, links
+from runframe.functions.geometry import BOX, center_to_corners, grid_levels, iou, links, met_cells, own_cells, solid
 from runframe.functions.runtime import cut, names
 from runframe.functions.streams import map_sorted, whole_runs
 from runframe.functions.vectors import normalize_vectors
@@ -59,17 +61,34 @@ def nms(dets: DataFrame, by: str | Sequence[str], iou_max: float = 0.5, score: s
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, begins in whole_runs(batches, keys):
-            boxes = rows[list(BOX)].to_numpy(float)
-            alive = np.ones(len(rows), bool)
-            for begin, end in zip(begins, [*begins[1:], len(rows)]):
-                for n in range(begin, end):
-                    if alive[n]:
-                        alive[n + 1:end] &= _iou_grid(boxes[n:n + 1], boxes[n + 1:end])[0] <= iou_max
+            alive = _kept_boxes(rows[list(BOX)].to_numpy(float), np.append(begins, len(rows)), iou_max)
             yield rows[alive]
 
     return map_sorted(dets, keys, [f"-{score}", id], keep, dets.schema)
 
 
+def _kept_boxes(boxes: np.ndarray, cuts: np.ndarray, iou_max: float) -> np.ndarray:
+    """Boxes that stay, for frames sorted by rank between ``cuts``. Turn k compares the k-th box of all frames with those after it."""
+    alive, area = np.ones(len(boxes), bool), (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+    begins, ends = cuts[:-1], cuts[1:]
+    for k in range(int((ends - begins).max(initial=1)) - 1):
+        lead = begins + k
+        going = lead + 1 < ends
+        begins, ends = begins[going], ends[going]
+        own = alive[lead[going]]
+        lead, last = lead[going][own], ends[own]
+        after = last - lead - 1
+        one = np.repeat(lead, after)
+        other = np.arange(after.sum()) - np.repeat(np.cumsum(after) - after, after) + one + 1
+        w = np.minimum(boxes[one, 2], boxes[other, 2]) - np.maximum(boxes[one, 0], boxes[other, 0])
+        h = np.minimum(boxes[one, 3], boxes[other, 3]) - np.maximum(boxes[one, 1], boxes[other, 1])
+        shared = np.clip(w, 0, None) * np.clip(h, 0, None)
+        union = area[one] + area[other] - shared
+        met = np.divide(shared, union, out=np.zeros_like(shared), where=(union > 0) & (shared > 0))
+        alive[other[met > iou_max]] = False
+    return alive
+
+
 def _iou_grid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """IoU of every box of ``a`` with every box of ``b``."""
     w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
@@ -83,30 +102,37 @@ def _iou_grid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _nms_rounds(dets: DataFrame, keys: list[str], iou_max: float, score: str, id: str) -> DataFrame:
     """Ids kept by greedy suppression, all frames at once.
 
-    Of equal boxes only the best can stay (if ``iou_max`` < 1). In each round a box that is the
-    best undecided one in every grid cell it touches is kept; the boxes it covers too far go. A cell has
-    one best box, so each round is one aggregate and one join of cell rows, without box pairs.
+    Of equal boxes only the best can stay (if ``iou_max`` < 1). Boxes lie in the grid of their own level and also look at higher
+    ones, so any two that overlap share a cell of the larger one's level. In each round a box stays that is the best undecided one of all that
+    it shares such a cell with; the boxes it covers too far go. A cell has one best box, so each round is one aggregate and joins of
+    cell rows, without box pairs.
     """
     flat = dets.select(*keys, F.col(id).alias("_id"), F.col(score).alias("_score"), *BOX)
-    solid = F.coalesce((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False))  # null corners cover nothing
-    empty = flat.where(~solid).select(*keys, "_id")
+    covers = F.coalesce((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False))  # null corners cover nothing
+    empty = flat.where(~covers).select(*keys, "_id")
     best_copy = F.min_by(F.struct("_id", "_score"), F.struct(-F.col("_score"), F.col("_id")))
-    boxes = flat.where(solid)
+    boxes = solid(flat)
     if iou_max < 1:
         boxes = boxes.groupBy(*keys, *BOX).agg(best_copy.alias("_b")).select(*keys, *BOX, "_b.*")
-    size = boxes.agg(F.avg(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).first()[0]
-    on, kept = [*keys, "_cx", "_cy"], [empty]
+    on, kept = [*keys, "_level", "_cx", "_cy"], [empty]
     open_ = cut(boxes)
+    levels = grid_levels(open_)
+    place = F.struct((-F.col("_score")).alias("s"), F.col("_id").alias("i"))
+    at_home = F.col("_own") == F.col("_level")
+
+    def sides(df: DataFrame, prefix: str) -> DataFrame:
+        return df.select(*on, *[F.col(c).alias(f"{prefix}{c}") for c in ("_id", *BOX)])
+
     while not open_.isEmpty():
-        cells = in_cells(open_, float(size))
-        first = cells.groupBy(*on).agg(F.min(F.struct(-F.col("_score"), F.col("_id"))).alias("_m"))
-        leads = first.select(*on, F.col("_m._id").alias("_lead"))
-        won = (cells.join(leads, on).groupBy(*keys, "_id")
-               .agg(F.bool_and(F.col("_id") == F.col("_lead")).alias("_all")).where("_all").select(*keys, "_id"))
+        cells = met_cells(open_, levels=levels)
+        first = cells.groupBy(*on).agg(F.min(place).alias("_all"), F.min(F.when(at_home, place)).alias("_home"))
+        ahead = F.when(at_home, place <= F.col("_all")).otherwise(F.col("_home").isNull() | (place < F.col("_home")))
+        won = cells.join(first, on).groupBy(*keys, "_id").agg(F.bool_and(ahead).alias("_ahead")).where("_ahead").select(*keys, "_id")
         won = cut(open_.join(won, [*keys, "_id"], "left_semi"))
         kept.append(won.select(*keys, "_id"))
-        cover = in_cells(won, float(size)).select(*on, *[F.col(c).alias(f"w_{c}") for c in ("_id", *BOX)])
-        near = cells.select(*on, *[F.col(c).alias(f"o_{c}") for c in ("_id", *BOX)]).join(cover, on)
+        above = met_cells(won, levels=levels).where(F.col("_own") < F.col("_level"))
+        near = (sides(cells, "o_").join(sides(own_cells(won), "w_"), on)
+                .unionByName(sides(own_cells(open_), "o_").join(sides(above, "w_"), on)))
         gone = (near.where((F.col("o__id") == F.col("w__id")) | (iou("o_", "w_") > iou_max))
                 .select(*keys, F.col("o__id").alias("_id")).distinct())
         open_ = cut(open_.join(gone, [*keys, "_id"], "left_anti"))
@@ -147,7 +173,7 @@ class TrackState:
 
 
 def track(dets: DataFrame, by: str | Sequence[str] = "camera", iou_min: float = 0.3, w: float = 0.3,
-          max_age: int = 5, id: str = "det_id", embedding: str = "embedding", cell: float = 64.0,
+          max_age: int = 5, id: str = "det_id", embedding: str = "embedding",
           hot_rows: int | None = None, opened: str | None = None) -> DataFrame:
     """Assign each detection a ``track_id`` (the id of the track's first detection).
 
@@ -160,7 +186,7 @@ def track(dets: DataFrame, by: str | Sequence[str] = "camera", iou_min: float =
     keys = names(by)
     group, rows = keys, dets
     if has_hot_group(dets, keys, hot_rows):
-        near = links(dets, keys, iou_min, max_age + 1, id, cell=cell)
+        near = links(dets, keys, iou_min, max_age + 1, id)
         part = connected_components(dets.select(F.col(id).alias("id")),
                                     near.select(F.col(f"a_{id}").alias("a"), F.col(f"b_{id}").alias("b")))
         rows = dets.join(part.select(F.col("id").alias(id), F.col("component").alias("_part")), id)
@@ -199,9 +225,8 @@ def summarize_tracks(assigned: DataFrame, embs: DataFrame | None = None, min_hit
         F.count(F.lit(1)).alias("det_count"), F.min_by("class", at).alias("class"),
         F.min_by("frame", at).alias("frame_first"), F.max_by("frame", at).alias("frame_last"),
     ).where(F.col("det_count") >= min_hits)
-    mean = (full.select(*keys, F.posexplode(embedding).alias("_i", "_v")).groupBy(*keys, "_i")
-            .agg(F.avg("_v").alias("_v")).groupBy(*keys)
-            .agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias(embedding)))
+    mean = (full.where(F.col(embedding).isNotNull()).withColumn("_vector", array_to_vector(embedding)).groupBy(*keys)
+            .agg(vector_to_array(Summarizer.mean(F.col("_vector"))).alias(embedding)))  # combined per task, vectors stay whole
     return normalize_vectors(facts.join(mean, keys), embedding)
 
 

@@ -116,7 +116,7 @@ def reference_tracks(rows, iou_min=0.3, w=0.3, max_age=5):
 
 
 def tracks_of(df, **options):
-    return {r.det_id: r.track_id for r in rf.track(df, cell=16.0, **options).collect()}
+    return {r.det_id: r.track_id for r in rf.track(df, **options).collect()}
 
 
 def test_tracker(spark):
