@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import runframe as rf
+from runframe.functions.runtime import cut
 from checks.registry import query, rounded
 from checks.views import OBS_ORDER
 
@@ -108,23 +109,22 @@ def link_profiles(v):
 
 
 def link_config(v):
-    kind = F.expr("cast(substr(src, 2) AS int) + cast(substr(dst, 2) AS int)")
-    return v.flows.groupBy("src", "dst").agg(F.max("bytes").cast("double").alias("bytes_per_sec")).where(kind % 3 != 0)
+    return v.flows.groupBy("src", "dst").agg(F.max("bytes").cast("double").alias("bytes_per_sec"))
 
 
-LINK_CONFIG = """config AS (SELECT src, dst, CAST(max(bytes) AS DOUBLE) AS rate FROM v_flows GROUP BY src, dst
-      HAVING (CAST(substr(src, 2) AS INT) + CAST(substr(dst, 2) AS INT)) % 3 <> 0)"""
+LINK_CONFIG = "config AS (SELECT src, dst, CAST(max(bytes) AS DOUBLE) AS rate FROM v_flows GROUP BY src, dst)"
 
 
+# every link of the flows, and from every node to n0: nodes without flows have neither a configured nor an observed rate
 @query("resolve_bandwidth", f"""
-    WITH {LINK_CONFIG}, pairs AS (SELECT DISTINCT src, dst FROM v_flows)
+    WITH {LINK_CONFIG}, pairs AS (SELECT src, dst FROM v_flows UNION SELECT node, 'n0' FROM v_nodes)
     SELECT src, dst, round(CASE WHEN src = dst THEN 0 ELSE coalesce(o.bandwidth, rate, 5e6) END, 3) AS hybrid,
       round(CASE WHEN src = dst THEN 0 ELSE coalesce(rate, 5e6) END, 3) AS external,
       round(CASE WHEN src = dst THEN 0 ELSE coalesce(o.bandwidth, 5e6) END, 3) AS profiler
-    FROM pairs LEFT JOIN (SELECT * FROM v_observed WHERE src < dst) o USING (src, dst) LEFT JOIN config USING (src, dst)""")
+    FROM pairs LEFT JOIN v_observed o USING (src, dst) LEFT JOIN config USING (src, dst)""")
 def resolve_bandwidth(v):
-    pairs = v.flows.select("src", "dst").distinct()
-    observed = rf.observed_bandwidth(link_profiles(v)).where("src < dst")
+    pairs = v.flows.select("src", "dst").union(v.nodes.select("node", F.lit("n0"))).distinct()
+    observed = rf.observed_bandwidth(link_profiles(v))
     for source in ("hybrid", "external", "profiler"):
         pairs = rf.resolve_bandwidth(pairs, observed, link_config(v), source, 5e6).withColumnRenamed("bandwidth", source)
     return rounded(pairs, "hybrid", "external", "profiler", digits=3)
@@ -295,12 +295,18 @@ def flow_contention(v):
 
 
 @query("sort_runs", """
-    SELECT run_id, row_number() OVER (ORDER BY m ASC NULLS LAST, run_id) AS place FROM
-      (SELECT run_id, CASE WHEN phase = 'Failed' THEN NULL ELSE makespan_s END AS m FROM v_runs)""")
+    WITH r AS (SELECT run_id, CASE WHEN phase = 'Failed' THEN NULL ELSE makespan_s END AS m FROM v_runs)
+    SELECT run_id, row_number() OVER (ORDER BY m ASC NULLS LAST, run_id) AS place,
+      row_number() OVER (ORDER BY m DESC NULLS FIRST, run_id) AS place_desc FROM r""")
 def sort_runs(v):
+    """The places that rows have in the frames as returned, both ways."""
     open_ = v.runs.select("run_id", F.expr("if(phase = 'Failed', null, makespan_s)").alias("m"))
-    placed = rf.scan(open_, None, ["m", "run_id"], {"place": ("row_number",)})
-    return rf.sort_runs(placed, "m").select("run_id", "place")
+
+    def places(desc, name):
+        numbered = cut(rf.sort_runs(open_, "m", desc).withColumn("_at", F.monotonically_increasing_id()))
+        return rf.scan(numbered, None, "_at", {name: ("row_number",)}).select("run_id", name)
+
+    return places(False, "place").join(places(True, "place_desc"), "run_id")
 
 
 @query("natural_reps", """

@@ -306,6 +306,14 @@ def map_values(v):
     return rf.map_values(rf.map_values(lines, "l_tax", lambda x: x * 2, 4), "l_quantity", lambda x: x * x, 2)
 
 
+@query("map_values_array", """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_tax * 3, 4) AS first, round(l_quantity * 3, 4) AS second, round(l_extendedprice * 3, 4) AS third FROM lineitem""")
+def map_values_array(v):
+    lines = v.table("lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "array(l_tax, l_quantity, l_extendedprice) AS xs")
+    out = rf.map_values(lines, "xs", lambda x: x * 3, 4)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.col("xs")[i].alias(n) for i, n in enumerate(("first", "second", "third"))])
+
+
 @query("parse_names", """
     SELECT event_id, CAST(CASE WHEN event_type <> 'click' THEN user_id END AS INTEGER) AS name_index,
       CASE WHEN event_type <> 'click' THEN 'cam-' || user_id END AS camera,
@@ -344,6 +352,18 @@ def rebase_times(v):
     return rounded(out, "rel_start", "rel_end", digits=3)
 
 
+@query("rebase_flows", """
+    WITH own AS (SELECT run, min(start_) AS t FROM v_flows GROUP BY run),
+    o AS (SELECT CAST(o_orderkey AS VARCHAR) AS run, min(epoch_us(o_orderdate) / 1e6) AS t FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+    SELECT flow_id, round(start_ - coalesce(o.t, own.t), 3) AS rel_start, round(end_ - coalesce(o.t, own.t), 3) AS rel_end
+    FROM v_flows f JOIN own ON own.run = f.run LEFT JOIN o ON o.run = f.run""")
+def rebase_flows(v):
+    """Flows relative to the start of their order; orders that are not finished give no origin."""
+    origin = v.table("orders").where("o_orderstatus = 'F'").selectExpr(
+        "cast(o_orderkey AS string) AS run", "unix_micros(cast(o_orderdate AS timestamp)) / 1e6 AS start")
+    return rounded(rf.rebase(v.flows, origin).select("flow_id", "rel_start", "rel_end"), "rel_start", "rel_end", digits=3)
+
+
 @query("run_diff", """
     WITH p AS (SELECT rep || '-' || cell AS k, system, makespan_s FROM v_runs)
     SELECT l.k, round(r.makespan_s - l.makespan_s, 6) AS diff, round((r.makespan_s - l.makespan_s) / l.makespan_s * 100, 6) AS diff_pct
@@ -428,12 +448,13 @@ def assoc_candidates(v):
 
 
 @query("box_to_letterbox", """
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity * 0.5::DOUBLE + 4, 6) AS x1, round(l_tax * 100 * 0.5::DOUBLE + 8, 6) AS y2 FROM lineitem""")
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity * 0.5::DOUBLE + 4, 6) AS x1, round(l_discount * 0.5::DOUBLE + 8, 6) AS y1,
+      round((l_quantity + 1) * 0.5::DOUBLE + 4, 6) AS x2, round(l_tax * 100 * 0.5::DOUBLE + 8, 6) AS y2 FROM lineitem""")
 def box_to_letterbox(v):
     dets = v.table("lineitem").selectExpr(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity AS x1", "l_discount AS y1", "l_quantity + 1 AS x2",
         "l_tax * 100 AS y2", "0.5D AS scale", "4 AS pad_x", "8 AS pad_y")
-    return rounded(rf.box_to_letterbox(dets).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "x1", "y2"), "x1", "y2")
+    return rounded(rf.box_to_letterbox(dets).drop("scale", "pad_x", "pad_y"), "x1", "y1", "x2", "y2")
 
 
 @query("write_report", "SELECT run_id, run_name, phase FROM v_runs")
