@@ -7,15 +7,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runframe.operators.stats import percentiles
 from runframe.operators.windows import shard_offsets, top_k
 
-# fixed value: whitespace as the reference embedder splits it
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 QUERY_BLOCK = 4096
 CHUNK_BLOCK = 50_000
 KNOWN_TOKENS = 1_000_000
@@ -36,27 +34,19 @@ def chunk(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5
 def feature_hash(df: DataFrame, id: str = "chunk_id", text: str = "text", dim: int = 128) -> DataFrame:
     """Signed token counts per hashed dimension in long form ``(id, idx, count, n2, w)``.
 
-    The first four digest bytes give the dimension, the low bit of the fifth the sign. ``n2`` is the squared length
-    of the id's vector and ``w`` the L2-normalised weight. The short texts are moved once by ``id``;
-    tokens, counts and norm then stay inside that partitioning.
+    ``n2`` is the squared length of the row's vector and ``w`` the L2-normalised weight. Ids are unique. The vectors are those of
+    ``embed``, laid out in rows: texts stay where they are, and nothing is shuffled.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = (df.select(id, text).repartition(n, id)
-              .select(id, F.explode(F.split(F.lower(text), WHITESPACE)).alias("_t")).where("_t <> ''"))
-    digest = tokens.select(id, F.sha2("_t", 256).alias("_h"))
-    idx = (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % dim).cast("int")
-    odd = F.conv(F.substring("_h", 9, 2), 16, 10).cast("int") % 2 == 1
-    counts = (digest.groupBy(id, idx.alias("idx")).agg(F.sum(F.when(odd, 1).otherwise(-1)).alias("count"))
-              .where(F.col("count") != 0))
-    n2 = F.sum(F.col("count") * F.col("count")).over(Window.partitionBy(id))  # at most ``dim`` rows each
-    return counts.withColumn("n2", n2).withColumn("w", F.col("count") / F.sqrt(F.col("n2").cast("double")))
+    vectors = embed(df, id, text, dim).select(id, "n2", F.explode(F.arrays_zip("idx", "cnt")).alias("_e"))
+    return vectors.select(id, F.col("_e.idx").alias("idx"), F.col("_e.cnt").cast("long").alias("count"), "n2",
+                          (F.col("_e.cnt") / F.sqrt(F.col("n2").cast("double"))).alias("w"))
 
 
 def embed(df: DataFrame, id: str = "chunk_id", text: str = "text", dim: int = 128) -> DataFrame:
     """Hashed vector of every row of ``df`` as sparse arrays ``idx``, ``cnt`` and squared length ``n2``.
 
-    The same vectors as ``feature_hash``, but a row's tokens are counted where the row is, per Arrow batch,
-    so no text is shuffled; each distinct token is hashed once per task. A text without tokens gets empty
+    The first four digest bytes of a token give the dimension, the low bit of the fifth the sign. A row's tokens are counted where
+    the row is, per Arrow batch, so no text is shuffled; each distinct token is hashed once per task. A text without tokens gets empty
     arrays (the zero vector).
     """
     schema = T.StructType([df.schema[id], T.StructField("idx", T.ArrayType(T.IntegerType())),

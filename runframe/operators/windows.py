@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,7 +102,7 @@ def assign_lanes(intervals: DataFrame, by: str | Sequence[str], start: str = "st
 
     Once everything before an interval has ended all lanes are free again, so a group falls into
     independent stretches. Each stretch is one sorted stream through a task that remembers only
-    the end of each lane.
+    the end of each busy lane and the numbers of idle ones, in heaps.
     """
     keys = names(by)
     hot = has_hot_group(intervals, keys)
@@ -112,17 +114,21 @@ def assign_lanes(intervals: DataFrame, by: str | Sequence[str], start: str = "st
     schema = T.StructType([*intervals.schema.fields, T.StructField("lane", T.LongType())])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        free_at: list[float] = []
+        busy: list[tuple[float, int]] = []  # (end, lane)
+        idle: list[int] = []
         previous = None
         for batch in batches:
             if not len(batch):
                 continue
             lanes = []
-            for fresh, s, e in zip(starts(batch, group, previous), batch[start], batch[end]):
+            ends = batch[end].fillna(np.inf)  # an open interval keeps its lane
+            for fresh, s, e in zip(starts(batch, group, previous), batch[start], ends):
                 if fresh:
-                    free_at = []
-                lane = next((i for i, t in enumerate(free_at) if s >= t), len(free_at))
-                free_at[lane:lane + 1] = [e]
+                    busy, idle = [], []
+                while busy and busy[0][0] <= s:
+                    heapq.heappush(idle, heapq.heappop(busy)[1])
+                lane = heapq.heappop(idle) if idle else len(busy)
+                heapq.heappush(busy, (e, lane))
                 lanes.append(lane)
             previous = tuple(batch[c].iloc[-1] for c in group)
             yield batch.drop(columns="_part").assign(lane=lanes)
