@@ -79,4 +79,5 @@ ORACLES: dict[str, str] = {
     "op9_near_vectors": multi_index.SQL,
     "op10_ngram_join": ngram_join.SQL,
     "op11_ranked_search": ranking.SQL,
+    "op13_resample": resample.SQL,
 }
