@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -159,8 +160,7 @@ class Pieces:
         if len(self.unit) > self.limit or self.to.size > 60 * self.limit:
             self.clear()
         units = [self.units(t) for t in texts]
-        new = list({u for us in units for u in us}.difference(self.unit))
-        new.sort()
+        new = sorted(set().union(*units).difference(self.unit))
         for i in range(0, len(new), 20_000):
             self.learn(new[i:i + 20_000])
         return units
@@ -286,14 +286,16 @@ class Search:
         masses = mass[left] + np.log1p(-q[left])
         keys = _lower(self.key, masses, uniform(_streams(self.seed, len(self.found), 2, len(left))))
         need = self.k + 1 - len(self.found)  # no more of them can be reached
-        for i in np.argsort(-keys, kind="stable")[:need].tolist():
+        ends = np.cumsum(per_unit)
+        for _ in range(min(need, len(left))):
+            i = int(keys.argmax())
             e = int(left[i])
-            ends = np.cumsum(per_unit)
             which = int(np.searchsorted(ends, e, "right"))
             start = int(ends[which] - per_unit[which])
             node = int(self.rest[which] if e == start else own.to.values[edges[e - 1]])
             self._push(float(keys[i]), float(masses[i]), np.concatenate([self.done, edges[:e]]),
                        (self.unit + 1 + which, node, edges[e:e + 1]))
+            keys[i] = -np.inf
 
     def result(self) -> list[tuple[np.ndarray, float, float, float]]:
         chance = lambda log_p: 1.0 if self.after is None else float(-np.expm1(-np.exp(min(log_p - self.after, 700.0))))
@@ -307,7 +309,7 @@ def sample(own: Pieces, texts: list[str], seeds: list[int], k: int) -> list[list
     there are no others. The texts are searched side by side, each by its own numbers.
     """
     units = own.prepare(texts)
-    which = np.fromiter((own.unit[u] for us in units for u in us), np.int64, sum(map(len, units)))
+    which = np.fromiter(map(own.unit.__getitem__, chain.from_iterable(units)), np.int64, sum(map(len, units)))
     nodes, cuts = own.first.values[which], lengths_to_starts(np.array([len(us) for us in units], np.int64))
     searches = [Search(own, nodes[a:b], s, k) for a, b, s in zip(cuts[:-1], cuts[1:], seeds)]
     going = searches
