@@ -8,10 +8,8 @@ most take one byte. Decoding looks the lengths of four numbers up in a table of
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runframe.functions.runtime import work_folder
-from runframe.llm.common import groups, lengths_to_starts, ranges
+from runframe.llm.common import groups, lengths_to_starts
+from runframe.llm.wordpieces import word_encoder
 
 #: Bytes of each of the four numbers that a control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -46,75 +45,51 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-class Encoder:
-    """Ids of whole texts. Pieces between blanks are independent in the tokenizer, so repeated ones are encoded once."""
-
-    def __init__(self, path: str, limit: int = 200_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.used, self.starts = np.zeros(1 << 16, np.uint32), 0, [0]
-
-    def learn(self, words: list[str]) -> None:
-        for encoding in self.tokenizer.encode_batch(words, add_special_tokens=False):
-            new = encoding.ids
-            if self.used + len(new) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(new)), np.uint32)])
-            self.ids[self.used:self.used + len(new)] = new
-            self.used += len(new)
-            self.starts.append(self.used)
-        for word in words:
-            self.number[word] = len(self.number)
-
-    def encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, ids of each text)."""
-        words = [re.findall(r"[^ \n]+", t) for t in texts]
-        if len(self.number) > self.limit:
-            self.clear()
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in self.number))
-        for i in range(0, len(new), 5000):
-            self.learn(new[i:i + 5000])
-        per_text = np.array([len(ws) for ws in words])
-        which = np.fromiter((self.number[w] for ws in words for w in ws), np.int64, per_text.sum())
-        starts = np.array(self.starts)
-        size = starts[which + 1] - starts[which]
-        flat = self.ids[ranges(starts[which], size)]
-        before = lengths_to_starts(size)
-        ends = before[np.cumsum(per_text)]
-        lengths = np.diff(np.concatenate([[0], ends]))
-        if end is not None:
-            flat = np.insert(flat, ends, end)
-            lengths = lengths + 1
-        return flat, lengths
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
-    return Encoder(path)
-
-
-def frequency_ranks(docs: DataFrame, path: str, text: str = "text", end: int | None = 2) -> DataFrame:
+ENCODED = "doc_id long, ids binary"
+
+
+def id_type(path: str, end: int | None) -> str:
+    """The narrowest of 2 and 4 bytes that holds every id of the tokenizer file."""
+    most = max(word_encoder(path).tokenizer.get_vocab_size(with_added_tokens=True) - 1, end or 0)
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def encode_once(docs: DataFrame, folder: str, path: str, id: str = "doc_id", text: str = "text", end: int | None = 2) -> DataFrame:
+    """Write and read back (doc_id, ids): the ids of every whole text by the tokenizer file ``path``, then ``end``, as ``id_type`` numbers.
+
+    A null text is empty.
+    """
+    kind = id_type(path, end)
+    width = np.dtype(kind).itemsize
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = word_encoder(path)
+        for batch in batches:
+            values = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b, flat, counts in own.encode_all(values):
+                if end is not None:
+                    flat = np.insert(flat, np.cumsum(counts), end)
+                    counts = counts + 1
+                edges = (lengths_to_starts(counts) * width).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(edges), pa.py_buffer(flat.astype(kind))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), raw], ["doc_id", "ids"])
+
+    docs.select(F.col(id).cast("long"), text).mapInArrow(encode, ENCODED).write.parquet(folder)
+    return docs.sparkSession.read.schema(ENCODED).parquet(folder)
+
+
+def frequency_ranks(encoded: DataFrame, kind: str) -> DataFrame:
     """(id, n) of every id that occurs. One row per id of the vocabulary and task is shuffled."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = encoder(path), np.zeros(0, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            values = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in groups(values):
-                new = np.bincount(own.encode(values[a:b], end)[0])
-                size = max(len(new), len(total))
-                total = np.pad(total, (0, size - len(total))) + np.pad(new, (0, size - len(new)))
+            new = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
+            size = max(len(new), len(total))
+            total = np.pad(total, (0, size - len(total))) + np.pad(new, (0, size - len(new)))
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
-    return docs.select(text).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 BLOCK = "part int, before long, doc_ids array<long>, counts array<long>, control binary, data binary"
@@ -125,10 +100,14 @@ def write_tokens(docs: DataFrame, folder: str, path: str, id: str = "doc_id", te
     """Encode every whole text with the tokenizer file ``path`` and write the folder described above.
 
     A null text is empty and holds only the end id. Rows with equal ids follow each other; null ids come first.
-    The ranks go through the driver: at most ``max_vocabulary`` numbers, whatever the corpus.
+    Texts are encoded once; their ids are counted for the ranks and then dealt by id order. The ranks go through the driver: at
+    most ``max_vocabulary`` numbers, whatever the corpus.
     """
     spark = docs.sparkSession
-    found = frequency_ranks(docs, path, text, end).orderBy(F.desc("n"), "id").limit(max_vocabulary + 1).collect()
+    encoded = encode_once(docs, f"{work_folder(spark)}/encoded", path, id, text, end)
+    kind = id_type(path, end)
+    width = np.dtype(kind).itemsize
+    found = frequency_ranks(encoded, kind).orderBy(F.desc("n"), "id").limit(max_vocabulary + 1).collect()
     if len(found) > max_vocabulary:
         raise ValueError("the vocabulary has more ids than max_vocabulary")
     order = np.array([r["id"] for r in found], np.uint32)
@@ -141,19 +120,19 @@ def write_tokens(docs: DataFrame, folder: str, path: str, id: str = "doc_id", te
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, ranks, part, before = encoder(path), shared.value, TaskContext.get().partitionId(), 0
+        ranks, part, before = shared.value, TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, values = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            ids, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in groups(values):
-                flat, counts = own.encode(values[a:b], end)
+                flat = np.frombuffer(b"".join(values[a:b]), kind)
                 control, data = pack(ranks[flat])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part], pa.int32()), pa.array([before]), pa.array([ids[a:b]], pa.list_(pa.int64())),
-                     pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([control]), pa.array([data])],
+                     pa.array([[len(v) // width for v in values[a:b]]], pa.list_(pa.int64())), pa.array([control]), pa.array([data])],
                     ["part", "before", "doc_ids", "counts", "control", "data"])
                 before += len(flat)
 
-    ordered = docs.select(F.col(id).cast("long"), text).repartitionByRange(F.col(id)).sortWithinPartitions(id)
+    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     (ordered.mapInArrow(blocks, BLOCK).write.mode("overwrite").option("compression", "none").parquet(f"{folder}/blocks"))
 
 
