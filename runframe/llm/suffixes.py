@@ -320,7 +320,7 @@ def _merged(runs: DataFrame) -> DataFrame:
     return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "key long, first long, last long")
 
 
-def _hot_rows(joined: DataFrame, key: str, text: str, lists: str, length: int, flush: int = 4_000) -> DataFrame:
+def _hot_rows(joined: DataFrame, key: str, text: str, lists: str, length: int, flush: int = 2_000) -> DataFrame:
     """Windows of very frequent grams: (w1, w2, weight, key, at), equal suffixes of a stretch of documents put together.
 
     A suffix that occurs again in its stretch has weight 2, and rows with null hash that say so for its documents.
