@@ -159,7 +159,7 @@ def _passed(order: list[str], border: Column) -> Column:
 
 def _with_chunk(df: DataFrame, by: list[str], order: list[str], borders: DataFrame) -> DataFrame:
     """``df`` with its chunk's number inside the group (0 for groups that are not split) and whether the group is split."""
-    same = F.lit(True) if by else F.lit(1) == F.lit(1)
+    same = F.lit(True)  # without keys: one row
     for i, name in enumerate(by):
         same = same & df[name].eqNullSafe(borders[f"_k{i}"])
     met = df.join(F.broadcast(borders), same, "left")

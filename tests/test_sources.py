@@ -47,6 +47,19 @@ def test_two_hop_files(spark, tmp_path):
     assert (r.e2e, r.compute, r.upload, r.hold, r.wait, r.poll, r.download, r.visible) == (7, 1, 0.5, 1, 1, 2, 2, 4)
 
 
+def test_agent_metrics_files(spark, tmp_path):
+    full = {"node": "n1", "uptime_seconds": 9, "goroutines": 3, "memory": {"alloc_bytes": 5, "sys_bytes": 6}, "disk": {"bytes_used": 7, "run_count": 1},
+            "transfers": {"put_total": 4, "put_ok": 3, "put_conflict": 1, "bytes_in": 80}, "push": {"attempts": 2, "inflight": 1, "bytes_out": 50}, "config": {}}
+    write(tmp_path / "metrics-1.json", json.dumps(full, indent=2))
+    write(tmp_path / "metrics-2.json", json.dumps({"node": "n2", "uptime_seconds": 1}, indent=2))
+    metrics = rf.read_agent_metrics(spark, str(tmp_path))
+    samples = metrics.select(F.lit(1).alias("ts_s"), "node", F.lit("p").alias("agent_pod"), F.lit(None).cast("long").alias("cpu_m"),
+                             F.lit(2).cast("long").alias("mem_mb"), F.struct("*").alias("metrics"))
+    got = {r.node: r for r in rf.flatten_agent_metrics(samples).collect()}
+    assert (got["n1"].bytes_in, got["n1"].bytes_out, got["n1"].put_ok, got["n1"].push_failed, got["n1"].uptime_s, got["n1"].mem_alloc_b) == (80, 50, 3, 0, 9, 5)
+    assert (got["n2"].put_total, got["n2"].disk_bytes, got["n2"].uptime_s, got["n2"].cpu_m, got["n2"].mem_mb) == (0, 0, 1, 0, 2)
+
+
 def test_cells(spark, tmp_path):
     head = "rep,system,run_name,phase,makespan_s,wall_s,report_ok\n"
     write(tmp_path / "n4-d60-jpg/summary.csv", head + "1,a,r,Succeeded,5,6,1\n")
