@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import runframe as rf
 from checks import catalog_data, catalog_windows
-from runframe.functions.assignment import cheapest_allowed, min_cost_assignment
+from runframe.functions.assignment import cheapest_allowed, min_cost_assignment, most_similar
 from runframe.operators.tracking import bid_assignment
 
 
@@ -44,6 +45,28 @@ def test_forbidden_pairs(n, m, seed):
         assert sum(cost[i, j] for i, j in pairs) == pytest.approx(best[1])
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 30), st.integers(1, 30), st.integers(0, 4), st.integers(1, 6), st.booleans(), st.integers(0, 10_000))
+def test_most_similar_is_optimal(n, m, rounds, near, ties, seed):
+    rng = np.random.default_rng(seed)
+    left, right = (np.round(rng.normal(size=(k, 5)), 0 if ties else 9) for k in (n, m))
+    rows, cols = most_similar(left, right, rounds, near, cells=50)
+    sim = left @ right.T
+    best = sim[min_cost_assignment(1.0 - sim)].sum()
+    assert sim[rows, cols].sum() == pytest.approx(best)
+    assert len(set(rows)) == len(set(cols)) == min(n, m)
+
+
+def test_matching_holds_no_matrix():
+    """Two cameras of 1,000 tracklets: 8 MB of similarities, which one task must not hold."""
+    left, right = np.random.default_rng(1).normal(size=(2, 1_000, 64)) / 8
+    tracemalloc.start()
+    rows, cols = most_similar(left, right, near=16, cells=20_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(cols)) == 1_000 and peak < 4e6
+
+
 def iou(a, b):
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     if w <= 0 or h <= 0:
