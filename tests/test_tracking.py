@@ -153,6 +153,25 @@ def test_tracker(spark):
     assert tracks_of(df, hot_rows=0) == expected  # split into independent parts
 
 
+@pytest.mark.parametrize("warm", [0, 8])
+def test_tracker_in_chunks(spark, warm):
+    """Cameras cut at frames, with tracks carried over borders; links and components of the whole camera are never made."""
+    data = boxes(11, frames=90, per_frame=7)
+    still = [("a", f"{f:03d}", f, 5_000 + f, 100.0, 100.0, 110.0, 110.0, 0.5, "k", [1.0, 0.0]) for f in range(90)]
+    data += still  # one track over all borders
+    df = spark.createDataFrame(data, SCHEMA)
+    expected = {}
+    for camera in ("a", "b"):
+        expected.update(reference_tracks([r for r in data if r[0] == camera]))
+    assert {expected[r[3]] for r in still} == {5_000}
+    got = rf.track(df, hot_rows=0, warm=warm)
+    assert "Join" in got._jdf.queryExecution().optimizedPlan().toString()  # the border names
+    assert {r.det_id: r.track_id for r in got.collect()} == expected
+    assert got.count() == len(data)
+    if warm:  # a crowded frame: by parts
+        assert {r.det_id: r.track_id for r in rf.track(df, hot_rows=0, frame_rows=1).collect()} == expected
+
+
 def test_match_and_bids(spark):
     rng = np.random.default_rng(3)
     vec = rng.normal(size=(24, 6))
