@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runframe.functions.runtime import cut, work_folder
@@ -133,19 +136,47 @@ def connected_components(nodes: DataFrame, edges: DataFrame, id: str = "id") ->
     """Smallest member of each node's component; nodes without an edge stand alone.
 
     ``edges``: a, b. Alternates large-star and small-star steps until the edges stop changing;
-    each step is one aggregate and one join, and every step is written out.
+    each step is one aggregate and one join, and every step is written out. Tasks keep their size on larger graphs,
+    see ``_parts_for``.
     """
-    current = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    current = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     mark = _fingerprint(current)
-    while mark[0]:
-        current = cut(_small_star(_large_star(current)))
-        after = _fingerprint(current)
-        if after == mark:
-            break
-        mark = after
-    roots = current.groupBy("u").agg(F.min("v").alias("_root"))
-    return (nodes.select(id).distinct().join(roots.withColumnRenamed("u", id), id, "left")
-            .select(id, F.coalesce("_root", id).alias("component")))
+    with _parts_for(current.sparkSession, mark[0]) as many:
+        while mark[0]:
+            current = cut(_small_star(_large_star(current)))
+            after = _fingerprint(current)
+            if after == mark:
+                break
+            mark = after
+        roots = current.groupBy("u").agg(F.min("v").alias("_root"))
+        out = (nodes.select(id).distinct().join(roots.withColumnRenamed("u", id), id, "left")
+               .select(id, F.coalesce("_root", id).alias("component")))
+        return cut(out) if many else out
+
+
+#: Edges a task of a step should get.
+TASK_EDGES = 500_000
+
+
+@contextmanager
+def _parts_for(spark: SparkSession, edges: int) -> Iterator[bool]:
+    """More shuffle partitions for what runs inside, if the usual ones would get more than ``TASK_EDGES`` edges each.
+
+    They are not merged by their compressed size: pairs of sorted numbers take two bytes a row on disk and a hundred in memory.
+    """
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    needed = -(-edges // TASK_EDGES)
+    if needed <= usual:
+        yield False
+        return
+    merged = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", str(needed))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        yield True
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", str(usual))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
 
 
 def _fingerprint(edges: DataFrame) -> tuple:

@@ -284,3 +284,17 @@ def test_nms_keeps_boxes_without_corners_at_any_size(spark):
     df = spark.createDataFrame([(0, *r) for r in rows], "frame int, det_id long, x1 double, y1 double, x2 double, y2 double, score double")
     kept = [sorted(r["det_id"] for r in rf.nms(df, "frame", frame_rows=n).collect()) for n in (20_000, 0)]
     assert kept[0] == kept[1] == [1, 2, 4]
+
+
+def test_components_of_larger_graphs_take_more_tasks(spark, monkeypatch):
+    from runframe.operators import graph
+
+    parts, cut = [], graph.cut
+    monkeypatch.setattr(graph, "TASK_EDGES", 20)
+    monkeypatch.setattr(graph, "cut", lambda df: parts.append(spark.conf.get("spark.sql.shuffle.partitions")) or cut(df))
+    edges = [(i, i + 1) for i in range(0, 199) if i % 10 != 9] * 2
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    out = graph.connected_components(spark.range(202), spark.createDataFrame(edges, "a long, b long"))
+    assert set(parts[1:]) == {str(-(-len(edges) // 20))}
+    assert {r.id: r.component for r in out.collect()} == {i: i - i % 10 if i < 200 else i for i in range(202)}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == usual
