@@ -54,6 +54,32 @@ def test_links(spark, iou_min, gap):
     assert all(r["a_score"] == by_id[r["a_det_id"]][7] and r["b_frame_index"] == by_id[r["b_det_id"]][1] for r in found)
 
 
+@pytest.mark.parametrize("frame_rows", [0, 28, 1_000])
+@pytest.mark.parametrize("iou_min", [0.3, 0.05])
+def test_associations(spark, iou_min, frame_rows):
+    """Frames that meet whole, by cells, and some of both."""
+    rows = mixed(4, 200, 8)
+    df = spark.createDataFrame(rows, SCHEMA)
+    vector = {r[2]: [r[2] / 100, 1.0 - r[2] / 300] for r in rows if r[2] % 7}
+    embs = spark.createDataFrame([(r[0], r[2], vector[r[2]]) for r in rows if r[2] in vector], "camera string, det_id long, embedding array<double>")
+    found = rf.assoc_candidates(df, embs, iou_min, frame_rows=frame_rows).collect()
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and b[1] == a[1] + 1 and iou(a, b) >= iou_min and a[2] in vector and b[2] in vector:
+                want[a[0], a[1], a[2], b[2]] = (1 - iou(a, b)) * 0.7 + (1 - np.dot(vector[a[2]], vector[b[2]])) * 0.3
+    assert len(found) == len(want) > 40
+    assert {tuple(r)[:4]: r.cost for r in found} == pytest.approx(want)
+
+
+def test_frames_meet_whole_without_cells(spark):
+    """A box of a frame that is not crowded is no row per cell and level: two shuffles carry it, one for each neighbour."""
+    df = spark.createDataFrame(mixed(4, 200, 8), SCHEMA)
+    embs = df.selectExpr("camera", "det_id", "array(score, 1D) AS embedding")
+    plan = rf.assoc_candidates(df, embs)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") <= 3
+
+
 def test_a_box_of_any_size_makes_few_rows(spark):
     df = spark.createDataFrame([("c", 0, i, 0.3, -7.7, 0.3 + s, -7.7 + s / 3, 1.0) for i, s in enumerate([1e-3, 1.0, 640.0, 1e6, 1e12])], SCHEMA)
     assert own_cells(df).groupBy("det_id").count().agg(F.max("count")).first()[0] <= 4
