@@ -77,6 +77,16 @@ def test_flow_log_and_append(spark, tmp_path):
     assert rf.read_flows(spark, path).count() == 3
 
 
+def test_flow_lines_are_parsed_once(spark):
+    good = json.dumps({"fromTask": "a", "toTask": "b", "srcNode": "n1", "dstNode": "n2", "dataSize": 7, "startUnix": 1.0, "endUnix": 2.0, "ok": True})
+    rows = [good, " ", "", None, "{", ' {"fromTask": "x"', '{"fromTask": x}', '{"dataSize": "many"}', "junk", '  {"fromTask": "c}"', '{"fromTask": "d}"} tail', "{}"]
+    lines = spark.createDataFrame([(r,) for r in rows], "value string").where("value IS NULL OR value <> 'nothing'")
+    parsed = rf.parse_flow_lines(lines.selectExpr("concat(value, '') AS value"))
+    assert sorted(str(r.from_task) for r in parsed.collect()) == ["None", "a", "d}"]
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "trim(concat" not in plan
+
+
 def test_documents_blobs_and_reports(spark, tmp_path):
     write(tmp_path / "d.jsonl", '{"doc_id": "1", "text": "a"}\n{"doc_id": "2", "text": "b"}\n')
     docs = rf.read_jsonl_docs(spark, str(tmp_path / "d.jsonl"))
