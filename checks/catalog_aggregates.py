@@ -193,7 +193,7 @@ def mean_pair_bandwidth(v):
     SELECT template, task, node, round(runtime_ema, 6) AS runtime_ema, samples, round(data_ema, 4) AS data_ema
     FROM v_ema JOIN v_ema_data USING (template, task, node)""")
 def ema_profile(v):
-    out = rf.ema_profile(v.obs, ["template", "task", "node"], OBS_ORDER)
+    out = rf.ema_profile(v.kept_obs, ["template", "task", "node"], OBS_ORDER)
     return rounded(rounded(out, "runtime_ema"), "data_ema", digits=4)
 
 
@@ -201,7 +201,7 @@ def ema_profile(v):
     SELECT image, node, round(runtime_ema, 6) AS runtime_ema, samples, round(data_ema, 4) AS data_ema
     FROM v_image_ema JOIN v_image_data USING (image, node)""")
 def image_profile(v):
-    out = rf.ema_profile(v.obs, ["image", "node"], OBS_ORDER)
+    out = rf.ema_profile(v.kept_obs, ["image", "node"], OBS_ORDER)
     return rounded(rounded(out, "runtime_ema"), "data_ema", digits=4)
 
 
@@ -330,7 +330,7 @@ def template_summary(v):
     SELECT template, task, node, round(runtime_ema, 6) AS runtime_ema, samples, CASE WHEN lo = hi THEN 'flat' WHEN (runtime_ema - lo) / (hi - lo) < 0.33 THEN 'low'
       WHEN (runtime_ema - lo) / (hi - lo) < 0.66 THEN 'mid' ELSE 'high' END AS band FROM s""")
 def profile_matrix(v):
-    profiles = rf.ema_profile(v.obs, ["template", "task", "node"], OBS_ORDER, data=None)
+    profiles = rf.ema_profile(v.kept_obs, ["template", "task", "node"], OBS_ORDER, data=None)
     return rounded(rf.profile_matrix(profiles), "runtime_ema")
 
 
@@ -340,7 +340,7 @@ NODES = [f"n{i}" for i in range(8)]
 @query("pivot_matrix", "SELECT template, task, " + ", ".join(
     f"round(max(runtime_ema) FILTER (node = '{n}'), 6) AS {n}" for n in NODES) + " FROM v_ema GROUP BY template, task")
 def pivot_matrix(v):
-    profiles = rf.ema_profile(v.obs, ["template", "task", "node"], OBS_ORDER, data=None)
+    profiles = rf.ema_profile(v.kept_obs, ["template", "task", "node"], OBS_ORDER, data=None)
     return rounded(rf.pivot_matrix(profiles, NODES), *NODES)
 
 

@@ -56,7 +56,7 @@ CANDIDATES = """candidates AS (SELECT DISTINCT template, task, 'img' || (CAST(su
 
 
 def candidates(v):
-    seen = v.obs.select("template", "task", "image").distinct()
+    seen = v.kept_obs.select("template", "task", "image").distinct()
     return seen.withColumn("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat(
         F.lit("n"), k.cast("string"))))).selectExpr(
         "template", "task", "image", "node",
@@ -66,8 +66,8 @@ def candidates(v):
 
 
 def profiles(v):
-    by_task = rf.ema_profile(v.obs, ["template", "task", "node"], OBS_ORDER)
-    by_image = rf.ema_profile(v.obs, ["image", "node"], OBS_ORDER)
+    by_task = rf.ema_profile(v.kept_obs, ["template", "task", "node"], OBS_ORDER)
+    by_image = rf.ema_profile(v.kept_obs, ["image", "node"], OBS_ORDER)
     return by_task, by_image
 
 
@@ -103,7 +103,7 @@ def resolve_bytes(v):
 
 
 def link_profiles(v):
-    edges = v.obs.withColumnRenamed("task", "src_task")
+    edges = v.kept_obs.withColumnRenamed("task", "src_task")
     return rf.link_ema(edges, OBS_ORDER).withColumnsRenamed(
         {"transfer_sec_ema": "transfer_sec", "data_ema": "data_bytes"})
 

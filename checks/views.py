@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runframe import configure, spread
+from runframe.functions.runtime import work_folder
 
 OBS_ORDER = ["at", "ok", "ln", "pk", "sk", "price"]
 LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) AS bigint))"
@@ -77,9 +78,24 @@ class Views:
             f"{start} + l_quantity * 600 AS end", "l_returnflag <> 'R' AS ok", "cast(l_orderkey AS string) AS run")
 
     @cached_property
-    def obs(self) -> DataFrame:
+    def _joined(self) -> DataFrame:
         lines, orders = self.table("lineitem"), self.table("orders")
-        return lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr(
+        return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax", "l_returnflag", "o_orderdate", "o_orderpriority")
+
+    @cached_property
+    def obs(self) -> DataFrame:
+        return self._observed(self._joined)
+
+    @cached_property
+    def kept_obs(self) -> DataFrame:
+        """The same, joined once and kept as files: an operator that numbers its input reads it up to three times."""
+        folder = work_folder(self.spark)
+        self._joined.write.parquet(folder)
+        return self._observed(self.spark.read.schema(self._joined.schema).parquet(folder))
+
+    def _observed(self, joined: DataFrame) -> DataFrame:
+        return joined.selectExpr(
             "o_orderpriority AS template", "concat('task', l_linenumber) AS task",
             "concat('img', l_linenumber % 3) AS image", "concat('n', l_suppkey % 8) AS node",
             "l_quantity AS runtime", "if(l_returnflag = 'N', 0.0D, l_extendedprice) AS data_bytes",
