@@ -37,6 +37,6 @@ from runframe.sources.readers import (
     cell_columns, clean_runs, consolidate_cells, csv_columns, explode_runs, flatten_agent_metrics,
     flow_columns, links_from_map, parse_flow_lines, read_agent_metrics, read_blobs, read_flows,
     read_jsonl_docs, read_links, read_runs, read_two_hop, two_hop_columns)
-from runframe.sources.sinks import append_flows, append_history, size_shards, write_report, write_shards
+from runframe.sources.sinks import append_flows, append_history, size_shards, write_report, write_shards, write_texts
 from runframe.streaming.keyed import ema_stream, phase_changes, ready_stream, track_stream
 from runframe.streaming.operators import append_once, latest_state, on, on_batch, publish, rolling_metrics, subscribe

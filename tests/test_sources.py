@@ -101,6 +101,26 @@ def test_documents_blobs_and_reports(spark, tmp_path):
         rf.write_report(docs, str(tmp_path / "x"), format="xml")
 
 
+def test_tasks_put_their_files_in_place(spark, tmp_path):
+    """The driver does not move the files: those of a finished task are there even though the job fails later."""
+    def late(batches):
+        import time
+        for batch in batches:
+            if batch.column("id")[0].as_py() >= 50:
+                time.sleep(8)
+                raise ValueError("late")
+            yield batch
+
+    rows = spark.range(0, 100, 1, 2).selectExpr("id", "concat('p', id) AS value")
+    path = str(tmp_path / "texts")
+    with pytest.raises(Exception, match="late"):
+        rf.write_texts(rows.mapInArrow(late, rows.schema), path, "id")
+    assert len(list((tmp_path / "texts").glob("id=*/*.txt"))) == 50
+    rf.write_texts(rows, str(tmp_path / "whole"), "id")
+    blobs = rf.read_blobs(spark, str(tmp_path / "whole"), "*.txt").collect()
+    assert sorted(bytes(r.content) for r in blobs) == sorted(b"p%d\n" % i for i in range(100))
+
+
 def test_run_documents(spark):
     doc = {"metadata": {"name": "r1", "namespace": "ns", "creationTimestamp": "2024-01-01T00:00:00Z"},
            "spec": {"tasks": [{"name": "a", "image": "i", "runtime": 3}, {"name": "b", "image": "i", "dependencies": ["a"], "runtime": 2.5},
