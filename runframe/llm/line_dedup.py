@@ -1,17 +1,20 @@
 """Near-equal lines over all documents, by DataFrame operations only.
 
-Two lines of at most ``edits`` edits share one of edits + 1 segments of the shorter line, at a place that the lengths
-and the segment's number confine. So every distinct line stores its segments under (length, number, hash) and probes the
-few substrings that may equal a segment of a line up to ``edits`` shorter. Letter counts sort out most pairs inside
-the join; the rest is verified by a banded bit-parallel edit distance: a band of 2 * edits + 1 rows in one integer.
+Lines of similar length share a bucket, whose least length is cut into edits + 1 parts: the first ones counted from the
+start of a line, the others from its end. Two lines of at most ``edits`` edits share one part, moved by no more characters
+than edits fit before it (or behind it). So a distinct line has few keys: a hash of each part, for the middle ones
+at a few places. Lines with a common key are compared by letter counts inside the join; the rest is
+verified by a banded bit-parallel edit distance: a band of 2 * edits + 1 rows in one integer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runframe.functions.runtime import cut
+from runframe.functions.runtime import cut, work_folder
 from runframe.llm.common import RESULT, apart, free_name, row_key
 from runframe.operators.graph import connected_components
 
@@ -19,58 +22,54 @@ from runframe.operators.graph import connected_components
 LETTERS = ("e", "n", "i", "s", "r", "a", "t", "o", "u", "d", "l", "h", "c", "m", "g", " ")
 
 
-def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
-    """(first character, characters) of a line's segment: the last ones are one longer where it doesn't divide."""
-    short = F.floor(length / parts).cast("int")
-    longer = length % parts
-    first_longer = parts - longer
-    start = short * number + F.greatest(F.lit(0), F.lit(number) - first_longer)
-    return start.cast("int") + 1, (short + F.when(F.lit(number) >= first_longer, 1).otherwise(0)).cast("int")
+def _bucket(length: Column, edits: int) -> Column:
+    """Least length of a length's bucket. Buckets are at least ``edits`` wide, so a line and a shorter one within ``edits`` edits
+    share a bucket if the longer one also enters that of its length less ``edits``."""
+    step = max(edits, 1)
+    width = F.when(length < 32 * step, 2 * step).otherwise(8 * step)
+    return (length - length % width).cast("int")
+
 
+def _part_hashes(line: Column, length: Column, bucket: Column, edits: int) -> list[Column]:
+    """Hashes of a line's parts in a bucket.
 
-def _index_rows(line: Column, length: Column, edits: int) -> Column:
-    parts = edits + 1
-    rows = []
-    for i in range(parts):
-        start, size = _segment(length, i, parts)
-        rows.append(F.xxhash64(length, F.lit(i), line.substr(start, size)))
-    return F.array(*rows)
+    Of the parts of the shorter of two near lines take the first one such that the parts up to it hold no more edits than
+    its number: it holds none, and as many as its number lie before it. A part with a lead of ``shifts`` either way is stored
+    shorter by that, at the places 0 … ``shifts``; of two lines one has at place 0 what the other has further on.
+    """
+    short = F.floor(bucket / (edits + 1)).cast("int")
+    hashes = []
+    for i in range(edits + 1):
+        shifts = min(i, edits - i)
+        size = (bucket - short * edits if i == edits // 2 else short) - shifts
+        start = short * i if i <= edits - i else length - short * (edits + 1 - i)
+        hashes += [F.xxhash64(bucket, F.lit(i), line.substr(start + (1 + shift), size)) for shift in range(shifts + 1)]
+    return hashes
 
 
-def _probe_rows(line: Column, length: Column, edits: int) -> Column:
-    """Substrings that may equal segment i of a line shorter by d; edits left and right of it bound its place."""
-    parts = edits + 1
-    rows = []
-    for d in range(edits + 1):
-        shorter = (length - d).cast("int")
-        for i in range(parts):
-            start, size = _segment(shorter, i, parts)
-            low, high = max(-i, d - (edits - i)), min(i, d + (edits - i))
-            rows += [F.xxhash64(shorter, F.lit(i), line.substr(start + shift, size)) for shift in range(low, high + 1)]
-    return F.array_distinct(F.array(*rows))
+def _line_keys(edits: int) -> Column:
+    """Keys of the line ``line`` of ``len`` characters in its bucket ``own``, and in ``lower`` if that is another one."""
+    own, lower = (_part_hashes(F.col("line"), F.col("len"), F.col(c), edits) for c in ("own", "lower"))
+    return F.when(F.col("own") == F.col("lower"), F.array(*own)).otherwise(F.array(*own, *lower))
 
 
 def _letter_counts(line: Column) -> Column:
-    """Two integers with eight counts of eight bits each."""
+    """An integer with sixteen counts of four bits each."""
     size = F.octet_length(line)
-    packed = []
-    for half in (LETTERS[:8], LETTERS[8:]):
-        total = F.lit(0).cast("long")
-        for k, letter in enumerate(half):
-            n = (size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 256
-            total = total.bitwiseOR(F.shiftleft(n.cast("long"), 8 * k))
-        packed.append(total)
-    return F.array(*packed)
+    total = F.lit(0).cast("long")
+    for k, letter in enumerate(LETTERS):
+        n = (size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 16
+        total = total.bitwiseOR(F.shiftleft(n.cast("long"), 4 * k))
+    return total
 
 
 def _letters_differ(a: str, b: str) -> Column:
-    """A lower bound of twice the edits: the counts' differences, each modulo 256."""
+    """A lower bound of twice the edits: the counts' differences, each modulo 16."""
     total = F.lit(0)
-    for half in (0, 1):
-        for k in range(8):
-            pick = lambda c: F.shiftright(F.col(c)[half], 8 * k).bitwiseAND(255).cast("int")  # noqa: E731, B023
-            gap = F.abs(pick(a) - pick(b))
-            total = total + F.least(gap, 256 - gap)
+    for k in range(len(LETTERS)):
+        pick = lambda c: F.shiftright(F.col(c), 4 * k).bitwiseAND(15).cast("int")  # noqa: E731, B023
+        gap = F.abs(pick(a) - pick(b))
+        total = total + F.least(gap, 16 - gap)
     return total
 
 
@@ -81,20 +80,19 @@ def edit_distance(longer: Column, shorter: Column, edits: int) -> Column:
     """
     width = 2 * edits + 1
     full = (1 << width) - 1
-    pattern, line = F.split(longer, "(?!^)(?!$)"), F.split(shorter, "(?!^)(?!$)")
     m, n = F.length(longer), F.length(shorter)
 
-    def equal(c: Column, j: Column) -> Column:
-        mask = F.lit(0)
-        for b in range(width):
-            mask = mask + F.when(F.get(pattern, j - edits + b) == c, 1 << b).otherwise(0)
-        return mask
+    def masks(both: Column) -> Column:
+        def equal(c: Column, j: Column) -> Column:
+            mask = F.lit(0)
+            for b in range(width):
+                mask = mask + F.when(F.get(both["pattern"], j - edits + b) == c, 1 << b).otherwise(0)
+            return mask
 
-    masks = F.transform(line, equal)
+        return F.transform(both["line"], equal)
 
     def step(state: Column, mask: Column) -> Column:
         vp, vn = state["vp"], state["vn"]
-        d0 = (((mask.bitwiseAND(vp)) + vp).bitwiseXOR(vp)).bitwiseOR(mask).bitwiseOR(vn)
 
         def rest(d: Column) -> Column:
             hp = vn.bitwiseOR(F.bitwise_not(d.bitwiseOR(vp)))
@@ -103,12 +101,21 @@ def edit_distance(longer: Column, shorter: Column, edits: int) -> Column:
             return F.struct(
                 hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))).bitwiseAND(full).alias("vp"),
                 down.bitwiseAND(hp).bitwiseAND(full).alias("vn"),
-                (state["score"] + 1 - F.call_function("shiftright", d, F.lit(edits) + m - n).bitwiseAND(1)).alias("score"))
+                (state["score"] + 1 - F.call_function("shiftright", d, state["diagonal"]).bitwiseAND(1)).alias("score"),
+                state["diagonal"].alias("diagonal"))
+
+        d0 = (((mask.bitwiseAND(vp)) + vp).bitwiseXOR(vp)).bitwiseOR(mask).bitwiseOR(vn)
+        return _bound(d0, rest)
+
+    begin = F.struct(F.lit(full & ~((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), (m - n).alias("score"),
+                     (F.lit(edits) + m - n).alias("diagonal"))
+    letters = F.struct(F.split(longer, "(?!^)(?!$)").alias("pattern"), F.split(shorter, "(?!^)(?!$)").alias("line"))
+    return F.aggregate(_bound(letters, masks), begin, step, lambda s: s["score"])
 
-        return F.get(F.transform(F.array(d0), rest), F.lit(0))
 
-    begin = F.struct(F.lit(full & ~((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), (m - n).alias("score"))
-    return F.aggregate(masks, begin, step, lambda s: s["score"])
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def line_rows(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -126,27 +133,27 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 20, id: str =
     since two edits would join unlike short lines; the first place is the smallest (doc, key, no), a
     null id before all others.
     """
-    hashed = line_rows(docs, id, text).select(
-        F.xxhash64("line").alias("f"), F.xxhash64(F.lit(1), "line").alias("h"), "doc", "key", "no", "line")
-    distinct = cut(hashed.groupBy("f", "h").agg(F.min(F.struct("doc", "key", "no")).alias("first"), F.count(F.lit(1)).alias("n"),
-                                             F.max(F.length("line")).alias("len")))
-    # the text of each distinct line that is compared, read where it first occurs
-    at = distinct.where(F.col("len") >= min_chars).select("f", "h", F.col("first.doc").alias("doc"), F.col("first.key").alias("key"), F.col("first.no").alias("no"))
-    long = hashed.where(F.length("line") >= min_chars)
-    lines = long.join(at, (long.f == at.f) & (long.h == at.h) & long.doc.eqNullSafe(at.doc)
-                        & (long.key == at.key) & (long.no == at.no), "left_semi").dropDuplicates(["f", "h"])
-    length = F.length("line")
-    lines = lines.select("f", "h", "line", length.alias("len"), _letter_counts(F.col("line")).alias("letters"))
-    stored = lines.select(F.col("f").alias("f2"), F.col("h").alias("h2"), F.col("letters").alias("l2"), F.col("len").alias("len2"),
-                          F.explode(_index_rows(F.col("line"), F.col("len"), edits)).alias("k"))
-    asked = lines.select("f", "h", "letters", "len", F.explode(_probe_rows(F.col("line"), F.col("len"), edits)).alias("k"))
-    near = (asked.join(stored, "k").where("len - len2 BETWEEN 0 AND " + str(edits))
-            .where((F.col("len") > F.col("len2")) | (F.struct("f", "h") > F.struct(F.col("f2"), F.col("h2"))))
-            .where(_letters_differ("letters", "l2") <= 2 * edits).select("f", "h", "f2", "h2").distinct())
-    near = cut(near)
-    text_of = lines.select("f", "h", "line")
-    both = (near.join(text_of, ["f", "h"])
-            .join(text_of.select(F.col("f").alias("f2"), F.col("h").alias("h2"), F.col("line").alias("line2")), ["f2", "h2"]))
+    sized = line_rows(docs, id, text).withColumn("len", F.length("line"))
+    hashed = (sized.withColumn("own", _bucket(F.col("len"), edits)).withColumn("lower", _bucket(F.greatest(F.col("len") - edits, F.lit(0)), edits))
+              .select(F.xxhash64("line").alias("f"), F.xxhash64(F.lit(1), "line").alias("h"), "doc", "key", "no",
+                      F.when(F.col("len") >= min_chars, _line_keys(edits)).alias("keys")))
+    folder = f"{work_folder(docs.sparkSession)}/lines"
+    hashed.groupBy("f", "h").agg(F.min(F.struct("doc", "key", "no")).alias("first"), F.count(F.lit(1)).alias("n"),
+                                 F.first("keys").alias("keys")).write.parquet(folder)
+    found = docs.sparkSession.read.parquet(folder)
+    distinct = found.drop("keys")
+    # few lines share a key with another one; only those are read and compared
+    shared = cut(found.select("f", F.explode("keys").alias("k")).withColumn("sharers", F.count(F.lit(1)).over(Window.partitionBy("k")))
+                 .where("sharers > 1").select("f", "k"))
+    text_of = cut(_lines_at(docs, distinct.join(shared.select("f").distinct(), "f", "left_semi"), id, text)
+                  .withColumn("len", F.length("line")).withColumn("letters", _letter_counts(F.col("line"))))
+    asked = shared.join(text_of.drop("line"), "f")
+    stored = asked.select("k", *[F.col(c).alias(f"{c}2") for c in ("f", "h", "len", "letters")])
+    near = cut(asked.join(stored, "k").where(f"len - len2 BETWEEN 0 AND {edits}")
+               .where("len > len2 OR struct(f, h) > struct(f2, h2)")
+               .where(_letters_differ("letters", "letters2") <= 2 * edits).select("f", "h", "f2", "h2").distinct())
+    text_of = text_of.select("f", "h", "line")
+    both = near.join(text_of, ["f", "h"]).join(text_of.selectExpr("f AS f2", "h AS h2", "line AS line2"), ["f2", "h2"])
     links = cut(both.where(edit_distance(F.col("line"), F.col("line2"), edits) <= edits).select("f", "h", "f2", "h2"))
     # components over one number per line; the numbers of linked lines only
     linked = cut(links.select("f", "h").unionByName(links.select(F.col("f2").alias("f"), F.col("h2").alias("h"))).distinct()
@@ -162,6 +169,17 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 20, id: str =
     return classes, links
 
 
+def _lines_at(docs: DataFrame, lines: DataFrame, id: str, text: str, at_most: int = 500_000) -> DataFrame:
+    """(f, h, line) of distinct lines, each read where it first occurs. Up to ``at_most`` of them go to the texts by broadcast."""
+    lines = cut(lines.select("f", "h", "first.doc", "first.key", "first.no"))
+    places = lines.groupBy("doc", "key").agg(F.collect_list(F.struct("no", "f", "h")).alias("at"))
+    places = F.broadcast(places) if lines.count() <= at_most else places
+    own = docs.select(F.col(id).cast("long").alias("doc"), row_key(id, text).alias("key"), F.split(text, "\n").alias("lines"))
+    met = own.join(places, (own.key == places.key) & own.doc.eqNullSafe(places.doc))
+    return (met.select("lines", F.explode("at").alias("x")).select("x.f", "x.h", F.get("lines", F.col("x.no")).alias("line"))
+            .dropDuplicates(["f", "h"]))
+
+
 def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, id: str = "doc_id", text: str = "text",
                 out: str = "lines") -> DataFrame:
     """``docs`` with every line but the first of its class cut out, and a struct ``out``: n_lines, n_exact, n_near.

@@ -332,6 +332,35 @@ def test_banded_distance(spark, edits):
         assert min(r["d"], edits + 1) == min(distance(r["a"], r["b"]), edits + 1)
 
 
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_line_keys(spark, edits):
+    """Near lines share a key, also across the limits of length buckets; a line has few keys."""
+    rng = np.random.default_rng(edits)
+    pairs = []
+    for size in [1, 2, 3, 5, 7, 8, 9, 15, 16, 17, 18, 20, 31, 32, 33, 63, 64, 65, 66, 79, 80, 81, 95, 96, 97, 98] * 12:
+        a = "".join(rng.choice(list("abé "), size))
+        pairs.append((a, edited(rng, a, edits)))
+
+    def keys(c):
+        own = F.length(c)
+        line = F.struct(F.col(c).alias("line"), own.alias("len"), line_dedup._bucket(own, edits).alias("own"),
+                        line_dedup._bucket(F.greatest(own - edits, F.lit(0)), edits).alias("lower"))
+        return spark.createDataFrame(pairs, "a string, b string").select(line.alias("x")).select("x.*").select(
+            line_dedup._line_keys(edits).alias("k")).collect()
+
+    for (a, b), x, y in zip(pairs, keys("a"), keys("b")):
+        assert set(x["k"]) & set(y["k"]), (a, b)
+        assert len(x["k"]) <= 2 * (1, 2, 4, 6)[edits]
+
+
+def test_distance_of_long_lines_is_linear(spark):
+    """Each line is split once, not again for every character of the other one."""
+    a = "abcdé " * 3_400
+    got = spark.createDataFrame([(a + "x", a[:9_000] + "y" + a[9_001:])], "a string, b string").select(
+        line_dedup.edit_distance(F.col("a"), F.col("b"), 2)).first()[0]
+    assert got == 2
+
+
 def test_near_lines(spark):
     rng = np.random.default_rng(9)
     base = ["".join(rng.choice(list("abcdé "), rng.integers(8, 20))) for _ in range(25)]
