@@ -12,7 +12,7 @@ the class table; words, pairs and neighbour counts stay in Spark.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,20 +80,68 @@ def _numbered(batch: list[bytes], numbers: Numbers) -> tuple[np.ndarray, np.ndar
     return out, starts, words
 
 
-def _bigrams(docs: DataFrame, text: str, hashes: np.ndarray) -> DataFrame:
-    """(v, w, n) of neighbouring token numbers over all texts."""
+def _neighbours(docs: DataFrame, text: str, hashes: np.ndarray) -> DataFrame:
+    """Neighbouring token numbers over all texts with their counts, in compressed blocks of (word, code, n), see ``_blocks``.
+
+    ``code`` is twice the neighbour's number, and one more if it comes before the word. Each word has all that follow it; words with a
+    class also have those before, but themselves. All blocks of a word lie in one partition, in the order of words, so
+    that every turn of ``exchange`` reads them where they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(hashes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Numbers(shared.value)
-        size = len(shared.value) + 2
         for batch in batches:
             ids = _numbered(texts(batch, text), known)[0].astype(np.int64)
-            pair, n = np.unique(ids[:-1] * size + ids[1:], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((pair // size).astype(np.int32)), pa.array((pair % size).astype(np.int32)),
-                                              pa.array(n)], ["v", "w", "n"])
+            v, w = ids[:-1], ids[1:]
+            before = (w >= 2) & (v != w)
+            key, n = np.unique(np.concatenate([v << 32 | w << 1, w[before] << 32 | v[before] << 1 | 1]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        own = zstandard.ZstdCompressor(level=3)
+        for key, n in _gathered(batches):
+            at = np.flatnonzero(np.diff(key, prepend=-1))  # equal pairs of several batches follow each other
+            key, n = key[at], np.add.reduceat(n, at)
+            data = own.compress((key >> 32).astype(np.uint32).tobytes() + key.astype(np.uint32).tobytes() + n.astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
+
+    rows = docs.select(text).mapInArrow(count, "key long, n long")
+    return cut(rows.repartition(F.shiftright("key", 32)).sortWithinPartitions("key").mapInArrow(pack, "data binary"))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(word, neighbour, whether it comes before the word, n) of the blocks of ``_neighbours``."""
+    import zstandard
+
+    own = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            data = own.decompress(x)
+            rows = len(data) // 16
+            code = np.frombuffer(data, np.uint32, rows, 4 * rows)
+            yield (np.frombuffer(data, np.uint32, rows).astype(np.int64), (code >> 1).astype(np.int64), (code & 1).astype(bool),
+                   np.frombuffer(data, np.int64, rows, 8 * rows))
+
+
+def _class_table(pairs: DataFrame, of: np.ndarray, k: int) -> np.ndarray:
+    """Counts of neighbouring classes: k * k cells."""
+    shared = pairs.sparkSession.sparkContext.broadcast(of)
+
+    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table = shared.value.astype(np.int64), np.zeros(k * k)
+        for word, other, before, n in _blocks(batches):
+            after = ~before
+            table += np.bincount(now[word[after]] * k + now[other[after]], n[after], k * k)
+        cells = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(table[cells])], ["cell", "n"])
 
-    return docs.select(text).mapInArrow(count, "v int, w int, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
+    table = np.zeros(k * k)
+    cells = pairs.mapInArrow(by_class, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    return table.reshape(k, k)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 300_000) -> Iterator[tuple[np.ndarray, ...]]:
@@ -104,33 +152,62 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 300_000) -> Iterato
         if sum(map(len, parts)) >= rows:
             yield tuple(c.to_numpy() for c in pa.Table.from_batches(parts).columns)
             parts = []
-    if parts:
+    if sum(map(len, parts)):
         yield tuple(c.to_numpy() for c in pa.Table.from_batches(parts).columns)
 
 
+def _words_of_blocks(batches: Iterator[pa.RecordBatch], now: np.ndarray, k: int, wanted: Callable[[np.ndarray], np.ndarray],
+                     ) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+    """(word, counts before it by class, counts after it by class, count of itself after it); a word may go on in the next block."""
+    last, left, right, own = -1, None, None, 0.0
+    for word, other, before, n in _blocks(batches):
+        kept = wanted(word)
+        word, other, before, n = word[kept], other[kept], before[kept], n[kept]
+        if not len(word):
+            continue
+        near = now[other] + k * before
+        itself = word == other
+        edges = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1, [len(word)]])
+        near, n_near = np.where(itself, 0, near), np.where(itself, 0, n)
+        selves = np.add.reduceat(np.where(itself, n, 0), edges[:-1])
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            both = np.bincount(near[a:b], n_near[a:b], 2 * k)
+            if word[a] == last:
+                left, right, own = left + both[k:], right + both[:k], own + float(selves[i])
+                continue
+            if last >= 0:
+                yield last, left, right, own
+            last, left, right, own = int(word[a]), both[k:], both[:k], float(selves[i])
+    if last >= 0:
+        yield last, left, right, own
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+    return x * np.log(np.maximum(x, 1))
 
 
 def _best_classes(left: np.ndarray, right: np.ndarray, both: np.ndarray, old: int, total: np.ndarray, own: float,
-                  self_n: float, movable: int) -> tuple[int, float]:
+                  self_n: float, movable: int, logs: np.ndarray | None = None) -> tuple[int, float]:
     """Best class of one word against the bigram table of classes, all other words fixed.
 
     ``left[c]``: pairs (word of class c, this word); ``right[c]``: (this word, word of class c), both without the
-    pairs of the word with itself. The score is sum N(c,d) log N(c,d) - 2 sum N(c) log N(c).
+    pairs of the word with itself. The score is sum N(c,d) log N(c,d) - 2 sum N(c) log N(c). ``logs`` is ``_xlogx(both)``.
     """
+    logs = _xlogx(both) if logs is None else logs
     unigram = total.copy()
     unigram[old] -= own
     classes = np.arange(movable, len(total))
     gain = np.zeros(len(classes))
     # column c gains left, row c gains right; the cell (c, c) gets both. Only neighbours' rows and columns change
-    for near, far, table in ((left, right, both), (right, left, both.T)):
+    for near, far, table, known in ((left, right, both, logs), (right, left, both.T, logs.T)):
         at = np.flatnonzero(near)
-        cells = table[at, movable:]
+        cells, before = table[at, movable:], known[at, movable:]
         cells[:, old - movable] -= near[at]
         cells[at == old] -= far[movable:]
         cells[at == old, old - movable] -= self_n
-        gain += (_xlogx(cells + near[at][:, None]) - _xlogx(cells)).sum(0)
+        before[:, old - movable] = _xlogx(cells[:, old - movable])
+        before[at == old] = _xlogx(cells[at == old])
+        gain += (_xlogx(cells + near[at][:, None]) - before).sum(0)
     cell = both[classes, classes]
     cell[old - movable] -= left[old] + right[old] + self_n
     gain -= _xlogx(cell + left[classes]) + _xlogx(cell + right[classes]) - 2 * _xlogx(cell)
@@ -140,14 +217,14 @@ def _best_classes(left: np.ndarray, right: np.ndarray, both: np.ndarray, old: in
     return int(classes[best]), float(gain[best] - gain[old - movable])
 
 
-def exchange(bigrams: DataFrame, counts: np.ndarray, classes: int, rounds: int, turns: int = 3) -> np.ndarray:
+def exchange(pairs: DataFrame, counts: np.ndarray, classes: int, rounds: int, turns: int = 3) -> np.ndarray:
     """Class of every token number. The end and the open class stay; all other words are exchanged.
 
     Each round works in ``turns``: one part of the words moves against the class table of the moment, all its words at
-    once. Their neighbour counts by class are aggregated over the cluster; only class numbers, at most one for each
-    word, and the class table return to the driver.
+    once. Their neighbours lie together (``_neighbours``), so a turn shuffles no more than the class table; only class numbers,
+    at most one for each word, and the class table return to the driver.
     """
-    spark = bigrams.sparkSession
+    spark = pairs.sparkSession
     size = len(counts)
     of = np.zeros(size, np.int32)
     of[OPEN] = 1
@@ -155,71 +232,21 @@ def exchange(bigrams: DataFrame, counts: np.ndarray, classes: int, rounds: int,
     k = classes + 2
     words_n = counts.astype(np.float64)
     for turn in range(rounds * turns if size > 2 else 0):
-        shared = spark.sparkContext.broadcast(of)
-
-        def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now = shared.value
-            total: dict[str, np.ndarray] = {}
-            for v, w, n in _gathered(batches):
-                at, sums = np.unique(now[v].astype(np.int64) * k + now[w], return_inverse=True)
-                table = np.zeros(k * k, np.int64)
-                np.add.at(table, at, np.bincount(sums, n, len(at)).astype(np.int64))
-                total["t"] = total.get("t", 0) + table
-                rows = []
-                for side, word, other in (("l", w, v), ("r", v, w)):
-                    mine = (word >= 2) & (word % turns == turn % turns) & (v != w)
-                    key, back = np.unique(word[mine].astype(np.int64) * k + now[other[mine]], return_inverse=True)
-                    rows.append((key + (size * k if side == "r" else 0), np.bincount(back, n[mine], len(key))))
-                same = (v == w) & (v >= 2) & (v % turns == turn % turns)
-                rows.append((2 * size * k + v[same].astype(np.int64), n[same].astype(np.float64)))
-                key = np.concatenate([r[0] for r in rows])
-                value = np.concatenate([r[1] for r in rows]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(value)], ["key", "n"])
-            if total:
-                cells = np.flatnonzero(total["t"])
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - cells), pa.array(total["t"][cells])], ["key", "n"])
-
-        sums = cut(bigrams.mapInArrow(by_class, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-        table = np.zeros(k * k)
-        cells = sums.where("key < 0").toArrow()  # the class table: k * k cells
-        table[-1 - cells["key"].to_numpy()] = cells["n"].to_numpy()
-        frozen = spark.sparkContext.broadcast((of, table.reshape(k, k), np.bincount(of, words_n, k)))
-        moves = (sums.where("key >= 0").withColumn("word", F.when(F.col("key") < 2 * size * k, F.expr(f"key div {k} % {size}"))
-                                                   .otherwise(F.col("key") - 2 * size * k))
-                 .repartition("word").sortWithinPartitions("word"))
+        frozen = spark.sparkContext.broadcast((of, _class_table(pairs, of, k), np.bincount(of, words_n, k)))
 
         def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, both, total = frozen.value
-            keep = None
-            for batch in batches:
-                part = pa.Table.from_batches([batch])
-                part = pa.concat_tables([keep, part]) if keep is not None else part
-                word = part.column("word").to_numpy()
-                last = int(np.searchsorted(word, word[-1])) if len(word) else 0
-                yield from decide(part.slice(0, last), now, both, total)
-                keep = part.slice(last)
-            if keep is not None:
-                yield from decide(keep, now, both, total)
-
-        def decide(part: pa.Table, now: np.ndarray, both: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
-            word, key, n = (part.column(c).to_numpy() for c in ("word", "key", "n"))
-            edges = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1, [len(word)]]) if len(word) else [0]
-            out = []
-            for a, b in zip(edges[:-1], edges[1:]):
-                w = int(word[a])
-                left, right, own = np.zeros(k), np.zeros(k), key[a:b]
-                is_left, is_self = own < size * k, own >= 2 * size * k
-                is_right = ~is_left & ~is_self
-                left[own[is_left] % k] = n[a:b][is_left]
-                right[(own[is_right] - size * k) % k] = n[a:b][is_right]
-                best, better = _best_classes(left, right, both, now[w], total, float(words_n[w]), float(n[a:b][is_self].sum()), 2)
+            logs, out = _xlogx(both), []
+            mine = lambda word: (word >= 2) & (word % turns == turn % turns)
+            for w, left, right, own in _words_of_blocks(batches, now.astype(np.int64), k, mine):
+                best, better = _best_classes(left, right, both, now[w], total, float(words_n[w]), own, 2, logs)
                 if best != now[w] and better > 1e-6:
                     out.append((w, best))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int32()) for i in (0, 1)], ["word", "class"])
 
         new = of.copy()
-        moved = moves.mapInArrow(move, "word int, class int").toArrow()  # at most one row for each word
+        moved = pairs.mapInArrow(move, "word int, class int").toArrow()  # at most one row for each word
         new[moved["word"].to_numpy()] = moved["class"].to_numpy()
         if (new == of).all() and turn >= turns:
             break
@@ -270,24 +297,12 @@ def train(docs: DataFrame, text: str = "text", least: int = 2, classes: int | No
     counts = np.concatenate([[ends["n"] if ends else 0, 0], found["n"].to_numpy()[order]]).astype(np.float64)
     counts[OPEN] = tokens - counts.sum()
     rest = words.where(~often & (F.col("word") != F.lit(END_WORD)))
-    bigrams = cut(_bigrams(docs, text, hashes))
+    pairs = _neighbours(docs, text, hashes)
     classes = classes or class_number(len(hashes))
-    of = exchange(bigrams, counts, classes, rounds)
-    shared = docs.sparkSession.sparkContext.broadcast(of)
-    k = classes + 2
-
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(k * k)
-        for v, w, n in _gathered(batches):
-            table += np.bincount(shared.value[v].astype(np.int64) * k + shared.value[w], n, k * k)
-        cells = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(table[cells])], ["cell", "n"])
-
-    table = np.zeros(k * k)
-    cells = bigrams.mapInArrow(by_class, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    of = exchange(pairs, counts, classes, rounds)
+    table = _class_table(pairs, of, classes + 2)
     open_types = types - len(hashes) - (1 if ends else 0)
-    model = Model(hashes, of, counts, table.reshape(k, k), tokens, types, open_types)
+    model = Model(hashes, of, counts, table, tokens, types, open_types)
     return model, rest.select("word", "n")
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +245,43 @@ def test_every_repeated_word_has_a_class_at_any_size(spark):
     assert brown.class_number(30_000) < brown.class_number(170_000) < brown.class_number(10 ** 7)
 
 
+def test_neighbours_lie_together(spark):
+    """Both sides of every pair, each word in one partition, and a turn reads them without a shuffle of pairs."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(list("abcdefgh"), 30))) for i in range(50)] + [(50, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    import xxhash
+    hashes = np.sort(np.array([xxhash.xxh64_intdigest(c) for c in "abcdef"], np.uint64).view(np.int64))
+    number = {c: int(np.searchsorted(hashes, np.uint64(xxhash.xxh64_intdigest(c)).view(np.int64))) + 2 for c in "abcdef"}
+    want: dict = {}
+    ends = [brown.END]
+    for r in docs.collect():
+        ends += [number.get(c, brown.OPEN) for c in (r["text"] or "").split()] + [brown.END]
+    pairs = brown._neighbours(docs, "text", hashes)
+    got, homes = {}, {}
+    for part, batch in enumerate(pairs.rdd.glom().collect()):
+        block = pa.RecordBatch.from_arrays([pa.array([bytes(r["data"]) for r in batch], pa.binary())], ["data"])
+        for columns in brown._blocks([block]):
+            for w, o, before, n in zip(*(c.tolist() for c in columns)):
+                got[w, o, before] = got.get((w, o, before), 0) + n
+                homes.setdefault(w, set()).add(part)
+    for v, w in zip(ends[:-1], ends[1:]):
+        want[v, w, False] = want.get((v, w, False), 0) + 1
+        if w >= 2 and v != w:
+            want[w, v, True] = want.get((w, v, True), 0) + 1
+    inner = {k: n for k, n in want.items() if k[0] >= 2}
+    assert {k: n for k, n in got.items() if k[0] >= 2} == inner
+    assert sum(n for (w, _, before), n in got.items() if not before) == len(ends) - 1
+    assert all(len(h) == 1 for h in homes.values())
+    of = np.arange(8)
+    once = list(brown._words_of_blocks([pa.RecordBatch.from_arrays([pa.array(
+        [bytes(r["data"]) for r in pairs.collect()], pa.binary())], ["data"])], of, 8, lambda w: w >= 2))
+    assert sorted(w for w, *_ in once) == list(range(2, 8))
+    for w, left, right, own in once:
+        assert own == want.get((w, w, False), 0) and right.sum() + own == sum(n for (v, _, b), n in want.items() if v == w and not b)
+        assert left.sum() == sum(n for (v, _, b), n in want.items() if v == w and b)
+
+
 # toxicity
 
 def test_network_gradients():
