@@ -114,6 +114,30 @@ def test_jaccard_components(spark, n, percent, k, starts):
     assert {r[0]: (r[1], r[2]) for r in got.collect()} == naive_components(rows, n, percent)
 
 
+def test_jaccard_family(spark):
+    """A document beyond the reach of its family's middle shows no common token to documents of about its size."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(120):
+        words = [f"w{x}" for x in range(150)]
+        for at in rng.choice(150, i % 8, replace=False):
+            words[at] = f"n{i}-{at}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.jaccard_components(docs, 3, 90)
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == naive_components(rows, 3, 90)
+    # of 148 tokens 9 or more are its own, and the others follow
+    shown = spark.createDataFrame([(i, i, 148, pos, pos) for i in range(2) for pos in range(9, 15)], "id long, g long, n long, pos int, t long")
+    asked, stored = ngram_join._bands(shown, 90, 1, bands=4)
+    assert asked.count() == 0 and stored.where("lo = hi AND pos > 9").count() == 0
+    sets = [rng.choice(4000, 300, replace=False) for _ in range(40)]
+    sketch = ngram_join.parities(np.concatenate(sets).astype(np.uint64), np.repeat(np.arange(40), 300), 40)
+    for a in range(40):
+        for b in range(a):
+            bits = sum(int(x).bit_count() for x in (sketch[a] ^ sketch[b]).view(np.uint64))
+            assert bits <= len(np.setxor1d(sets[a], sets[b]))
+
+
 def test_jaccard_odd_rows(odd, empty):
     got = ngram_join.jaccard_components(odd)
     assert got.count() == odd.count() and got.where("doc_id IS NULL AND component_id IS NOT NULL").count() == 0
