@@ -121,6 +121,22 @@ def test_tasks_put_their_files_in_place(spark, tmp_path):
     assert sorted(bytes(r.content) for r in blobs) == sorted(b"p%d\n" % i for i in range(100))
 
 
+def test_tasks_write_their_files_themselves(spark, tmp_path):
+    """Hadoop's local files cost a process each to set a mode and leave a checksum beside them; names and texts are as Spark's."""
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 1, None), ("a/b=%:", 2, "y\u00e9\nz"), ("", 3, "e"), (None, 4, ""), ("\u00fc {}[]", None, "u")],
+                                 "`k:1` string, n int, value string").coalesce(1)
+    rf.write_texts(rows, str(tmp_path / "own"), ["k:1", "n"])
+    rows.write.partitionBy("k:1", "n").text(str(tmp_path / "spark"))
+
+    def texts(folder):
+        return {str(f.parent.relative_to(tmp_path / folder)): f.read_bytes() for f in (tmp_path / folder).glob("*/*/*.txt")}
+
+    assert texts("own") == texts("spark") and len(texts("own")) == 5
+    assert all(f.suffix == ".txt" for f in (tmp_path / "own").rglob("*") if f.is_file())
+    with pytest.raises(FileExistsError):
+        rf.write_texts(rows, str(tmp_path / "own"), ["k:1", "n"])
+
+
 def test_run_documents(spark):
     doc = {"metadata": {"name": "r1", "namespace": "ns", "creationTimestamp": "2024-01-01T00:00:00Z"},
            "spec": {"tasks": [{"name": "a", "image": "i", "runtime": 3}, {"name": "b", "image": "i", "dependencies": ["a"], "runtime": 2.5},
