@@ -13,6 +13,8 @@ the class table; words, pairs and neighbour counts stay in Spark.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runframe.functions.runtime import cut
-from runframe.llm.common import HashedWords, fold, lengths_to_starts, row_key, texts
+from runframe.llm.common import fold, groups, lengths_to_starts, row_key, texts
 
 END, OPEN = 0, 1  # token numbers; words with classes follow
 END_WORD = b" "  # no word holds a blank
@@ -31,85 +33,140 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+class _Tokens(NamedTuple):
+    """The words of some texts: distinct ones with their hashes, and which of them follow each other."""
+
+    distinct: pa.Array
+    hashes: np.ndarray
+    which: np.ndarray
+    sizes: np.ndarray
+
+
+def _tokens(batch: list[bytes], hashed: bool = True) -> Iterator[_Tokens]:
+    """Words of stretches of a batch; each distinct word of a stretch is hashed once."""
+    import xxhash
+
+    for a, b in groups(batch):
+        words = [words_of(t) for t in batch[a:b]]
+        coded = pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode()
+        distinct = coded.dictionary
+        of = map(xxhash.xxh64_intdigest, distinct.to_pylist()) if hashed else ()
+        yield _Tokens(distinct, np.fromiter(of, np.uint64, len(distinct) if hashed else 0).view(np.int64), coded.indices.to_numpy(),
+                      np.fromiter(map(len, words), np.int64, len(words)))
+
+
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
     """(word, n) over all texts, with one end for each; counted per batch first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
         for batch in batches:
-            own: Counter = Counter()
-            for t in texts(batch, text):
-                own.update(words_of(t))
-            own[END_WORD] = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())],
-                                             ["word", "n"])
+            parts = [pa.table({"word": t.distinct, "n": np.bincount(t.which, minlength=len(t.distinct))}) for t in _tokens(texts(batch, text), False)]
+            parts.append(pa.table({"word": pa.array([END_WORD], pa.binary()), "n": pa.array([batch.num_rows], pa.int64())}))
+            own = pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+            yield from own.select(["word", "n"]).combine_chunks().to_batches()
 
     return docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Numbers(dict):
-    """Numbers of words by their places among sorted hashes, remembered up to a bound; any other word is ``OPEN``."""
-
-    def __init__(self, hashes: np.ndarray, limit: int = 300_000):
-        super().__init__()
-        self.hashes, self.limit = hashes, limit
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = np.uint64(xxhash.xxh64_intdigest(word)).view(np.int64)
-        at = int(self.hashes.searchsorted(value))
-        number = at + 2 if at < len(self.hashes) and self.hashes[at] == value else OPEN
-        if len(word) < 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = number
-        return number
+def _numbers(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Numbers of words by the places of their hashes among the sorted ``known``; any other word is ``OPEN``."""
+    if not len(known):
+        return np.full(len(hashes), OPEN, np.int32)
+    at = np.minimum(known.searchsorted(hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at + 2, OPEN).astype(np.int32)
 
 
-def _numbered(batch: list[bytes], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+def _numbered(tokens: _Tokens, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token numbers of all texts in a row, an end before the first and after each; where each text starts."""
-    words = [words_of(t) for t in batch]
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
-    starts = lengths_to_starts(sizes) + 1
-    out = np.zeros(starts[-1], np.int32)
+    starts = lengths_to_starts(tokens.sizes + 1) + 1
+    out = np.full(starts[-1], END, np.int32)
     inner = np.ones(starts[-1], bool)
     inner[0] = False
     inner[starts[1:] - 1] = False
-    out[inner] = np.fromiter((numbers[w] for ws in words for w in ws), np.int32, int(inner.sum()))
-    return out, starts, words
+    out[inner] = _numbers(tokens.hashes, known)[tokens.which]
+    return out, starts
+
+
+def _pairs(ids: np.ndarray, parts: int, width: int) -> np.ndarray:
+    """Keys of neighbouring tokens, both ways, see ``_neighbours``: the word's place among the parts above its neighbour's code."""
+    v, w = ids[:-1].astype(np.int64), ids[1:].astype(np.int64)
+    place = lambda word: (word % parts * width + word // parts) << 32
+    before = (w >= 2) & (v != w)
+    return np.concatenate([place(v) | w << 1, place(w[before]) | v[before] << 1 | 1])
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their counts; the given runs are sorted, so a stable sort only merges them."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = key.argsort(kind="stable")
+    key, n = key[order], n[order]
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def _neighbours(docs: DataFrame, text: str, hashes: np.ndarray) -> DataFrame:
+def _packed(key: np.ndarray, n: np.ndarray, parts: int, width: int) -> bytes:
+    word = key >> 32
+    word = word % width * parts + word // width
+    return word.astype(np.uint32).tobytes() + key.astype(np.uint32).tobytes() + n.astype(np.int64).tobytes()
+
+
+def _neighbours(docs: DataFrame, text: str, hashes: np.ndarray, tokens: int = 0) -> DataFrame:
     """Neighbouring token numbers over all texts with their counts, in compressed blocks of (word, code, n), see ``_blocks``.
 
     ``code`` is twice the neighbour's number, and one more if it comes before the word. Each word has all that follow it; words with a
     class also have those before, but themselves. All blocks of a word lie in one partition, in the order of words, so
-    that every turn of ``exchange`` reads them where they are.
+    that every turn of ``exchange`` reads them where they are. Words are dealt to parts by their numbers; a task counts the pairs of a
+    batch, sends each part its own in one row, and a part's rows are merged as they come, so that a task holds a part's distinct pairs.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(hashes)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(hashes)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // 4_000_000)
+    parts = 4 * tasks
+    width = -(-(len(hashes) + 2) // parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Numbers(shared.value)
+        import zstandard
+
+        own = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids = _numbered(texts(batch, text), known)[0].astype(np.int64)
-            v, w = ids[:-1], ids[1:]
-            before = (w >= 2) & (v != w)
-            key, n = np.unique(np.concatenate([v << 32 | w << 1, w[before] << 32 | v[before] << 1 | 1]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+            found = [np.unique(_pairs(_numbered(t, shared.value)[0], parts, width), return_counts=True) for t in _tokens(texts(batch, text))]
+            if not found:
+                continue
+            key, n = _merged(*zip(*found))
+            cuts = np.append(np.flatnonzero(np.diff((key >> 32) // width, prepend=-1)), len(key))
+            for at in range(0, len(cuts) - 1, 64):
+                some = list(zip(cuts[at:at + 64], cuts[at + 1:at + 65]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([int(key[a] >> 32) // width for a, _ in some], pa.int32()),
+                    pa.array([own.compress(key[a:b].tobytes() + n[a:b].astype(np.int64).tobytes()) for a, b in some], pa.binary())], ["part", "data"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        own = zstandard.ZstdCompressor(level=3)
-        for key, n in _gathered(batches):
-            at = np.flatnonzero(np.diff(key, prepend=-1))  # equal pairs of several batches follow each other
-            key, n = key[at], np.add.reduceat(n, at)
-            data = own.compress((key >> 32).astype(np.uint32).tobytes() + key.astype(np.uint32).tobytes() + n.astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
+        own, other = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+        def blocks(keys: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, n = _merged(keys, counts)
+            for at in range(0, len(key), 300_000):
+                data = own.compress(_packed(key[at:at + 300_000], n[at:at + 300_000], parts, width))
+                yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
-    rows = docs.select(text).mapInArrow(count, "key long, n long")
-    return cut(rows.repartition(F.shiftright("key", 32)).sortWithinPartitions("key").mapInArrow(pack, "data binary"))
+        keys, counts, last, settled = [], [], -1, 0
+        for batch in batches:
+            for part, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != last and keys:
+                    yield from blocks(keys, counts)
+                    keys, counts, settled = [], [], 0
+                last, data = part, other.decompress(packed)
+                keys.append(np.frombuffer(data, np.int64, len(data) // 16))
+                counts.append(np.frombuffer(data, np.int64, len(data) // 16, len(data) // 2))
+                if sum(map(len, keys)) > 2 * settled + 1_000_000:
+                    key, n = _merged(keys, counts)
+                    keys, counts, settled = [key], [n], len(key)
+        if keys:
+            yield from blocks(keys, counts)
+
+    rows = docs.select(text).mapInArrow(count, "part int, data binary")
+    return cut(rows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(pack, "data binary"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -144,77 +201,146 @@ def _class_table(pairs: DataFrame, of: np.ndarray, k: int) -> np.ndarray:
     return table.reshape(k, k)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 300_000) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns of small batches joined into larger ones."""
-    parts: list[pa.RecordBatch] = []
-    for batch in batches:
-        parts.append(batch)
-        if sum(map(len, parts)) >= rows:
-            yield tuple(c.to_numpy() for c in pa.Table.from_batches(parts).columns)
-            parts = []
-    if sum(map(len, parts)):
-        yield tuple(c.to_numpy() for c in pa.Table.from_batches(parts).columns)
-
+def _cells_of_blocks(batches: Iterator[pa.RecordBatch], now: np.ndarray, k: int, wanted: Callable[[np.ndarray], np.ndarray],
+                     cells: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words, a row of 2 * k + 1 counts for each): what follows it by class, what is before it by class, itself after it.
 
-def _words_of_blocks(batches: Iterator[pa.RecordBatch], now: np.ndarray, k: int, wanted: Callable[[np.ndarray], np.ndarray],
-                     ) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
-    """(word, counts before it by class, counts after it by class, count of itself after it); a word may go on in the next block."""
-    last, left, right, own = -1, None, None, 0.0
+    The last word of a block may go on in the next one: its counts wait.
+    """
+    width = 2 * k + 1
+
+    def dense(word: np.ndarray, near: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        begins = np.flatnonzero(np.diff(word, prepend=-1))
+        step = max(1, cells // width)
+        for at in range(0, len(begins), step):
+            own = begins[at:at + step]
+            rows = slice(own[0], begins[at + step] if at + step < len(begins) else len(word))
+            place = np.repeat(np.arange(len(own)), np.diff(np.append(own, rows.stop)))
+            yield word[own], np.bincount(place * width + near[rows], n[rows], len(own) * width).reshape(len(own), width)
+
+    last: tuple[np.ndarray, ...] = tuple(np.empty(0, np.int64) for _ in range(3))
     for word, other, before, n in _blocks(batches):
         kept = wanted(word)
         word, other, before, n = word[kept], other[kept], before[kept], n[kept]
         if not len(word):
             continue
-        near = now[other] + k * before
-        itself = word == other
-        edges = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1, [len(word)]])
-        near, n_near = np.where(itself, 0, near), np.where(itself, 0, n)
-        selves = np.add.reduceat(np.where(itself, n, 0), edges[:-1])
-        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            both = np.bincount(near[a:b], n_near[a:b], 2 * k)
-            if word[a] == last:
-                left, right, own = left + both[k:], right + both[:k], own + float(selves[i])
-                continue
-            if last >= 0:
-                yield last, left, right, own
-            last, left, right, own = int(word[a]), both[k:], both[:k], float(selves[i])
-    if last >= 0:
-        yield last, left, right, own
+        near = np.where(word == other, 2 * k, now[other] + k * before)
+        word, near, n = (np.concatenate(x) for x in zip(last, (word, near, n)))
+        end = int(np.flatnonzero(np.diff(word, prepend=-1))[-1])  # where the last word begins
+        yield from dense(word[:end], near[:end], n[:end])
+        held = np.bincount(near[end:], n[end:], width)
+        at = np.flatnonzero(held)
+        last = np.full(len(at), word[-1]), at, held[at]
+    yield from dense(*last)
+
+
+def _words_of_blocks(batches: Iterator[pa.RecordBatch], now: np.ndarray, k: int, wanted: Callable[[np.ndarray], np.ndarray],
+                     ) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+    """(word, counts before it by class, counts after it by class, count of itself after it), one word at a time."""
+    for words, counts in _cells_of_blocks(batches, now, k, wanted):
+        for word, row in zip(words.tolist(), counts):
+            yield word, row[k:2 * k], row[:k], float(row[2 * k])
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def _best_classes(left: np.ndarray, right: np.ndarray, both: np.ndarray, old: int, total: np.ndarray, own: float,
-                  self_n: float, movable: int, logs: np.ndarray | None = None) -> tuple[int, float]:
-    """Best class of one word against the bigram table of classes, all other words fixed.
-
-    ``left[c]``: pairs (word of class c, this word); ``right[c]``: (this word, word of class c), both without the
-    pairs of the word with itself. The score is sum N(c,d) log N(c,d) - 2 sum N(c) log N(c). ``logs`` is ``_xlogx(both)``.
+def _rise(x: np.ndarray, by: np.ndarray | float) -> np.ndarray:
+    return _xlogx(x + by) - _xlogx(x)
+
+
+class _Table:
+    """The class table of a turn: what a cell gains by one pair, two pairs and so on is looked up, not computed for each word."""
+
+    def __init__(self, both: np.ndarray, total: np.ndarray, size: int = 4_000_000):
+        self.both, self.total = both, total
+        k = len(both)
+        self.steps = int(np.clip(size // (2 * k * k), 1, 8))
+        logs = _xlogx(both)
+        rises = [_xlogx(both + l) - logs for l in range(1, self.steps + 1)]
+        self.sides = [(both, np.concatenate(rises)), (np.ascontiguousarray(both.T), np.concatenate([r.T for r in rises]))]
+        self.logs = [logs, np.ascontiguousarray(logs.T)]
+        self.by_count: dict[float, np.ndarray] = {}
+
+    def unigram(self, n: float) -> np.ndarray:
+        """What all classes gain by a word of ``n`` tokens; most words have one of a few counts."""
+        if n not in self.by_count:
+            if len(self.by_count) >= 256:
+                self.by_count.clear()
+            self.by_count[n] = _rise(self.total, n)
+        return self.by_count[n]
+
+
+def _add_rows(gain: np.ndarray, line: np.ndarray, table: np.ndarray, row: np.ndarray, most: int = 16) -> None:
+    """``gain[line] += table[row]`` for ascending ``line``: the j-th rows of all lines at once, the rest of long lines at their own."""
+    if not len(line):
+        return
+    begins = np.flatnonzero(np.diff(line, prepend=-1))
+    sizes = np.diff(np.append(begins, len(line)))
+    for j in range(min(most, int(sizes.max()))):
+        own = begins[sizes > j]
+        gain[line[own]] += table[row[own + j]]
+    for begin, size in zip(begins[sizes > most], sizes[sizes > most]):
+        gain[line[begin]] += table[row[begin + most:begin + size]].sum(0)
+
+
+def _best_of_many(left: np.ndarray, right: np.ndarray, old: np.ndarray, own: np.ndarray, self_n: np.ndarray, table: _Table,
+                  movable: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best class of each word against the bigram table of classes, all other words fixed, and how much better it is.
+
+    ``left[i, c]``: pairs (word of class c, word i); ``right[i, c]``: (word i, word of class c), both without the pairs of
+    the word with itself. The score is sum N(c,d) log N(c,d) - 2 sum N(c) log N(c). For a class that is not the word's own only a
+    row for each class nearby counts; the cells that the word itself is in are mended one by one.
     """
-    logs = _xlogx(both) if logs is None else logs
-    unigram = total.copy()
-    unigram[old] -= own
-    classes = np.arange(movable, len(total))
-    gain = np.zeros(len(classes))
+    count, k = left.shape
+    gain, stay, lines = np.zeros((count, k)), np.zeros(count), np.arange(count)
     # column c gains left, row c gains right; the cell (c, c) gets both. Only neighbours' rows and columns change
-    for near, far, table, known in ((left, right, both, logs), (right, left, both.T, logs.T)):
-        at = np.flatnonzero(near)
-        cells, before = table[at, movable:], known[at, movable:]
-        cells[:, old - movable] -= near[at]
-        cells[at == old] -= far[movable:]
-        cells[at == old, old - movable] -= self_n
-        before[:, old - movable] = _xlogx(cells[:, old - movable])
-        before[at == old] = _xlogx(cells[at == old])
-        gain += (_xlogx(cells + near[at][:, None]) - before).sum(0)
-    cell = both[classes, classes]
-    cell[old - movable] -= left[old] + right[old] + self_n
-    gain -= _xlogx(cell + left[classes]) + _xlogx(cell + right[classes]) - 2 * _xlogx(cell)
-    gain += _xlogx(cell + left[classes] + right[classes] + self_n) - _xlogx(cell)
-    gain -= 2 * (_xlogx(unigram[classes] + own) - _xlogx(unigram[classes]))
-    best = int(gain.argmax())
-    return int(classes[best]), float(gain[best] - gain[old - movable])
+    for near, far, (both, rises), logs in zip((left, right), (right, left), table.sides, table.logs):
+        line, cls = np.nonzero(near)
+        n = near[line, cls]
+        few = n <= table.steps
+        _add_rows(gain, line[few], rises, (n[few].astype(np.int64) - 1) * k + cls[few])
+        many = np.flatnonzero(~few)
+        step = max(1, 500_000 // k)
+        for at in range(0, len(many), step):  # each pair of class and count once
+            pick = many[at:at + step]
+            pairs, row = np.unique(np.stack([cls[pick], n[pick].astype(np.int64)]), axis=1, return_inverse=True)
+            _add_rows(gain, line[pick], _xlogx(both[pairs[0]] + pairs[1][:, None]) - logs[pairs[0]], row.ravel())
+        home = old[line]
+        without = both[cls, home] - n - np.where(cls == home, far[line, home] + self_n[line], 0)
+        stay += np.bincount(line, _rise(without, n), count)
+        # the row of the own class holds the word's other side
+        line, cls = np.nonzero(far)
+        home = old[line]
+        n, extra = far[line, cls], near[line, home]
+        met = (extra > 0) & (cls != home)
+        line, cls, home, n, extra = (x[met] for x in (line, cls, home, n, extra))
+        cell = both[home, cls]
+        np.add.at(gain, (line, cls), _rise(cell - n, extra) - _rise(cell, extra))
+    diagonal = table.both.diagonal()
+    twice = self_n > 0
+    gain[twice] += _rise(diagonal, self_n[twice][:, None])
+    line, cls = np.nonzero(left + right)
+    cell, l, r, s = diagonal[cls], left[line, cls], right[line, cls], self_n[line]
+    np.add.at(gain, (line, cls), _rise(cell + s, l + r) - _rise(cell, l) - _rise(cell, r))
+    l, r = left[lines, old], right[lines, old]
+    cell = diagonal[old] - l - r - self_n
+    stay += _rise(cell, l + r + self_n) - _rise(cell, l) - _rise(cell, r)
+    counts, place = np.unique(own, return_inverse=True)
+    gain -= 2 * np.stack([table.unigram(float(n)) for n in counts])[place]
+    stay -= 2 * _rise(table.total[old] - own, own)
+    gain[lines, old] = stay
+    best = movable + gain[:, movable:].argmax(1)
+    return best, gain[lines, best] - stay
+
+
+def _best_classes(left: np.ndarray, right: np.ndarray, both: np.ndarray, old: int, total: np.ndarray, own: float,
+                  self_n: float, movable: int) -> tuple[int, float]:
+    """``_best_of_many`` for one word."""
+    best, better = _best_of_many(left[None], right[None], np.array([old]), np.array([own], float), np.array([self_n], float),
+                                 _Table(both, total), movable)
+    return int(best[0]), float(better[0])
 
 
 def exchange(pairs: DataFrame, counts: np.ndarray, classes: int, rounds: int, turns: int = 3) -> np.ndarray:
@@ -236,14 +362,13 @@ def exchange(pairs: DataFrame, counts: np.ndarray, classes: int, rounds: int, tu
 
         def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, both, total = frozen.value
-            logs, out = _xlogx(both), []
+            table, now = _Table(both, total), now.astype(np.int64)
             mine = lambda word: (word >= 2) & (word % turns == turn % turns)
-            for w, left, right, own in _words_of_blocks(batches, now.astype(np.int64), k, mine):
-                best, better = _best_classes(left, right, both, now[w], total, float(words_n[w]), own, 2, logs)
-                if best != now[w] and better > 1e-6:
-                    out.append((w, best))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int32()) for i in (0, 1)], ["word", "class"])
+            for words, counts in _cells_of_blocks(batches, now, k, mine):
+                right, left, own = counts[:, :k], counts[:, k:2 * k], counts[:, 2 * k]
+                best, better = _best_of_many(left, right, now[words], words_n[words], own, table, 2)
+                moves = (best != now[words]) & (better > 1e-6)
+                yield pa.RecordBatch.from_arrays([pa.array(x[moves].astype(np.int32)) for x in (words, best)], ["word", "class"])
 
         new = of.copy()
         moved = pairs.mapInArrow(move, "word int, class int").toArrow()  # at most one row for each word
@@ -297,7 +422,7 @@ def train(docs: DataFrame, text: str = "text", least: int = 2, classes: int | No
     counts = np.concatenate([[ends["n"] if ends else 0, 0], found["n"].to_numpy()[order]]).astype(np.float64)
     counts[OPEN] = tokens - counts.sum()
     rest = words.where(~often & (F.col("word") != F.lit(END_WORD)))
-    pairs = _neighbours(docs, text, hashes)
+    pairs = _neighbours(docs, text, hashes, tokens)
     classes = classes or class_number(len(hashes))
     of = exchange(pairs, counts, classes, rounds)
     table = _class_table(pairs, of, classes + 2)
@@ -333,30 +458,29 @@ def _scores(docs: DataFrame, model: Model, rest: DataFrame, id: str, text: str,
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, of, step, emission, base, known = shared.value
-        numbers, memory = Numbers(hashes), HashedWords()
         for batch in batches:
-            ids, starts, words = _numbered(texts(batch, text), numbers)
-            if not len(words):
-                continue
-            inside = ids != OPEN
-            own = np.where(inside, base[ids], 0.0)[1:]
-            path = step[of[ids[:-1]], of[ids[1:]]] + emission[ids[1:]]
-            cuts = starts[:-1] - 1
-            seen = (inside & (known[ids] > 0))[1:]
-            rare, counts = [], []
-            for a, b, ws in zip(starts[:-1], starts[1:], words):
-                at = np.flatnonzero(~inside[a:b - 1])
-                h, n = np.unique(memory.of([ws[i] for i in at]).view(np.int64), return_counts=True)
-                rare.append(h)
-                counts.append(n)
-            sizes = np.array([len(r) for r in rare])
-            offsets = pa.array(lengths_to_starts(sizes).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(f.name) for f in fields] + [
-                    pa.array(np.diff(starts)), pa.array(np.add.reduceat(seen.astype(np.int64), cuts)),
-                    pa.array(np.add.reduceat(own, cuts)), pa.array(np.add.reduceat(path, cuts)),
-                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rare))),
-                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(counts).astype(np.int32)))], parts.names)
+            at = 0
+            for tokens in _tokens(texts(batch, text)):
+                count = len(tokens.sizes)
+                ids, starts = _numbered(tokens, hashes)
+                inside = ids != OPEN
+                own = np.where(inside, base[ids], 0.0)[1:]
+                path = step[of[ids[:-1]], of[ids[1:]]] + emission[ids[1:]]
+                cuts = starts[:-1] - 1
+                seen = (inside & (known[ids] > 0))[1:]
+                # distinct open words of each text with their counts
+                rare = _numbers(tokens.hashes, hashes)[tokens.which] == OPEN
+                size = max(1, len(tokens.hashes))
+                place = np.repeat(np.arange(count) * size, tokens.sizes)[rare] + tokens.which[rare]
+                place, times = np.unique(place, return_counts=True)
+                offsets = pa.array(lengths_to_starts(np.bincount(place // size, minlength=count)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(f.name).slice(at, count) for f in fields] + [
+                        pa.array(np.diff(starts)), pa.array(np.add.reduceat(seen.astype(np.int64), cuts)),
+                        pa.array(np.add.reduceat(own, cuts)), pa.array(np.add.reduceat(path, cuts)),
+                        pa.ListArray.from_arrays(offsets, pa.array(tokens.hashes[place % size])),
+                        pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))], parts.names)
+                at += count
 
     walked = rows.mapInArrow(walk, parts)
     # a row for the text itself (placed by its own key), and one for each of its distinct rare words

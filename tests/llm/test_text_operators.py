@@ -255,6 +255,41 @@ def test_exchange_gain_is_the_change_of_the_likelihood():
         assert better == pytest.approx(max(changes)) and changes[best] == pytest.approx(max(changes))
 
 
+def test_many_words_move_at_once(monkeypatch):
+    """Gains of many words from looked-up rows equal those word by word, and a word that goes on in the next block counts once."""
+    rng = np.random.default_rng(4)
+    k, count = 40, 60
+    both = rng.poisson(2, (k, k)).astype(float)
+    left, right = (rng.integers(1, 15, (count, k)) * (rng.random((count, k)) < 0.2) * 1.0 for _ in "ab")
+    twice, old = rng.integers(0, 3, count) * 1.0, rng.integers(2, k, count)
+    for i, c in enumerate(old):
+        both[:, c] += left[i]
+        both[c] += right[i]
+        both[c, c] += twice[i]
+    total, own = both.sum(0) + 1, left.sum(1) + twice
+    table = brown._Table(both, total, size=3 * 2 * k * k)
+    best, better = brown._best_of_many(left, right, old, own, twice, table, 2)
+    one = [brown._best_classes(left[i], right[i], both, old[i], total, own[i], twice[i], 2) for i in range(count)]
+    assert table.steps == 3 and best.tolist() == [b for b, _ in one] and better == pytest.approx([g for _, g in one])
+    computed = []
+    plain = brown._xlogx
+    monkeypatch.setattr(brown, "_xlogx", lambda x: computed.append(np.size(x)) or plain(x))
+    few = np.minimum(left, 3), np.minimum(right, 3)
+    brown._best_of_many(*few, old, few[0].sum(1), twice * 0, table, 2)
+    assert sum(computed) < k * (np.count_nonzero(few[0]) + np.count_nonzero(few[1])) / 2  # no logarithms of a row for each neighbour
+    monkeypatch.undo()
+
+    import zstandard
+    word = np.repeat([9, 4, 7], [5, 3, 4])
+    other, before = np.array([1, 2, 3, 9, 5, 1, 2, 3, 7, 1, 2, 3]), np.zeros(12, int)
+    n = np.arange(1, 13)
+    blocks = [zstandard.compress(word[a:b].astype(np.uint32).tobytes() + (2 * other + before)[a:b].astype(np.uint32).tobytes()
+                                 + n[a:b].astype(np.int64).tobytes()) for a, b in ((0, 2), (2, 6), (6, 9), (9, 12))]
+    got = list(brown._words_of_blocks([pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["data"])], np.arange(10), 10, lambda w: w > 0))
+    assert [(w, right.tolist(), own) for w, _, right, own in got] == [
+        (9, [0, 1, 2, 3, 0, 5, 0, 0, 0, 0], 4.0), (4, [0, 6, 7, 8, 0, 0, 0, 0, 0, 0], 0.0), (7, [0, 10, 11, 12, 0, 0, 0, 0, 0, 0], 9.0)]
+
+
 def test_every_repeated_word_has_a_class_at_any_size(spark):
     rare = [f"rare{i}" for i in range(300)]
     rows = [(i, "the of and to " * 15_000) for i in range(8)]  # 480,000 tokens, so that two are less than 1/200,000
