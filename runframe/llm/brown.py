@@ -272,15 +272,18 @@ class _Table:
         return self.by_count[n]
 
 
-def _add_rows(gain: np.ndarray, line: np.ndarray, table: np.ndarray, row: np.ndarray, most: int = 16) -> None:
-    """``gain[line] += table[row]`` for ascending ``line``: the j-th rows of all lines at once, the rest of long lines at their own."""
-    if not len(line):
-        return
+def _add_rows(gain: np.ndarray, line: np.ndarray, table: np.ndarray, row: np.ndarray, most: int = 16, span: int = 64) -> None:
+    """``gain[line] += table[row]`` for ascending ``line``: the j-th rows of ``span`` lines at once, the rest of long lines at their own."""
     begins = np.flatnonzero(np.diff(line, prepend=-1))
     sizes = np.diff(np.append(begins, len(line)))
-    for j in range(min(most, int(sizes.max()))):
-        own = begins[sizes > j]
-        gain[line[own]] += table[row[own + j]]
+    order = np.argsort(-sizes, kind="stable")
+    for at in range(0, len(order), span):
+        own, long = begins[order[at:at + span]], sizes[order[at:at + span]]
+        sums = table[row[own]]
+        for j in range(1, min(most, int(long[0]))):
+            lines = int(np.searchsorted(-long, -j))
+            sums[:lines] += table[row[own[:lines] + j]]
+        gain[line[own]] += sums
     for begin, size in zip(begins[sizes > most], sizes[sizes > most]):
         gain[line[begin]] += table[row[begin + most:begin + size]].sum(0)
 
@@ -295,9 +298,11 @@ def _best_of_many(left: np.ndarray, right: np.ndarray, old: np.ndarray, own: np.
     """
     count, k = left.shape
     gain, stay, lines = np.zeros((count, k)), np.zeros(count), np.arange(count)
+    left, right = np.ascontiguousarray(left), np.ascontiguousarray(right)
+    filled = [np.nonzero(left), np.nonzero(right)]
     # column c gains left, row c gains right; the cell (c, c) gets both. Only neighbours' rows and columns change
-    for near, far, (both, rises), logs in zip((left, right), (right, left), table.sides, table.logs):
-        line, cls = np.nonzero(near)
+    for near, far, (both, rises), logs, own_cells, far_cells in zip((left, right), (right, left), table.sides, table.logs, filled, filled[::-1]):
+        line, cls = own_cells
         n = near[line, cls]
         few = n <= table.steps
         _add_rows(gain, line[few], rises, (n[few].astype(np.int64) - 1) * k + cls[few])
@@ -311,7 +316,7 @@ def _best_of_many(left: np.ndarray, right: np.ndarray, old: np.ndarray, own: np.
         without = both[cls, home] - n - np.where(cls == home, far[line, home] + self_n[line], 0)
         stay += np.bincount(line, _rise(without, n), count)
         # the row of the own class holds the word's other side
-        line, cls = np.nonzero(far)
+        line, cls = far_cells
         home = old[line]
         n, extra = far[line, cls], near[line, home]
         met = (extra > 0) & (cls != home)
@@ -321,7 +326,7 @@ def _best_of_many(left: np.ndarray, right: np.ndarray, old: np.ndarray, own: np.
     diagonal = table.both.diagonal()
     twice = self_n > 0
     gain[twice] += _rise(diagonal, self_n[twice][:, None])
-    line, cls = np.nonzero(left + right)
+    line, cls = np.divmod(np.union1d(*[at * k + c for at, c in filled]), k)
     cell, l, r, s = diagonal[cls], left[line, cls], right[line, cls], self_n[line]
     np.add.at(gain, (line, cls), _rise(cell + s, l + r) - _rise(cell, l) - _rise(cell, r))
     l, r = left[lines, old], right[lines, old]
