@@ -298,3 +298,35 @@ def test_components_of_larger_graphs_take_more_tasks(spark, monkeypatch):
     assert set(parts[1:]) == {str(-(-len(edges) // 20))}
     assert {r.id: r.component for r in out.collect()} == {i: i - i % 10 if i < 200 else i for i in range(202)}
     assert spark.conf.get("spark.sql.shuffle.partitions") == usual
+
+
+def test_pairs_of_many_frames_at_once():
+    """Sparse matching equals the dense one, ties included; the tracker gives the same frame by frame, at once and in small steps."""
+    from runframe.functions.assignment import cheapest_allowed, matched
+    from runframe.operators.tracking import TrackState
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        n, m = rng.integers(1, 9, 2)
+        cost = np.where(rng.random((n, m)) < 0.6, rng.integers(0, 6, (n, m)) / 4, np.inf)
+        columns = [{int(i): float(cost[i, j]) for i in np.flatnonzero(np.isfinite(cost[:, j]))} for j in range(m)]
+        used = [j for j in range(m) if columns[j]]
+        if used:
+            found = matched([columns[j] for j in used])
+            assert sorted((i, j) for j, i in zip(used, found) if i >= 0) == sorted(cheapest_allowed(cost))
+    frames = np.sort(rng.integers(0, 120, 700))
+    corner = rng.integers(0, 30, (700, 2)).astype(float)
+    boxes, vectors, ids = np.hstack([corner, corner + 10]), rng.normal(size=(700, 3)), [f"d{i}" for i in range(700)]
+    opens = rng.random(700) < 0.05
+
+    def state():
+        out = TrackState(0.3, 0.3, 5)
+        out.ended = []
+        return out
+
+    whole, single, small = state(), state(), state()
+    got = whole.run(frames, boxes, vectors, ids, opens)
+    cuts = np.append(np.flatnonzero(np.append(True, frames[1:] != frames[:-1])), len(frames))
+    one = [t for a, b in zip(cuts[:-1], cuts[1:]) for t in single.run(frames[a:b], boxes[a:b], vectors[a:b], ids[a:b], opens[a:b])]
+    assert got == one == small.run(frames, boxes, vectors, ids, opens, rows=20)
+    assert whole.ids == single.ids == small.ids and sorted(whole.ended) == sorted(single.ended) == sorted(small.ended)
+    assert len(set(got)) == len(whole.ended) + len(whole.ids)
