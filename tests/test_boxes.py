@@ -1,5 +1,7 @@
 """Boxes of very different sizes in the grid of levels, against all pairs."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +82,24 @@ def test_frames_meet_whole_without_cells(spark):
     assert "Generate" not in plan and plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") <= 3
 
 
+@pytest.mark.parametrize("frame_rows", [9, 1_000])
+def test_frames_of_a_block_meet_in_one_place(spark, frame_rows):
+    """Pairs over the borders of blocks are found, below zero as well, and both sides of the join read one shuffle."""
+    rng = np.random.default_rng(3)
+    frames = np.repeat(np.arange(-20, 40), rng.integers(5, 13, 60))
+    rows = [("c", int(f), i, float(x), float(y), float(x) + 10, float(y) + 10, 0.5) for i, (f, x, y) in
+            enumerate(zip(frames, rng.integers(0, 15, len(frames)), rng.integers(0, 15, len(frames))))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = rf.assoc_candidates(df, df.selectExpr("camera", "det_id", "array(score, 1D) AS embedding"), 0.3, frame_rows=frame_rows)
+    want = {(a[2], b[2]) for a in rows for b in rows if b[1] == a[1] + 1 and iou(a, b) >= 0.3}
+    got = [(r.a_det_id, r.b_det_id) for r in found.collect()]
+    assert sorted(got) == sorted(want) and any(frames[b] % 16 == 0 for _, b in want)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    places = re.findall(r"- Exchange hashpartitioning\([^)]*_block#", plan)
+    assert frame_rows == 9 or len(places) == 1
+    assert "ReusedExchange" in plan and "_block" in plan
+
+
 def test_a_box_of_any_size_makes_few_rows(spark):
     df = spark.createDataFrame([("c", 0, i, 0.3, -7.7, 0.3 + s, -7.7 + s / 3, 1.0) for i, s in enumerate([1e-3, 1.0, 640.0, 1e6, 1e12])], SCHEMA)
     assert own_cells(df).groupBy("det_id").count().agg(F.max("count")).first()[0] <= 4
