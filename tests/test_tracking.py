@@ -330,3 +330,21 @@ def test_pairs_of_many_frames_at_once():
     assert got == one == small.run(frames, boxes, vectors, ids, opens, rows=20)
     assert whole.ids == single.ids == small.ids and sorted(whole.ended) == sorted(single.ended) == sorted(small.ended)
     assert len(set(got)) == len(whole.ended) + len(whole.ids)
+
+
+def test_bids_use_the_columns_known():
+    """A row's products with all columns are made once and where its floor is reached, not for each bid."""
+    made = []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            made.append(len(self))
+            return np.asarray(self) @ other
+
+    rng = np.random.default_rng(2)
+    left, right = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, 400, 8)) + 1)
+    rows, cols = most_similar(left.view(Counted), right)
+    assert len(set(cols.tolist())) == 400
+    want = min_cost_assignment(1 - left @ right.T)
+    assert (left[rows] * right[cols]).sum() == pytest.approx((left[want[0]] * right[want[1]]).sum())
+    assert sum(made) < 3 * 400
